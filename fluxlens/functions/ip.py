@@ -83,7 +83,7 @@ def _groups_hex(text: Column) -> Column:
         left, right = F.get(halves, F.lit(0)), F.coalesce(F.get(halves, F.lit(1)), F.lit(""))
         well_formed = (F.size(halves) <= 2) & left.rlike(_HEX_GROUPS) & right.rlike(_HEX_GROUPS)
         shortened = F.size(halves) == 2
-        both = F.struct(groups(left).alias("head"), groups(right).alias("rest"))
+        both = F.named_struct(F.lit("head"), groups(left), F.lit("rest"), groups(right))
         return F.when(well_formed, _let(both, lambda b: pad(b["head"], b["rest"], shortened)))
 
     return _let(F.split(text, "::"), of_halves)

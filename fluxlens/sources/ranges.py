@@ -56,10 +56,10 @@ def load_asn_tsv(spark: SparkSession, path: str) -> DataFrame:
 def _read_quoted(spark: SparkSession, path: str, names: tuple[str, ...]) -> DataFrame:
     """Quoted CSV without header as text columns. Rows with too few columns are left out, extra columns ignored."""
     schema = ", ".join(f"`{n}` string" for n in (*names, _BAD))
-    rows = spark.read.csv(
-        path, schema=schema, quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD,
-        columnPruning=False,
+    reader = spark.read.schema(schema).options(
+        quote='"', escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=_BAD, columnPruning="false"
     )
+    rows = reader.csv(path)
     whole = F.col(_BAD).isNull() | F.col(names[-1]).isNotNull()
     return rows.where(whole).select(*[F.coalesce(n, F.lit("")).alias(n) for n in names])
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxlens.functions.ip import canonical_ip, ip_key
-from fluxlens.functions.time import duration_ms, millisecond_precision
+from fluxlens.functions.time import bucket_start, duration_ms, millisecond_precision
 from fluxlens.model import FLOW_SCHEMA, ROLLUP_SCHEMA, STORED_SCHEMA, conform
 from fluxlens.operators.query import time_filter
 from fluxlens.operators.rollup import compact_rollup
@@ -52,7 +52,7 @@ def stored_form(flows: DataFrame) -> DataFrame:
 def append_flows(flows: DataFrame, path: str, batch_id: int | None = None) -> None:
     """Append flows to the detail table.
 
-    Rows are gathered by day and hour with a rebalance: adaptive execution splits an hour that outgrows the advisory
+    Rows are gathered by hour with a rebalance: adaptive execution splits an hour that outgrows the advisory
     partition size and merges small ones, so a burst never lands in one writer and files cover narrow time ranges.
     With ``batch_id`` the batch owns its own sub-partitions and overwrites them, which makes a repeated batch harmless.
     """
@@ -62,8 +62,10 @@ def append_flows(flows: DataFrame, path: str, batch_id: int | None = None) -> No
         rows = rows.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
         partition.append("batch_id")
     writer = (
-        rows.hint("rebalance", F.col("flow_date"), F.hour("timestamp"))
-        .sortWithinPartitions("flow_date", *_STORED_ORDER)
+        rows.withColumn("_hour", bucket_start(F.col("timestamp"), "hour"))
+        .hint("rebalance", "_hour")
+        .sortWithinPartitions(*partition, *_STORED_ORDER)
+        .drop("_hour")
         .write.partitionBy(*partition)
         .options(**_BLOOM)
     )
@@ -92,8 +94,10 @@ def append_rollup(rollup: DataFrame, path: str, batch_id: int) -> None:
     """Add one batch of partial sums; the batch overwrites its own sub-partitions, so a retry cannot count twice."""
     rows = _with_month(conform(rollup, ROLLUP_SCHEMA)).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
     (
-        rows.hint("rebalance", F.col("month"))
-        .sortWithinPartitions("month", "ts_minute", "src_ip")
+        rows.withColumn("_day", bucket_start(F.col("ts_minute"), "day"))
+        .hint("rebalance", "_day")
+        .sortWithinPartitions("month", "batch_id", "ts_minute", "src_ip")
+        .drop("_day")
         .write.partitionBy("month", "batch_id")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
@@ -108,8 +112,10 @@ def write_compacted_rollup(parts: DataFrame, path: str) -> None:
     """
     rows = _with_month(compact_rollup(parts))
     (
-        rows.hint("rebalance", F.col("month"), F.dayofmonth("ts_minute"))
+        rows.withColumn("_day", bucket_start(F.col("ts_minute"), "day"))
+        .hint("rebalance", "_day")
         .sortWithinPartitions("month", "ts_minute", "src_ip")
+        .drop("_day")
         .write.partitionBy("month")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
