@@ -133,7 +133,7 @@ def _leaf(node: Mapping, columns: frozenset[str]) -> Column:
     if operator in ("in", "not_in"):
         listed = F.col(field).isin(_in_list(field, operator, value))
         return ~listed if operator == "not_in" else listed
-    return _COMPARE[operator](F.col(field), F.lit(_literal(field, value)))
+    return _COMPARE[operator](F.col(field), _literal(field, value))
 
 
 def filter_column(node: Mapping | None, columns: object = ()) -> Column | None:

@@ -396,13 +396,13 @@ def o07(spark, sf):
 @query(
     "o08_exporter_clock",
     sql.TIMED,
-    """SELECT k, n, CASE WHEN s % 5 = 0 OR p * 10 > k THEN t * 1000000 ELSE t * 1000000 - (k - p * 10) * 1000 END AS at_us
+    """SELECT k, n, CASE WHEN s % 5 = 0 OR p = 0 OR p * 10 > k THEN t * 1000000 ELSE t * 1000000 - (k - p * 10) * 1000 END AS at_us
     FROM timed""",
 )
 def o08(spark, sf):
-    stamp = F.when(F.col("s") % 5 == 0, 0).otherwise(F.col("p") * 10 + F.when(F.col("p") == 0, F.col("k")).otherwise(0))
+    stamp = F.when(F.col("s") % 5 == 0, 0).otherwise(F.col("p") * 10)
     at = exporter_time(F.col("t") * 1_000_000, F.col("k"), stamp)
-    return _keyed(spark, sf).where("p > 0").select("k", "n", F.unix_micros(at).alias("at_us"))
+    return _keyed(spark, sf).select("k", "n", F.unix_micros(at).alias("at_us"))
 
 
 @query(

@@ -125,7 +125,7 @@ obs AS (SELECT e, us, us - us % 10000000 AS slot, {dotted("167837696 + u")} AS s
 FIVE_TUPLE = "src_ip, dst_ip, src_port, dst_port, protocol"
 WINDOWS = f"""{OBSERVATIONS},
 windows AS (SELECT slot, {FIVE_TUPLE}, min(us) AS first_us, max(us) AS last_us, CAST(sum(packets) AS BIGINT) AS packets,
-  CAST(sum(length) AS BIGINT) AS bytes, bit_or(tcp_flags) AS tcp_flags, arg_min(vlan, us * 65536 + vlan) AS vlan,
+  CAST(sum(length) AS BIGINT) AS bytes, bit_or(tcp_flags) AS tcp_flags, arg_min(vlan, us * 256 + vlan) AS vlan,
   count(*) AS observations FROM obs GROUP BY ALL)"""
 
 EXPORTER_NUMBER = "CASE WHEN n = 7 THEN s % 250 + 1 ELSE 168361984 + s % 250 END"
