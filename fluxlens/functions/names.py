@@ -136,8 +136,8 @@ UDP_APPLICATIONS = {
 
 
 def _lookup(table: dict[int, str], key: Column) -> Column:
-    entries = [F.lit(x) for pair in table.items() for x in pair]
-    return F.try_element_at(F.create_map(*entries), key.cast("int"))
+    entries = ", ".join(f"{number}, '{name}'" for number, name in table.items())
+    return F.try_element_at(F.expr(f"map({entries})"), key.cast("int"))
 
 
 def _port_application(name: str, table: dict[int, str], src_port: Column, dst_port: Column) -> Column:

@@ -6,8 +6,7 @@ No stored column is ever NULL: unknown is ``''`` or ``0``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 _TS, _STR, _INT, _LONG = T.TimestampType(), T.StringType(), T.IntegerType(), T.LongType()
@@ -185,13 +184,13 @@ def available_fields(city_available: bool = True) -> dict:
     }
 
 
-def default_value(kind: T.DataType) -> Column:
-    """The stand-in for "unknown" of one column type."""
+def unknown_value(kind: T.DataType) -> str:
+    """SQL literal that stands for "unknown" in one column type."""
     if isinstance(kind, T.StringType):
-        return F.lit("")
+        return "''"
     if isinstance(kind, T.BinaryType):
-        return F.lit(bytes(16))
-    return F.lit(0).cast(kind)
+        return f"X'{'00' * 16}'"
+    return f"cast(0 as {kind.simpleString()})"
 
 
 def conform(df: DataFrame, schema: T.StructType = FLOW_SCHEMA) -> DataFrame:
@@ -202,11 +201,11 @@ def conform(df: DataFrame, schema: T.StructType = FLOW_SCHEMA) -> DataFrame:
     present = set(df.columns)
     columns = []
     for field in schema:
-        if field.name not in present:
-            column = default_value(field.dataType)
+        name, kind, unknown = field.name, field.dataType.simpleString(), unknown_value(field.dataType)
+        if name not in present:
+            columns.append(f"{unknown} as {name}")
         elif isinstance(field.dataType, T.TimestampType):
-            column = F.col(field.name).cast(field.dataType)
+            columns.append(f"cast({name} as {kind}) as {name}")
         else:
-            column = F.coalesce(F.col(field.name).cast(field.dataType), default_value(field.dataType))
-        columns.append(column.alias(field.name))
-    return df.select(*columns)
+            columns.append(f"coalesce(cast({name} as {kind}), {unknown}) as {name}")
+    return df.selectExpr(*columns)

@@ -16,6 +16,9 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
+    # The JVM never compiles methods above 8000 bytes of bytecode. Decoding stages would generate such methods and then
+    # run interpreted; above this limit Spark evaluates them operator by operator, with each method compiled.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

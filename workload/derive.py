@@ -53,38 +53,41 @@ def _pick(index: Column, values: tuple) -> Column:
 
 def _keyed(lineitem: DataFrame) -> DataFrame:
     """Short names used by all mappings: k, p (part), s (supplier), n (line number), t (epoch second)."""
-    k = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    return lineitem.select(
-        k.alias("k"),
-        F.col("l_partkey").alias("p"),
-        F.col("l_suppkey").alias("s"),
-        F.col("l_linenumber").cast("long").alias("n"),
-        (BASE + (k * 97) % MONTH_SECONDS).alias("t"),
+    return lineitem.selectExpr(
+        "l_orderkey * 8 + l_linenumber AS k",
+        "l_partkey AS p",
+        "l_suppkey AS s",
+        "cast(l_linenumber AS bigint) AS n",
+        f"{BASE} + ((l_orderkey * 8 + l_linenumber) * 97) % {MONTH_SECONDS} AS t",
     )
 
 
+def _dotted(number: str) -> str:
+    octets = ", ".join(f"shiftright({number}, {shift}) & 255" for shift in (24, 16, 8, 0))
+    return f"concat_ws('.', {octets})"
+
+
 def flows_from_lineitem(lineitem: DataFrame) -> DataFrame:
     """Order lines as canonical flows with scaled counters and inferred application, but no geography."""
-    k, p, s, n, t = (F.col(c) for c in "kpsnt")
-    protocol = _pick(n % 3, (1, 6, 17))
-    has_ports = protocol != 1
-    flows = _keyed(lineitem).select(
-        F.timestamp_seconds(t).alias("timestamp"),
-        F.timestamp_seconds(t + k % 61).alias("timestamp_end"),
-        ipv4_text(s + SRC_NET).alias("src_ip"),
-        ipv4_text(p + DST_NET).alias("dst_ip"),
-        F.when(has_ports, 32768 + k % 20000).otherwise(0).cast("int").alias("src_port"),
-        F.when(has_ports, _pick(p % 8, PORTS)).otherwise(0).cast("int").alias("dst_port"),
-        protocol.alias("protocol"),
-        (1 + k % 50).alias("packets"),
-        ((1 + k % 50) * (64 + k % 1400)).alias("bytes"),
-        F.when(s % 2 == 1, 100).otherwise(1).alias("sampling_rate"),
-        F.when(protocol == 6, k % 64).otherwise(0).alias("tcp_flags"),
-        (s % 4).alias("vlan"),
-        (1 + n % 3).alias("input_interface"),
-        n.alias("output_interface"),
-        _pick(s % 3, ("LOCAL_XDP", "SFLOW", "NETFLOW")).alias("source_type"),
-        (s % 7).alias("device_id"),
+    protocol = "element_at(array(1, 6, 17), cast(n % 3 + 1 AS int))"
+    port = f"element_at(array{PORTS}, cast(p % 8 + 1 AS int))"
+    flows = _keyed(lineitem).selectExpr(
+        "timestamp_seconds(t) AS timestamp",
+        "timestamp_seconds(t + k % 61) AS timestamp_end",
+        f"{_dotted(f's + {SRC_NET}')} AS src_ip",
+        f"{_dotted(f'p + {DST_NET}')} AS dst_ip",
+        "cast(if(n % 3 = 0, 0, 32768 + k % 20000) AS int) AS src_port",
+        f"if(n % 3 = 0, 0, {port}) AS dst_port",
+        f"{protocol} AS protocol",
+        "1 + k % 50 AS packets",
+        "(1 + k % 50) * (64 + k % 1400) AS bytes",
+        "cast(if(s % 2 = 1, 100, 1) AS bigint) AS sampling_rate",
+        "cast(if(n % 3 = 1, k % 64, 0) AS int) AS tcp_flags",
+        "cast(s % 4 AS int) AS vlan",
+        "1 + n % 3 AS input_interface",
+        "n AS output_interface",
+        "element_at(array('LOCAL_XDP', 'SFLOW', 'NETFLOW'), cast(s % 3 + 1 AS int)) AS source_type",
+        "s % 7 AS device_id",
     )
     flows = apply_sampling(flows).withColumn("duration_ms", duration_ms(F.col("timestamp"), F.col("timestamp_end")))
     return enrich_application(conform(flows, FLOW_SCHEMA))
