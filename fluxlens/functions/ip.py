@@ -161,3 +161,16 @@ def cidr_bounds(value: object) -> tuple[bytes, bytes]:
         mapped = 0xFFFF << 32
         first, last = first | mapped, last | mapped
     return first.to_bytes(16, "big"), last.to_bytes(16, "big")
+
+
+def ipv4_block(first: bytes, last: bytes) -> tuple[int, int, str] | None:
+    """Bounds of a block of keys as IPv4 numbers and the dotted prefix they share, None when it is no IPv4 block."""
+    mapped = bytes.fromhex(MAPPED_KEY_HEX)
+    if not (first.startswith(mapped) and last.startswith(mapped)):
+        return None
+    low, high = first[12:], last[12:]
+    shared = 0
+    while shared < 3 and low[shared] == high[shared]:
+        shared += 1
+    prefix = "".join(f"{octet}." for octet in low[:shared])
+    return int.from_bytes(low, "big"), int.from_bytes(high, "big"), prefix

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fluxlens.functions.ip import ipv4_number, plain_ipv4_number
 from fluxlens.functions.names import classify_application
+from fluxlens.session import work_folder
 
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
@@ -36,19 +37,18 @@ def disjoint_ranges(ranges: DataFrame, values: tuple[str, ...]) -> DataFrame:
     unique = (
         ranges.groupBy("start")
         .agg(F.max(F.struct("end", *values)).alias("best"))
-        .select("start", "best.*", F.shiftright("start", 16).alias("block"))
+        .selectExpr("start", "best.*", "shiftright(start, 16) AS block")
     )
     blocks = (
         unique.groupBy("block")
-        .agg(F.min("start").alias("first_start"))
-        .select("block", F.lead("first_start").over(W.partitionBy(F.lit(0)).orderBy("block")).alias("next_block_start"))
+        .agg(F.min("start").alias("first"))
+        .selectExpr("block", "lead(first) OVER (ORDER BY block) AS next_block_start")
     )
-    next_start = F.coalesce(F.lead("start").over(W.partitionBy("block").orderBy("start")), F.col("next_block_start"))
+    next_start = "coalesce(lead(start) OVER (PARTITION BY block ORDER BY start), next_block_start)"
     return (
         unique.join(F.broadcast(blocks), "block")
-        .withColumn("end", F.least("end", next_start - 1))
-        .where(F.col("start") <= F.col("end"))
-        .select("start", "end", *values)
+        .selectExpr("start", f"least(end, {next_start} - 1) AS end", *values)
+        .where("start <= end")
     )
 
 
@@ -65,14 +65,20 @@ class RangeIndex:
 def build_range_index(
     ranges: DataFrame, values: tuple[str, ...] = ASN_VALUES, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
 ) -> RangeIndex:
-    """Prepare a range table for lookups; runs one counting job over the range table (never over flows).
+    """Prepare a range table for lookups.
 
-    About as many buckets as ranges are used. Disjoint ranges occupy at most ``rows + buckets`` bucket rows, which
-    bounds the size of the index; it is broadcast only when that bound fits ``max_broadcast_bytes``.
+    The disjoint ranges are written once to the shared work folder, because every lookup reads them for the source and
+    again for the destination address. About as many buckets as ranges are used. Disjoint ranges occupy at most
+    ``rows + buckets`` bucket rows, which bounds the size of the index; it is broadcast only when that bound fits
+    ``max_broadcast_bytes``.
     """
-    text = [c for c, kind in ranges.select(*values).dtypes if kind == "string"]
-    width = sum((F.coalesce(F.octet_length(c), F.lit(0)) for c in text), F.lit(0))
-    size = ranges.agg(
+    spark = ranges.sparkSession
+    path = work_folder(spark, "ranges")
+    disjoint_ranges(ranges, values).write.parquet(path)
+    stored = spark.read.parquet(path)
+    text = [c for c, kind in stored.select(*values).dtypes if kind == "string"]
+    width = sum((F.octet_length(c) for c in text), F.lit(0))
+    size = stored.agg(
         F.count(F.lit(1)).alias("rows"),
         F.coalesce(F.sum(width), F.lit(0)).alias("text_bytes"),
         F.coalesce(F.max(width), F.lit(0)).alias("widest"),
@@ -82,7 +88,7 @@ def build_range_index(
     index_rows = size["rows"] + 2**bits
     # A range repeated over buckets repeats its text, so the extra bucket rows are charged at the widest text.
     index_bytes = size["text_bytes"] + 2**bits * size["widest"] + index_rows * ROW_OVERHEAD_BYTES
-    buckets = disjoint_ranges(ranges, values).select(
+    buckets = stored.select(
         F.explode(F.sequence(F.shiftright("start", shift), F.shiftright("end", shift))).alias("bucket"),
         "start",
         "end",

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fluxlens.functions.ip import cidr_bounds, ip_key, literal_ip, plain_ipv4_number
+from fluxlens.functions.ip import cidr_bounds, ip_key, ipv4_block, literal_ip, plain_ipv4_number
 from fluxlens.model import FIELD_KINDS, MAX_FILTER_DEPTH, MAX_IN_LIST, OPERATORS_BY_KIND
 
 
@@ -106,11 +106,14 @@ def _within_block(field: str, value: object, columns: frozenset[str]) -> Column:
         raise QueryError(f"field {field!r}: {bad}") from None
     if f"{field}_key" in columns:
         return F.col(f"{field}_key").between(F.lit(first), F.lit(last))
-    mapped = 0xFFFF << 32
-    low, high = int.from_bytes(first, "big") - mapped, int.from_bytes(last, "big") - mapped
-    if 0 <= low and high < 2**32:  # an IPv4 block: compare numbers, an IPv6 address is outside
-        return F.coalesce(plain_ipv4_number(F.col(field)).between(F.lit(low), F.lit(high)), F.lit(False))
-    return ip_key(F.col(field)).between(F.lit(first), F.lit(last))
+    text = F.col(field)
+    block = ipv4_block(first, last)
+    if block is None:  # only IPv6 text can lie inside, and is told apart before it is parsed
+        return text.contains(":") & ip_key(text).between(F.lit(first), F.lit(last))
+    low, high, shared = block
+    inside = F.coalesce(plain_ipv4_number(text).between(F.lit(low), F.lit(high)), F.lit(False))
+    # The octets that all addresses of the block share are a text prefix: cheap, and pushed down to the scan.
+    return text.startswith(shared) & inside if shared else inside
 
 
 _COMPARE = {

@@ -566,11 +566,11 @@ def _filtered(name: str, tree: dict, where: str, group: str = "application", sou
     @query(
         name,
         sql.ENRICHED if source == "cities" else sql.FLOWS,
-        f"""SELECT {group}, {_sums("bytes", "packets", "flows")} FROM {source} WHERE {where}
-        GROUP BY ALL ORDER BY bytes DESC, {group} LIMIT 10000""",
+        f"""SELECT {group}, {_sums("bytes", "packets", "flows")} FROM {"cities" if source == "cities" else "flows"}
+        WHERE {where} GROUP BY ALL ORDER BY bytes DESC, {group} LIMIT 10000""",
     )
     def run(spark, sf):
-        flows = d.geo_flows(spark, sf) if source == "cities" else d.flows(spark, sf)
+        flows = {"cities": d.geo_flows, "keyed": d.keyed_source_flows}.get(source, d.flows)(spark, sf)
         return flow_query(flows, **ALL, filters=tree, group_by=[group], limit=10_000)
 
     return run
@@ -631,6 +631,7 @@ _filtered(
     """src_n BETWEEN 167772164 AND 167772167 OR dst_n BETWEEN 3405804288 AND 3405804543
       OR dst_n BETWEEN 3405805056 AND 3405805183""",
     group="dst_ip",
+    source="keyed",
 )
 _filtered(
     "p09_tree",

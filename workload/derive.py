@@ -12,11 +12,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxlens.functions.binary import hex_field
-from fluxlens.functions.ip import ipv4_text
+from fluxlens.functions.ip import MAPPED_KEY_HEX, ipv4_text
 from fluxlens.functions.time import duration_ms
 from fluxlens.model import FLOW_SCHEMA, conform
 from fluxlens.operators.enrich import RangeIndex, build_range_index, enrich_application, enrich_flows
 from fluxlens.operators.observations import apply_sampling
+from fluxlens.sources.ranges import parse_asn_lines
 
 BASE = 1704067200  # 2024-01-01T00:00:00Z
 MONTH_SECONDS = 2592000
@@ -27,8 +28,20 @@ PORTS = (443, 80, 53, 22, 3306, 9999, 8080, 0)
 EVENT_PORTS = {"signup": 443, "purchase": 80, "view": 53, "click": 22, "error": 8080}
 
 
+_SPREAD_BY = {"lineitem": "l_orderkey", "events": "event_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables.
+
+    A file of a single row group is read by a single task. Where the scan has fewer splits than the cluster has cores,
+    the large tables are spread over them by key; a table with enough splits is left as it is.
+    """
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _SPREAD_BY and rows.rdd.getNumPartitions() < cores:
+        return rows.repartition(cores, _SPREAD_BY[name])
+    return rows
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,102 +111,88 @@ def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks of ten suppliers: i, first address a, nation number and name of the block's first supplier."""
-    supplier = table(spark, sf_dir, "supplier")
-    first = F.min(F.struct("s_suppkey", "s_nationkey", "s_name")).alias("f")
+    """Blocks of ten suppliers: i, first address a, nation number c and name of the block's first supplier."""
     return (
-        supplier.groupBy(F.floor(F.col("s_suppkey") / 10).alias("i"))
-        .agg(first)
-        .select(
-            "i",
-            (SRC_NET + F.col("i") * 10).alias("a"),
-            F.col("f.s_nationkey").cast("long").alias("c"),
-            F.col("f.s_name").alias("name"),
-        )
+        table(spark, sf_dir, "supplier")
+        .groupBy(F.expr("floor(s_suppkey / 10) AS i"))
+        .agg(F.expr("min(struct(s_suppkey, s_nationkey, s_name)) AS f"))
+        .selectExpr("i", f"{SRC_NET} + i * 10 AS a", "cast(f.s_nationkey AS bigint) AS c", "f.s_name AS name")
     )
 
 
-def _letter(number: Column) -> Column:
-    return F.char(65 + number % 26)
+_COUNTRY, _COUNTRY_BACK = (
+    f"concat(char(65 + {first} % 26), char(65 + {second} % 26))" for first, second in (("c", "c * 7"), ("c * 7", "c"))
+)
+_SPECIAL_LINES = (
+    r"203.0.113.0\t203.0.113.255\t64496\tJP\tEXAMPLE-JP",
+    r"203.0.114.0\t203.0.114.255\t0\tNone\tNot routed",
+    r"203.0.115.0\t203.0.118.255\t64497\tDE\tOUTER",
+    r"203.0.116.0\t203.0.116.63\t64498\tFR\tINNER",
+    r"# a comment\t1\t2\t3\t4",
+)
+_SPOILED_LINES = (
+    "",
+    "no tabs here",
+    r"1.2.3\t1.2.3.4\t5\tUS\tX",
+    r"1.2.3.4\t1.2.3.400\t5\tUS\tX",
+    r"1.2.3.4\t1.2.3.5\tAS5\tUS\tX",
+)
 
 
 def asn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of a system-range file, good and bad ones. Each region adds one special line."""
-    i, a, c = F.col("i"), F.col("a"), F.col("c")
-    block_lines = _blocks(spark, sf_dir).select(
-        F.concat_ws(
-            "\t",
-            ipv4_text(a),
-            ipv4_text(a + 7),
-            (64512 + i).cast("string"),
-            F.concat(_letter(c), _letter(c * 7)),
-            F.col("name"),
-        ).alias("value")
-    )
-    special = (
-        "203.0.113.0\t203.0.113.255\t64496\tJP\tEXAMPLE-JP",
-        "203.0.114.0\t203.0.114.255\t0\tNone\tNot routed",
-        "203.0.115.0\t203.0.118.255\t64497\tDE\tOUTER",
-        "203.0.116.0\t203.0.116.63\t64498\tFR\tINNER",
-        "# a comment\t1\t2\t3\t4",
+    """Lines of a system-range file, good and bad ones. Each region adds one special and one spoiled line."""
+    first, last = _dotted("a"), _dotted("a + 7")
+    lines = _blocks(spark, sf_dir).selectExpr(
+        rf"concat_ws('\t', {first}, {last}, 64512 + i, {_COUNTRY}, name) AS value"
     )
-    spoiled = ("", "no tabs here", "1.2.3\t1.2.3.4\t5\tUS\tX", "1.2.3.4\t1.2.3.400\t5\tUS\tX", "1.2.3.4\t1.2.3.5\tAS5\tUS\tX")
-    region = table(spark, sf_dir, "region")
-    extra = region.select(
-        F.explode(F.array(_pick(F.col("r_regionkey"), special), _pick(F.col("r_regionkey"), spoiled))).alias("value")
+    at = "cast(r_regionkey + 1 AS int)"
+    extra = table(spark, sf_dir, "region").selectExpr(
+        f"explode(array(element_at(array{_sql(_SPECIAL_LINES)}, {at}), element_at(array{_sql(_SPOILED_LINES)}, {at})))"
+        " AS value"
     )
-    return _stored(block_lines.unionByName(extra), "value")
+    return _stored(lines.unionByName(extra), "value")
+
+
+def _sql(lines: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{line}'" for line in lines) + ")"
 
 
 def asn_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same blocks in the four-column quoted form; every ninth block carries the placeholder number 0."""
-    i, a = F.col("i"), F.col("a")
-    number = F.when(i % 9 == 4, 0).otherwise(64512 + i).cast("string")
-    return _blocks(spark, sf_dir).select(
-        F.concat(
-            F.concat_ws(",", ipv4_text(a), ipv4_text(a + 7), number),
-            F.lit(',"'),
-            F.col("name"),
-            F.lit(', ""Inc""'),
-            F.lit('"'),
-        ).alias("value")
+    number = "if(i % 9 = 4, 0, 64512 + i)"
+    return _blocks(spark, sf_dir).selectExpr(
+        f"""concat(concat_ws(',', {_dotted("a")}, {_dotted("a + 7")}, {number}), ',"', name, ', ""Inc""', '"') AS value"""
     )
 
 
 def city_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The blocks as city ranges: quoted names with commas, some unknown countries, some bad coordinates."""
-    i, a, c = F.col("i"), F.col("a"), F.col("c")
-    country = F.when(i % 7 == 3, "ZZ").when(i % 7 == 5, "").otherwise(F.concat(_letter(c * 7), _letter(c)))
-    latitude = F.when(i % 5 == 0, "bad").otherwise((i % 90).cast("string"))
-    good = F.concat(
-        F.concat_ws(",", ipv4_text(a), ipv4_text(a + 7), F.lit("EU"), country, F.concat(F.lit("Region "), c)),
-        F.lit(',"City '),
-        i.cast("string"),
-        F.lit(', North",'),
-        F.concat_ws(",", latitude, (i % 180 - 90).cast("string")),
+    ends = f"{_dotted('a')}, {_dotted('a + 7')}"
+    country = f"CASE WHEN i % 7 = 3 THEN 'ZZ' WHEN i % 7 = 5 THEN '' ELSE {_COUNTRY_BACK} END"
+    latitude = "if(i % 5 = 0, 'bad', cast(i % 90 AS string))"
+    good = (
+        f"concat(concat_ws(',', {ends}, 'EU', {country}, concat('Region ', c)), ',\"City ', i, ', North\",', "
+        f"concat_ws(',', {latitude}, i % 180 - 90))"
     )
-    line = F.when(i % 13 == 6, F.concat_ws(",", ipv4_text(a), ipv4_text(a + 7), F.lit("too short"))).otherwise(good)
-    return _blocks(spark, sf_dir).select(line.alias("value"))
+    short = f"concat_ws(',', {ends}, 'too short')"
+    return _blocks(spark, sf_dir).selectExpr(f"if(i % 13 = 6, {short}, {good}) AS value")
 
 
 def asn_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from fluxlens.sources.ranges import parse_asn_lines
-
     return parse_asn_lines(asn_lines(spark, sf_dir))
 
 
 def city_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What loading ``city_lines`` gives, without the detour over a file."""
-    i, a, c = F.col("i"), F.col("a"), F.col("c")
     return (
         _blocks(spark, sf_dir)
-        .where((i % 7 != 3) & (i % 13 != 6))
-        .select(
-            a.alias("start"),
-            (a + 7).alias("end"),
-            F.when(i % 7 == 5, "").otherwise(F.concat(_letter(c * 7), _letter(c))).alias("country"),
-            F.concat(F.lit("Region "), c).alias("region"),
-            F.concat(F.lit("City "), i, F.lit(", North")).alias("city"),
+        .where("i % 7 <> 3 AND i % 13 <> 6")
+        .selectExpr(
+            "a AS start",
+            "a + 7 AS end",
+            f"if(i % 7 = 5, '', {_COUNTRY_BACK}) AS country",
+            "concat('Region ', c) AS region",
+            "concat('City ', i, ', North') AS city",
         )
     )
 
@@ -206,6 +205,15 @@ def city_index(spark: SparkSession, sf_dir: str) -> RangeIndex:
     return build_range_index(city_ranges(spark, sf_dir), ("country", "region", "city"))
 
 
+def keyed_source_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flows with the 16-byte key of the source address, as the stored table has it."""
+    number = f"cast(substring_index(src_ip, '.', 1) AS bigint)"
+    for i in (2, 3, 4):
+        number = f"({number}) * 256 + cast(substring_index(substring_index(src_ip, '.', {i}), '.', -1) AS bigint)"
+    key = f"unhex(concat('{MAPPED_KEY_HEX}', lpad(hex({number}), 8, '0'))) AS src_ip_key"
+    return flows(spark, sf_dir).selectExpr("*", key)
+
+
 def enriched_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with system, country and organisation."""
     return enrich_flows(flows(spark, sf_dir), asn=asn_index(spark, sf_dir))
