@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 MAPPED_PREFIX = "::ffff:"
 MAPPED_KEY_HEX = "0" * 20 + "ffff"
+IPV4_FIRST = bytes.fromhex(MAPPED_KEY_HEX) + bytes(4)
 UNKNOWN_IP = "::"
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"

@@ -97,12 +97,11 @@ def build_range_index(
     return RangeIndex(buckets, shift, tuple(values), index_bytes <= max_broadcast_bytes)
 
 
-def _found(index: RangeIndex, source: str, names: dict[str, str], hit: Column | None = None) -> list[Column]:
+def _found(index: RangeIndex, source: str, names: dict[str, str]) -> list[Column]:
     columns = []
     for value, kind in index.buckets.select(*index.values).dtypes:
         unknown = F.lit("") if kind == "string" else F.lit(0).cast(kind)
-        column = F.col(f"{source}.{value}")
-        columns.append(F.coalesce(column if hit is None else F.when(hit, column), unknown).alias(names[value]))
+        columns.append(F.coalesce(F.col(f"{source}.{value}"), unknown).alias(names[value]))
     return columns
 
 
@@ -128,36 +127,38 @@ def lookup_ranges(df: DataFrame, address: Column, index: RangeIndex, names: dict
 
 
 def lookup_ranges_as_of(df: DataFrame, address: Column, index: RangeIndex, names: dict[str, str]) -> DataFrame:
-    """Same answer as :func:`lookup_ranges` by a sort instead of a join: the last range start carried forward.
+    """Same answer as :func:`lookup_ranges` by a sort instead of a range join: the last start carried forward.
 
-    Within one bucket, ranges and addresses are sorted together and the latest range is carried to the addresses that
-    follow it. Buckets are salted like in the shuffled lookup, and the running frame keeps one row in memory.
+    Only distinct addresses are looked up, so busy hosts and repeated rows collapse before the shuffle and a bucket
+    holds at most one row per address. Within a bucket, ranges and addresses are sorted together and the latest range
+    is carried to the addresses that follow it, one row at a time. The answers are joined back by address, where
+    adaptive execution splits the rows of a busy one.
     """
-    row = F.struct(*df.columns)
-    values = F.struct("start", "end", *index.values)
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SHUFFLE_SALTS - 1)))
-    left = df.select(
-        row.alias("_row"),
-        address.alias("_at"),
-        F.pmod(F.xxhash64(*df.columns), F.lit(SHUFFLE_SALTS)).cast("int").alias("_salt"),
-    ).withColumn("_bucket", F.shiftright("_at", index.shift))
+    keyed = df.withColumn("_address", address)
+    asked = keyed.select("_address").where(F.col("_address").isNotNull()).distinct()
+    left = asked.select(
+        F.shiftright("_address", index.shift).alias("_bucket"), F.col("_address").alias("_at"), F.lit(1).alias("_kind")
+    )
     right = index.buckets.select(
         F.col("bucket").alias("_bucket"),
         # A range that began in an earlier bucket stands at the head of this one.
         F.greatest(F.col("start"), F.shiftleft("bucket", index.shift)).alias("_at"),
-        values.alias("_range"),
-        salts.alias("_salt"),
-    )
-    both = left.withColumn("_kind", F.lit(1)).unionByName(
-        right.withColumn("_kind", F.lit(0)), allowMissingColumns=True
+        F.lit(0).alias("_kind"),
+        F.struct("end", *index.values).alias("_range"),
     )
     carried = F.last("_range", ignorenulls=True).over(
-        W.partitionBy("_bucket", "_salt").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+        W.partitionBy("_bucket").orderBy("_at", "_kind").rowsBetween(W.unboundedPreceding, W.currentRow)
+    )
+    answers = (
+        left.unionByName(right, allowMissingColumns=True)
+        .withColumn("_last", carried)
+        .where("_kind = 1 AND _at <= _last.end")
+        .select("_at", *[F.col(f"_last.{v}").alias(v) for v in index.values])
     )
-    hit = F.col("_at") <= F.col("_last.end")
-    found = _found(index, "_last", names, hit)
-    kept = [F.col(f"_row.{c}").alias(c) for c in df.columns if c not in set(names.values())]
-    return both.withColumn("_last", carried).where("_kind = 1").select(*kept, *found)
+    found = _found(index, "_r", names)
+    kept = [F.col(f"_f.{c}") for c in df.columns if c not in set(names.values())]
+    on = F.col("_f._address") == F.col("_r._at")
+    return keyed.alias("_f").join(answers.alias("_r"), on, "left").select(*kept, *found)
 
 
 def enrich_asn(flows: DataFrame, index: RangeIndex) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from fluxlens.functions.ip import cidr_bounds, ip_key, ipv4_block, literal_ip, plain_ipv4_number
+from fluxlens.functions.ip import IPV4_FIRST, cidr_bounds, ip_key, ipv4_block, literal_ip, plain_ipv4_number
 from fluxlens.model import FIELD_KINDS, MAX_FILTER_DEPTH, MAX_IN_LIST, OPERATORS_BY_KIND
 
 
@@ -108,8 +108,9 @@ def _within_block(field: str, value: object, columns: frozenset[str]) -> Column:
         return F.col(f"{field}_key").between(F.lit(first), F.lit(last))
     text = F.col(field)
     block = ipv4_block(first, last)
-    if block is None:  # only IPv6 text can lie inside, and is told apart before it is parsed
-        return text.contains(":") & ip_key(text).between(F.lit(first), F.lit(last))
+    if block is None:  # an IPv6 block: text without a colon need not be parsed, it is all inside or all outside
+        inside = text.contains(":") & ip_key(text).between(F.lit(first), F.lit(last))
+        return inside | ~text.contains(":") if first <= IPV4_FIRST <= last else inside
     low, high, shared = block
     inside = F.coalesce(plain_ipv4_number(text).between(F.lit(low), F.lit(high)), F.lit(False))
     # The octets that all addresses of the block share are a text prefix: cheap, and pushed down to the scan.
