@@ -77,7 +77,7 @@ def check_limit(limit: int | None) -> int:
 
 
 def metric_column(name: str, table: str) -> Column:
-    """Aggregate of one metric; no rows give 0, as sums and counts do in the reference's database."""
+    """Aggregate of one metric; no rows give 0."""
     if name == "flows":
         return F.count(F.lit(1)) if table == DETAIL else F.coalesce(F.sum("flows"), F.lit(0).cast("long"))
     if name.startswith("uniq_"):

@@ -16,10 +16,11 @@ from fluxlens.operators.rollup import compact_rollup
 from fluxlens.operators.upkeep import retention_cutoff
 
 # Host questions look for single addresses inside time-ordered files: min/max statistics cannot skip row groups there,
-# Bloom filters can.
+# Bloom filters can. Adaptive ones take the size that the addresses of a row group need.
 _BLOOM = {
     "parquet.bloom.filter.enabled#src_ip": "true",
     "parquet.bloom.filter.enabled#dst_ip": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
 }
 _STORED_ORDER = ("timestamp", "src_ip", "dst_ip", "src_port", "dst_port")
 _ROLLUP_STORED = T.StructType([*ROLLUP_SCHEMA.fields, T.StructField("month", T.IntegerType(), True)])
