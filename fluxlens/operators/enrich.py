@@ -21,7 +21,7 @@ from fluxlens.session import work_folder
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
 SHUFFLE_SALTS = 32
-_MIN_BUCKET_BITS, _MAX_BUCKET_BITS = 8, 20
+_MIN_BUCKET_BITS, _MAX_BUCKET_BITS = 16, 20
 
 ASN_VALUES = ("asn", "country", "org")
 CITY_VALUES = ("country", "region", "city")
