@@ -488,7 +488,8 @@ def e04(spark, sf):
     # The premium table leaves the country as the system table gave it.
     back = overridden.withColumns({"src_country": F.lit(""), "dst_country": F.lit("")})
     both = enrich.enrich_city(enrich.enrich_asn(back, d.asn_index(spark, sf)), city, "premium")
-    return _ends(both, "override_country", F.col("src_country").alias("premium_country"), F.col("src_city").alias("premium_city"))
+    premium = [F.col(f"src_{c}").alias(f"premium_{c}") for c in ("country", "city")]
+    return _ends(both, "override_country", *premium)
 
 
 _CLASSIFIED = f"""{sql.TIMED}, {sql.NAMES},
@@ -819,7 +820,8 @@ def d02(spark, sf):
 )
 def d03(spark, sf):
     events = d.table(spark, sf, "events")
-    metadata = events.select(F.col("user_id").alias("ip"), F.unix_micros(F.col("ts").cast("timestamp")).alias("updated_us"), "event_type", "value")
+    updated = F.unix_micros(F.col("ts").cast("timestamp")).alias("updated_us")
+    metadata = events.select(F.col("user_id").alias("ip"), updated, "event_type", "value")
     return upkeep.latest_per_key(metadata, "ip", "updated_us")
 
 
@@ -1084,7 +1086,11 @@ inputs AS (
   UNION ALL SELECT source_type, protocol, bytes, packets FROM sflow)"""
 
 
-@query("t04_multiple_inputs", _INPUTS, f"SELECT source_type, protocol, {_sums('bytes', 'packets', 'flows')} FROM inputs GROUP BY ALL")
+@query(
+    "t04_multiple_inputs",
+    _INPUTS,
+    f"SELECT source_type, protocol, {_sums('bytes', 'packets', 'flows')} FROM inputs GROUP BY ALL",
+)
 def t04(spark, sf):
     """Local packets, sFlow and NetFlow in one stream into one table."""
     path, checkpoint = work_folder(spark, "flows"), work_folder(spark, "stream")

@@ -207,7 +207,7 @@ def city_index(spark: SparkSession, sf_dir: str) -> RangeIndex:
 
 def keyed_source_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with the 16-byte key of the source address, as the stored table has it."""
-    number = f"cast(substring_index(src_ip, '.', 1) AS bigint)"
+    number = "cast(substring_index(src_ip, '.', 1) AS bigint)"
     for i in (2, 3, 4):
         number = f"({number}) * 256 + cast(substring_index(substring_index(src_ip, '.', {i}), '.', -1) AS bigint)"
     key = f"unhex(concat('{MAPPED_KEY_HEX}', lpad(hex({number}), 8, '0'))) AS src_ip_key"
