@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxlens.llm import near_dup
+from fluxlens.llm import near_dup, packing, token_counts
 from fluxlens.llm.tasks import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -18,4 +18,23 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def vocabulary() -> str:
+    """The public tokenizer file that the token operators use."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents."""
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary())
+
+
+QUERIES["op6_token_counts"] = op6_token_counts
+QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
 QUERIES["op10_minhash_near_dedup"] = op10_minhash_near_dedup
