@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxlens.llm import near_dup, packing, token_counts
+from fluxlens.llm import decontamination, near_dup, packing, quality_zstd, token_counts, toxicity
 from fluxlens.llm.tasks import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,24 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in any document."""
+    return decontamination.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    documents = read_table(spark, sf_dir, "documents")
+    model = quality_zstd.train(documents, read_table(spark, sf_dir, "labels"))
+    return quality_zstd.score_quality(documents, model)
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Severity of all documents."""
+    documents = read_table(spark, sf_dir, "documents")
+    return toxicity.rate(documents, toxicity.train(documents, read_table(spark, sf_dir, "labels")))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), vocabulary())
@@ -35,6 +53,9 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), vocabulary())
 
 
+QUERIES["op1_decontamination"] = op1_decontamination
+QUERIES["op5_quality_compression"] = op5_quality_compression
+QUERIES["op8_toxicity"] = op8_toxicity
 QUERIES["op6_token_counts"] = op6_token_counts
 QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
 QUERIES["op10_minhash_near_dedup"] = op10_minhash_near_dedup
