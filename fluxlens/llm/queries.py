@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxlens.llm import decontamination, near_dup, packing, quality_zstd, token_counts, toxicity
+from fluxlens.llm import decontamination, html_text, near_dup, packing, quality_zstd, secrets, token_counts, toxicity
 from fluxlens.llm.tasks import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -30,6 +30,17 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of all pages."""
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
+def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates and secrets in all documents."""
+    forest = secrets.train(spark, secrets.labelled_findings(), vocabulary())
+    return secrets.scan(read_table(spark, sf_dir, "documents"), forest, vocabulary())
+
+
 def op5_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     documents = read_table(spark, sf_dir, "documents")
@@ -54,6 +65,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_decontamination"] = op1_decontamination
+QUERIES["op2_html_extraction"] = op2_html_extraction
+QUERIES["op3_secret_scans"] = op3_secret_scans
 QUERIES["op5_quality_compression"] = op5_quality_compression
 QUERIES["op8_toxicity"] = op8_toxicity
 QUERIES["op6_token_counts"] = op6_token_counts
