@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxlens.llm import decontamination, html_text, near_dup, packing, quality_zstd, secrets, token_counts, toxicity
+from fluxlens.llm import decontamination, html_text, near_dup, packing, quality_rules, quality_zstd, secrets, token_counts, toxicity
 from fluxlens.llm.tasks import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,11 @@ def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents"), forest, vocabulary())
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Votes of the quality rules on all documents."""
+    return quality_rules.judge(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents."""
     documents = read_table(spark, sf_dir, "documents")
@@ -67,6 +72,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op1_decontamination"] = op1_decontamination
 QUERIES["op2_html_extraction"] = op2_html_extraction
 QUERIES["op3_secret_scans"] = op3_secret_scans
+QUERIES["op4_quality_rules"] = op4_quality_rules
 QUERIES["op5_quality_compression"] = op5_quality_compression
 QUERIES["op8_toxicity"] = op8_toxicity
 QUERIES["op6_token_counts"] = op6_token_counts
