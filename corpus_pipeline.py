@@ -6,19 +6,45 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxlens.llm import near_dup
+from fluxlens.llm import decontamination, near_dup, packing, secrets, toxicity
+from fluxlens.llm.queries import vocabulary
+from fluxlens.llm.tasks import read_table
 from fluxlens.session import work_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents more likely toxic than not go; the model learns from the labelled ones among `docs`."""
+    return toxicity.without_toxic(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
     return near_dup.keep_one_of_each(docs)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontamination.without_contaminated(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays, its secrets replaced."""
+    return secrets.redact(docs, secrets.train(spark, secrets.labelled_findings(), vocabulary()), vocabulary())
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of at most 2048 tokens."""
+    return packing.pack(docs, vocabulary())
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
     ("minhash_near_dedup", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("secret_scans", redact_secrets),
+    ("best_fit_packing", pack_sequences),
 ]
 
 #: Trained models and sketches have no counterpart in SQL; tests compare the rows with brute force instead.
@@ -27,7 +53,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each stage's rows written to the shared folder and read back by the next."""
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     folder = work_folder(spark, "pipeline")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fluxlens.llm import decontamination, html_text, near_dup, packing, quality_rules, quality_zstd, secrets, token_counts, toxicity
+from fluxlens.llm import decontamination, html_text, license_scan, near_dup, packing, quality_rules, quality_zstd, secrets, token_counts, toxicity
 from fluxlens.llm.tasks import read_table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +54,52 @@ def op5_quality_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_zstd.score_quality(documents, model)
 
 
+#: Documents as files: source/language/hundred/identifier, every fortieth as a licence file, some of them one or two levels up.
+_LICENSE_PATH = """CASE WHEN doc_id % 400 = 40 THEN concat(source, '/LICENSE') WHEN doc_id % 200 = 80 THEN concat(source, '/', lang, '/LICENSE.txt')
+    WHEN doc_id % 40 = 0 THEN concat(source, '/', lang, '/', {hundred}, '/COPYING')
+    ELSE concat(source, '/', lang, '/', {hundred}, '/', CAST(doc_id AS {text}), '.txt') END"""
+
+
+def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own and inherited licences of all documents, laid out as files."""
+    path = F.expr(_LICENSE_PATH.format(hundred="CAST(doc_id DIV 100 AS string)", text="string"))
+    return license_scan.scan(read_table(spark, sf_dir, "documents").withColumn("path", path))
+
+
+def _license_sql() -> str:
+    """The same by grouping and joining in SQL."""
+    path = _LICENSE_PATH.format(hundred="CAST(doc_id // 100 AS varchar)", text="varchar")
+    statements = ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES)
+    cue, file = license_scan.CUE, license_scan.LICENSE_FILE
+    terms = r"'[a-z0-9]+(\.[a-z0-9]+)*'"
+    return f"""
+WITH files AS (SELECT doc_id, {path} AS path, text FROM documents),
+lines AS (SELECT path, line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM files) WHERE regexp_matches(line, '{cue}')),
+line_terms AS (SELECT path, md5(line) AS unit, unnest(regexp_extract_all(lower(line), {terms})) AS term FROM lines),
+counts AS (SELECT path, unit, term, count(*) AS tf FROM (SELECT * FROM line_terms UNION ALL SELECT path, '', term FROM line_terms) GROUP BY ALL),
+template AS (SELECT license, term, count(*) AS tf FROM
+    (SELECT license, unnest(regexp_extract_all(lower(text), {terms})) AS term FROM (VALUES {statements}) AS t(license, text)) GROUP BY ALL),
+units AS (SELECT count(*) AS n FROM (SELECT DISTINCT path, unit FROM counts)),
+seen AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
+idf AS (SELECT DISTINCT t.term, 1 + ln((1.0 + n) / (1 + coalesce(df, 0))) AS idf FROM template t LEFT JOIN seen USING (term), units),
+weighted AS (SELECT license, term, tf * idf AS w FROM template JOIN idf USING (term)),
+norms AS (SELECT license, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY license),
+own_terms AS (SELECT path, unit, c.term, tf * coalesce(idf, 1 + ln(1.0 + n)) AS w FROM counts c LEFT JOIN idf ON c.term = idf.term, units),
+lengths AS (SELECT path, unit, sqrt(sum(w * w)) AS norm FROM own_terms GROUP BY ALL),
+scores AS (SELECT o.path, o.unit, t.license, round(sum(o.w * t.w / k.norm) / any_value(l.norm), 6) AS score
+    FROM own_terms o JOIN weighted t USING (term) JOIN norms k USING (license) JOIN lengths l ON l.path = o.path AND l.unit = o.unit GROUP BY ALL),
+own AS (SELECT path, license, score FROM scores WHERE score >= {license_scan.THRESHOLD}
+    QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
+holders AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS above, license, score FROM own WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{file}')),
+offered AS (SELECT above, license FROM holders QUALIFY row_number() OVER (PARTITION BY above ORDER BY score DESC, license) = 1),
+placed AS (SELECT doc_id, path, regexp_replace(path, '/?[^/]*$', '') AS directory FROM files),
+nearest AS (SELECT d.directory, o.license AS inherited_license, o.above AS inherited_from
+    FROM (SELECT DISTINCT directory FROM placed) d JOIN offered o ON d.directory = o.above OR o.above = '' OR starts_with(d.directory, o.above || '/')
+    QUALIFY row_number() OVER (PARTITION BY d.directory ORDER BY length(o.above) DESC) = 1)
+SELECT doc_id, p.path, o.license AS own_license, o.score AS own_score, inherited_license, inherited_from, coalesce(o.license, inherited_license) AS license
+FROM placed p LEFT JOIN own o ON o.path = p.path LEFT JOIN nearest n ON n.directory = p.directory""".strip()
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Severity of all documents."""
     documents = read_table(spark, sf_dir, "documents")
@@ -74,6 +121,8 @@ QUERIES["op2_html_extraction"] = op2_html_extraction
 QUERIES["op3_secret_scans"] = op3_secret_scans
 QUERIES["op4_quality_rules"] = op4_quality_rules
 QUERIES["op5_quality_compression"] = op5_quality_compression
+QUERIES["op7_license_scans"] = op7_license_scans
+ORACLE["op7_license_scans"] = _license_sql()
 QUERIES["op8_toxicity"] = op8_toxicity
 QUERIES["op6_token_counts"] = op6_token_counts
 QUERIES["op9_best_fit_packing"] = op9_best_fit_packing
