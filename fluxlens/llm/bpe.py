@@ -7,45 +7,50 @@ order. A chunk's trailing signs are split off where the letter before them makes
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 #: Signs that may be split from the end of a chunk: never part of a special token's or a contraction's end.
 _TAIL = '.,;:!?*#$%&)"]}'
 #: Letters up to here have the same class, case and normal form in every Unicode version.
 _SETTLED = "ɐ"
-#: Words remembered by each task process; beyond it the memory starts anew.
-WORDS_KEPT = 400_000
+#: Chunks and parts of chunks remembered by each task process; beyond that its memory starts anew.
+CHUNKS_KEPT = 300_000
+PARTS_KEPT = 700_000
+
+
+class _Memo(dict):
+    """Values by key, each made once by `make`."""
+
+    def __init__(self, make: Callable):
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.make(key)
+        return value
 
 
 class WordMemory:
-    """Values of chunks, each the sum (+) of the values of its parts; parts not yet known are valued by `value_of`."""
-
-    def __init__(self, value_of: Callable[[Sequence[str]], Iterable], nothing, kept: int = WORDS_KEPT):
-        self.value_of, self.nothing, self.kept = value_of, nothing, kept
-        self.chunks: dict[str, object] = {}
-        self.parts: dict[str, object] = {}
-
-    def values(self, texts: Sequence[str]) -> list[list]:
-        """The values of each text's chunks in order."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(self.chunks) > self.kept:
-            self.chunks = {}
-        missing = set().union(*split).difference(self.chunks)
-        self._learn(missing)
-        return [list(map(self.chunks.__getitem__, words)) for words in split]
-
-    def _learn(self, chunks: Iterable[str]) -> None:
-        if len(self.parts) > self.kept:
-            self.parts = {}
-        cut = {c: _parts(c) for c in chunks}
-        unknown = sorted({p for parts in cut.values() for p in parts}.difference(self.parts))
-        self.parts.update(zip(unknown, self.value_of(unknown), strict=True))
-        for chunk, parts in cut.items():
-            value = self.nothing
-            for part in parts:
-                value = value + self.parts[part]
-            self.chunks[chunk] = value
+    """Values of chunks: a chunk's value is the sum (+) of its parts' values, and `value_of` makes those."""
+
+    def __init__(self, value_of: Callable, nothing):
+        self.nothing = nothing
+        self.chunks = _Memo(self._chunk)
+        self.parts = _Memo(value_of)
+
+    def _chunk(self, chunk: str):
+        value = self.nothing
+        for part in _parts(chunk):
+            value = value + self.parts[part]
+        return value
+
+    def values(self, text: str) -> Iterable:
+        """The values of the text's chunks in order."""
+        if len(self.chunks) > CHUNKS_KEPT:
+            self.chunks.clear()
+        if len(self.parts) > PARTS_KEPT:
+            self.parts.clear()
+        return map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))
 
 
 def _parts(chunk: str) -> tuple[str, ...]:
@@ -53,9 +58,12 @@ def _parts(chunk: str) -> tuple[str, ...]:
     tail = chunk[len(core) :]
     if tail and not (core and core[-1].isalpha() and core[-1] < _SETTLED and core[-1] != "İ"):
         core, tail = chunk, ""
-    if core and "<|" not in core and "İ" not in core and max(core) < _SETTLED:
-        core = core.lower()
-    return tuple(p for p in (core, tail) if p)
+    if core.isascii() or (max(core) < _SETTLED and "İ" not in core):
+        if "<|" not in core:
+            core = core.lower()
+    if not tail:
+        return (core,) if core else ()
+    return core, tail
 
 
 @lru_cache(maxsize=2)
@@ -81,6 +89,25 @@ def merge_ranks(path: str) -> tuple[dict[tuple[str, str], int], str, tuple[str,
     return {m: rank for rank, m in enumerate(merges)}, loaded["model"].get("end_of_word_suffix") or "", specials
 
 
+@lru_cache(maxsize=1)
+def _byte_signs() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as one sign: printable Latin-1 as it is, the others from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+def plain_word(part: str) -> str | None:
+    """The signs of a part that is one lower-case word of settled letters, which needs no normalizing or splitting; else None."""
+    if not part.isalpha() or part.lower() != part:
+        return None
+    if part.isascii():
+        return part
+    if max(part) >= _SETTLED:
+        return None
+    return part.encode().decode("latin-1").translate(_byte_signs())
+
+
 def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     """Symbols left when the adjacent pair of lowest rank, the leftmost first, is merged until none is left.
 

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxlens.llm.bpe import WordMemory, tokenizer
-from fluxlens.llm.tasks import pieces, settled, utf8
+from fluxlens.llm.bpe import WordMemory, plain_word, tokenizer
+from fluxlens.llm.tasks import pieces, settled
 
 CAPACITY = 2048
 #: Pieces of one length that are ranked in one task.
@@ -29,9 +30,15 @@ Combination = tuple[tuple[int, ...], int]
 def token_memory(path: str) -> WordMemory:
     """Little-endian 32-bit identifiers of chunks, as the library gives them without added special tokens."""
 
-    def encode(texts: Sequence[str]) -> list[bytes]:
-        found = tokenizer(path).encode_batch_fast(list(texts), add_special_tokens=False)
-        return [np.asarray(e.ids, "<u4").tobytes() for e in found]
+    loaded = tokenizer(path)
+
+    def encode(part: str) -> bytes:
+        signs = plain_word(part)
+        if signs is None:
+            ids = loaded.encode(part, add_special_tokens=False).ids
+        else:
+            ids = [token.id for token in loaded.model.tokenize(signs)]
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     return WordMemory(encode, b"")
 
@@ -44,8 +51,8 @@ def token_pieces(documents: DataFrame, vocabulary: str, capacity: int = CAPACITY
         memory = token_memory(vocabulary)
         for batch in pieces(batches):
             owner, start, length, crc = [], [], [], []
-            for i, values in enumerate(memory.values([t.decode() for t in utf8(batch.column("text"))])):
-                ids = b"".join(values) + closing
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                ids = b"".join(memory.values(text)) + closing if text else closing
                 for at in range(0, len(ids), 4 * capacity):
                     piece = ids[at : at + 4 * capacity]
                     owner.append(i)

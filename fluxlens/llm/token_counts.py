@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxlens.llm.bpe import WordMemory, merge_ranks, merged_count, tokenizer
-from fluxlens.llm.tasks import pieces, utf8
+from fluxlens.llm.bpe import WordMemory, merge_ranks, merged_count, plain_word, tokenizer
+from fluxlens.llm.tasks import pieces
 
 
 def counter(path: str) -> WordMemory:
@@ -19,22 +20,23 @@ def counter(path: str) -> WordMemory:
     loaded = tokenizer(path)
     special = re.compile("|".join(map(re.escape, specials)) or r"(?!)")
 
+    def merged(word: str) -> int:
+        symbols = list(word)
+        symbols[-1] += ending
+        return merged_count(symbols, ranks)
+
     def count(text: str) -> int:
-        total = 0
-        for word, _ in loaded.pre_tokenizer.pre_tokenize_str(loaded.normalizer.normalize_str(text)):
-            symbols = list(word)
-            symbols[-1] += ending
-            total += merged_count(symbols, ranks)
-        return total
+        word = plain_word(text)
+        if word is not None:
+            return merged(word)
+        return sum(merged(w) for w, _ in loaded.pre_tokenizer.pre_tokenize_str(loaded.normalizer.normalize_str(text)))
 
-    def counts(texts: Sequence[str]) -> Iterator[int]:
-        for text in texts:
-            if special.search(text):
-                yield len(special.findall(text)) + sum(map(count, special.split(text)))
-            else:
-                yield count(text)
+    def with_specials(text: str) -> int:
+        if special.search(text):
+            return len(special.findall(text)) + sum(map(count, special.split(text)))
+        return count(text)
 
-    return WordMemory(counts, 0)
+    return WordMemory(with_specials, 0)
 
 
 def count_tokens(documents: DataFrame, vocabulary: str, limit: int = 2048, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -47,10 +49,10 @@ def count_tokens(documents: DataFrame, vocabulary: str, limit: int = 2048, id_co
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory = counter(vocabulary)
         for batch in pieces(batches):
-            raw = utf8(batch.column("text"))
-            counts = [sum(v) for v in memory.values([t.decode() for t in raw])]
+            counts = [sum(memory.values(t)) if t else 0 for t in batch.column("text").to_pylist()]
+            sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).cast(pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(t) for t in raw], pa.int64()), pa.array(counts, pa.int64())],
+                [batch.column("doc_id"), sizes, pa.array(counts, pa.int64())],
                 ["doc_id", "n_bytes", "n_tokens"],
             )
 
