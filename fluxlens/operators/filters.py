@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
 from functools import reduce
 
@@ -117,6 +118,11 @@ def _within_block(field: str, value: object, columns: frozenset[str]) -> Column:
     return text.startswith(shared) & inside if shared else inside
 
 
+def _like_pattern(value: str) -> str:
+    """A backslash quotes %, _ and itself; before anything else it stands for itself, which Spark wants doubled."""
+    return re.sub(r"\\([%_\\])|\\", lambda m: m[0] if m[1] else r"\\", value)
+
+
 _COMPARE = {
     "eq": lambda column, value: column == value,
     "ne": lambda column, value: column != value,
@@ -124,7 +130,7 @@ _COMPARE = {
     "gte": lambda column, value: column >= value,
     "lt": lambda column, value: column < value,
     "lte": lambda column, value: column <= value,
-    "like": lambda column, value: column.like(value),
+    "like": lambda column, value: column.like(_like_pattern(value)),
     "contains": lambda column, value: column.contains(value),
     "prefix": lambda column, value: column.startswith(value),
 }

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from fluxlens.functions.ip import render_ip
 from fluxlens.functions.time import bucket_start, unix_seconds
 from fluxlens.model import (
-    DEFAULT_LIMIT,
     DEFAULT_METRICS,
     DIMENSIONS,
     INTERVAL_SECONDS,
@@ -22,6 +21,7 @@ from fluxlens.model import (
     METRICS,
     ROLLUP_DIMENSIONS,
     ROLLUP_METRICS,
+    ROLLUP_SCHEMA,
     ROLLUP_SPAN_DAYS,
 )
 from fluxlens.operators.filters import QueryError, check_filter, filter_column, filter_fields
@@ -68,14 +68,21 @@ def check_time_range(time_from: datetime | None, time_to: datetime | None) -> No
         raise QueryError(f"time range of {(end - start).days} days exceeds {MAX_SPAN_DAYS} days")
 
 
-def check_limit(limit: int | None) -> int:
-    if not limit or limit <= 0:
-        return DEFAULT_LIMIT
+def check_limit(limit: int | None) -> int | None:
+    """None asks for all rows; a limit is a top list and must not exceed the largest one."""
+    if limit is None:
+        return None
+    if limit <= 0:
+        raise QueryError(f"limit {limit} is not positive; leave it out for all rows")
     if limit > MAX_LIMIT:
-        raise QueryError(f"limit {limit} exceeds {MAX_LIMIT}")
+        raise QueryError(f"limit {limit} exceeds {MAX_LIMIT}; leave it out for all rows")
     return int(limit)
 
 
+def _limited(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
 def metric_column(name: str, table: str) -> Column:
     """Aggregate of one metric; no rows give 0."""
     if name == "flows":
@@ -109,6 +116,61 @@ def choose_table(
     return DETAIL
 
 
+def _filtered(df: DataFrame, filters: Mapping | None) -> DataFrame:
+    condition = filter_column(filters, df.columns)
+    return df if condition is None else df.where(condition)
+
+
+def whole_minutes(time_from: datetime, time_to: datetime) -> tuple[datetime, datetime]:
+    """The part of a range that consists of whole minutes; empty (start >= end) when there is none."""
+    minute = timedelta(minutes=1)
+    start, end = as_utc(time_from), as_utc(time_to)
+    first = start.replace(second=0, microsecond=0)
+    return first if first == start else first + minute, end.replace(second=0, microsecond=0)
+
+
+def rollup_rows(tables: FlowTables, time_from: datetime, time_to: datetime, filters: Mapping | None) -> DataFrame:
+    """Rollup rows of the whole minutes of a range and, at bounds inside a minute, that part from the detail table.
+
+    Summed up, they answer exactly as the detail table does; the detail side reads two minutes at most.
+    """
+    start, end = as_utc(time_from), as_utc(time_to)
+    first, last = whole_minutes(start, end)
+    parts = [(start, min(first, end)), (max(last, first, start), end)] if first <= last else [(start, end)]
+    rows = None
+    if first < last:
+        rows = _filtered(time_filter(tables.rollup, "ts_minute", first, last), filters).select(*ROLLUP_SCHEMA.fieldNames())
+    for a, b in parts:
+        if a < b:
+            single = _filtered(time_filter(tables.detail, "timestamp", a, b), filters)
+            single = single.withColumns({"ts_minute": F.col("timestamp"), "flows": F.lit(1).cast("long")}).select(*ROLLUP_SCHEMA.fieldNames())
+            rows = single if rows is None else rows.unionByName(single)
+    return rows
+
+
+def table_rows(
+    tables: FlowTables,
+    table: str | None,
+    time_from: datetime,
+    time_to: datetime,
+    filters: Mapping | None,
+    group_by: Sequence[str],
+    metrics: Sequence[str],
+    interval: str | None,
+) -> tuple[str, DataFrame, str]:
+    """Which table answers, its rows in the range that pass the filter, and their time column.
+
+    The automatic choice never changes an answer. A rollup that is named explicitly is read alone: bounds inside a
+    minute then select whole minutes by their start.
+    """
+    chosen = choose_table(time_from, time_to, group_by, filters, metrics, interval)
+    name, source = _resolve_table(tables, table, chosen, first_missing_in_rollup(group_by, filters, metrics))
+    if name == ROLLUP and table is None:
+        return name, rollup_rows(tables, time_from, time_to, filters), "ts_minute"
+    moment = "timestamp" if name == DETAIL else "ts_minute"
+    return name, _filtered(time_filter(source, moment, time_from, time_to), filters), moment
+
+
 def _resolve_table(tables: FlowTables, table: str | None, chosen: str, missing: str | None) -> tuple[str, DataFrame]:
     if table is None:
         table = chosen if tables.rollup is not None else DETAIL
@@ -139,7 +201,8 @@ def flow_query(
     """One aggregate question as a lazy DataFrame: ``[ts] + group_by + metrics``.
 
     ``sort`` is ``(column, descending)``, by default the first metric descending. The grouping columns break ties, so
-    a limit always keeps the same rows.
+    a limit always keeps the same rows. Without a limit all rows are returned. Addresses are compared in the canonical
+    spelling that stored tables have; bring other frames into it with ``stored_form`` first.
     """
     if isinstance(tables, DataFrame):
         tables = FlowTables(tables)
@@ -160,15 +223,7 @@ def flow_query(
     field, descending = sort or (metrics[0], True)
     check_filter(filters)
 
-    chosen = choose_table(time_from, time_to, group_by, filters, metrics, interval)
-    missing = first_missing_in_rollup(group_by, filters, metrics)
-    name, source = _resolve_table(tables, table, chosen, missing)
-    moment = "timestamp" if name == DETAIL else "ts_minute"
-
-    rows = time_filter(source, moment, time_from, time_to)
-    condition = filter_column(filters, source.columns)
-    if condition is not None:
-        rows = rows.where(condition)
+    name, rows, moment = table_rows(tables, table, time_from, time_to, filters, group_by, metrics, interval)
     keys = [bucket_start(F.col(moment), interval).alias("ts")] if interval else []
     keys += [F.col(g) for g in group_by]
     result = rows.groupBy(*keys).agg(*[metric_column(m, name).alias(m) for m in metrics])
@@ -179,10 +234,10 @@ def flow_query(
             result = result.withColumn(ip, render_ip(F.col(ip)))
     order = [F.col(field).desc() if descending else F.col(field).asc()]
     order += [F.col(c).asc() for c in outputs if c not in metrics and c != field]
-    return result.orderBy(*order).limit(limit).select(*outputs)
+    return _limited(result.orderBy(*order), limit).select(*outputs)
 
 
-# Columns of a detail answer, in order.
+# Columns of a detail answer, in order.
 DETAIL_COLUMNS = (
     "ts",
     "ts_end",
@@ -220,14 +275,11 @@ def flow_detail(
     filters: Mapping | None = None,
     limit: int | None = None,
 ) -> DataFrame:
-    """Single flows, newest first. All output columns break ties, as flows carry no identity of their own."""
+    """Single flows, newest first, all of them without a limit. All output columns break ties, as flows carry no identity of their own."""
     check_time_range(time_from, time_to)
     limit = check_limit(limit)
     check_filter(filters)
-    rows = time_filter(detail, "timestamp", time_from, time_to)
-    condition = filter_column(filters, detail.columns)
-    if condition is not None:
-        rows = rows.where(condition)
+    rows = _filtered(time_filter(detail, "timestamp", time_from, time_to), filters)
     derived = {
         "ts": unix_seconds(F.col("timestamp")).alias("ts"),
         "ts_end": unix_seconds(F.col("timestamp_end")).alias("ts_end"),
@@ -235,4 +287,4 @@ def flow_detail(
         "dst_ip": render_ip(F.col("dst_ip")).alias("dst_ip"),
     }
     shown = rows.select(F.col("timestamp").alias("_at"), *[derived.get(c, F.col(c)) for c in DETAIL_COLUMNS])
-    return shown.orderBy(F.col("_at").desc(), *DETAIL_COLUMNS).limit(limit).drop("_at")
+    return _limited(shown.orderBy(F.col("_at").desc(), *DETAIL_COLUMNS), limit).drop("_at")

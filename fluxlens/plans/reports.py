@@ -1,4 +1,4 @@
-"""The boards of the dashboard. Each composes ``flow_query``; rows returned are bounded by the limit of the board.
+"""The boards of the dashboard. Each composes ``flow_query``; top lists have the limit of the board, series have none.
 
 ``Scope`` carries what all panels of one screen share: tables, time range and the common filter.
 """
@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 from fluxlens.functions.ip import render_ip
 from fluxlens.functions.names import protocol_name
 from fluxlens.functions.time import bucket_start
-from fluxlens.model import IP_FIELDS
+from fluxlens.model import DEFAULT_LIMIT, IP_FIELDS
 from fluxlens.operators.filters import QueryError, all_of, check_filter, filter_column
 from fluxlens.operators.query import (
     DETAIL,
     FlowTables,
     check_time_range,
-    choose_table,
     flow_query,
     metric_column,
+    table_rows,
     time_filter,
 )
 from fluxlens.plans.ranges import interval_for_span
@@ -33,9 +33,7 @@ TOP_LIMIT = 10
 STACK_KEYS = 6
 COMPOSITION_LIMIT = 8
 CONVERSATION_LIMIT = 40
-COUNTRY_LIMIT = 250
 BOARD_LIMIT = 15
-SERIES_LIMIT = 10_000
 
 
 @dataclass(frozen=True)
@@ -84,19 +82,21 @@ def top_board(
 
 
 def traffic_trend(scope: Scope, metric: str = "bytes", interval: str | None = None) -> DataFrame:
-    """Total of one metric per time bucket, ascending."""
+    """Total of one metric per time bucket, ascending and never cut."""
     interval = interval or interval_for_span(scope.time_from, scope.time_to)
-    return scope.query(metrics=[metric], interval=interval, sort=("ts", False), limit=SERIES_LIMIT)
+    return scope.query(metrics=[metric], interval=interval, sort=("ts", False))
 
 
 def zero_filled_series(rows: DataFrame, keys: DataFrame, value: str = "value", limit: int = STACK_KEYS) -> DataFrame:
     """Series ``(ts, key, value)`` in which every bucket has every key, 0 where ``rows`` has nothing.
 
-    ``keys`` holds at most ``limit`` rows ``(position, key)`` with positions from 1; rows of other keys are ignored.
+    ``keys`` holds at most ``limit`` rows ``(position, key)`` with positions from 1, and a further position fails the
+    job; rows of other keys are ignored.
     Each bucket becomes one row with a sum per position (one hash aggregation on the bucket), which is then unfolded:
     no pairing of buckets with keys is needed.
     """
-    small = F.broadcast(keys.limit(limit))
+    beyond = F.raise_error(F.format_string(f"position %d is beyond the {limit} series that were asked for", "position"))
+    small = F.broadcast(keys.withColumn("position", F.when(F.col("position") <= limit, F.col("position")).otherwise(beyond.cast("int"))))
     placed = rows.join(small, "key")
     sums = [
         F.coalesce(F.sum(F.when(F.col("position") == i, F.col(value))), F.lit(0)).alias(f"v{i}")
@@ -133,14 +133,7 @@ def stacked_trend(
         F.col(dimension).alias("key"), F.row_number().over(order).alias("position")
     )
     tree = all_of(scope.filters, filters)
-    question = dict(group_by=[dimension], filters=tree, metrics=[metric], interval=interval)
-    table = choose_table(scope.time_from, scope.time_to, **question) if scope.tables.rollup is not None else DETAIL
-    source = scope.tables.detail if table == DETAIL else scope.tables.rollup
-    moment = "timestamp" if table == DETAIL else "ts_minute"
-    rows = time_filter(source, moment, scope.time_from, scope.time_to)
-    condition = filter_column(tree, source.columns)
-    if condition is not None:
-        rows = rows.where(condition)
+    table, rows, moment = table_rows(scope.tables, None, scope.time_from, scope.time_to, tree, [dimension], [metric], interval)
     shown = render_ip(F.col(dimension)) if dimension in IP_FIELDS else F.col(dimension)
     amount = F.lit(1).cast("long") if metric == "flows" and table == DETAIL else F.col(metric)
     series = rows.select(bucket_start(F.col(moment), interval).alias("ts"), shown.alias("key"), amount.alias("value"))
@@ -217,8 +210,8 @@ def host_drilldown(
 
 def country_map(scope: Scope, field: str = "src_country", metric: str = "bytes") -> DataFrame:
     """Traffic of two-letter countries with the logarithm that colours the map."""
-    top = scope.query(group_by=[field], metrics=[metric], limit=COUNTRY_LIMIT)
-    return top.where(F.char_length(field) == 2).withColumn("log_value", F.log10(F.col(metric) + 1))
+    countries = scope.query(group_by=[field], metrics=[metric])
+    return countries.where(F.char_length(field) == 2).withColumn("log_value", F.log10(F.col(metric) + 1))
 
 
 def geo_boards(scope: Scope, metric: str = "bytes", city_available: bool = True) -> dict[str, DataFrame]:
@@ -233,7 +226,7 @@ def explorer(
     logic: str = "AND",
     group_by: str = "src_ip",
     metric: str = "bytes",
-    limit: int | None = None,
+    limit: int | None = DEFAULT_LIMIT,
 ) -> DataFrame:
     """Free combination: any list of conditions joined by AND or OR, one dimension, one metric."""
     if not conditions:

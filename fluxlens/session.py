@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -38,11 +39,11 @@ def _local_root(application: str) -> str:
 def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared folder that the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local master, where every task sees the same disk, may fall back to a temporary folder.
+    Only a plain local master, where tasks run in this very process, may fall back to a temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
         root = _local_root(spark.sparkContext.applicationId)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxlens.functions.ip import canonical_ip, ip_key
 from fluxlens.functions.time import bucket_start, duration_ms, millisecond_precision
-from fluxlens.model import FLOW_SCHEMA, ROLLUP_SCHEMA, STORED_SCHEMA, conform
+from fluxlens.model import (
+    DETAIL_RETENTION_DAYS,
+    FLOW_SCHEMA,
+    ROLLUP_RETENTION_DAYS,
+    ROLLUP_SCHEMA,
+    STORED_SCHEMA,
+    conform,
+)
 from fluxlens.operators.query import time_filter
 from fluxlens.operators.rollup import compact_rollup
 from fluxlens.operators.upkeep import retention_cutoff
@@ -23,6 +32,12 @@ _BLOOM = {
     "parquet.bloom.filter.adaptive.enabled": "true",
 }
 _STORED_ORDER = ("timestamp", "src_ip", "dst_ip", "src_port", "dst_port")
+_FLOW_PARTITION = ["flow_date", "stream", "batch_id"]
+_ROLLUP_PARTITION = ["month", "stream", "batch_id"]
+#: Names that streams cannot take: writes without a batch number, and merged files.
+BATCH_WRITES, MERGED = "_batch", "_merged"
+_MERGED, _RETIRED = "_compacting", "_retired"
+_FLOW_FILES = T.StructType([f for f in STORED_SCHEMA.fields if f.name != "flow_date"])
 _ROLLUP_STORED = T.StructType([*ROLLUP_SCHEMA.fields, T.StructField("month", T.IntegerType(), True)])
 
 
@@ -50,37 +65,62 @@ def stored_form(flows: DataFrame) -> DataFrame:
     ).select(*STORED_SCHEMA.fieldNames())
 
 
-def append_flows(flows: DataFrame, path: str, batch_id: int | None = None) -> None:
-    """Append flows to the detail table.
+def stream_name(stream: str) -> str:
+    """A stream's name is part of paths, so it is kept to letters, digits, dots, dashes and underscores."""
+    if not re.fullmatch(r"[A-Za-z0-9][A-Za-z0-9._-]*", stream):
+        raise ValueError(f"{stream!r} cannot name a stream")
+    return stream
 
-    Rows are gathered by hour with a rebalance: adaptive execution splits an hour that outgrows the advisory
-    partition size and merges small ones, so a burst never lands in one writer and files cover narrow time ranges.
-    With ``batch_id`` the batch owns its own sub-partitions and overwrites them, which makes a repeated batch harmless.
-    """
-    rows = stored_form(flows)
-    partition = ["flow_date"]
-    if batch_id is not None:
-        rows = rows.withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-        partition.append("batch_id")
+
+def _owned(rows: DataFrame, stream: str | None, batch_id: int | None) -> DataFrame:
+    """Rows with the partition columns of whoever writes them: every table has the same layout for all writers."""
+    if (stream is None) != (batch_id is None):
+        raise ValueError("a numbered batch needs the name of its stream, and a stream numbers its batches")
+    return rows.withColumns(
+        {
+            "stream": F.lit(BATCH_WRITES if stream is None else stream if stream == MERGED else stream_name(stream)),
+            "batch_id": F.lit(0 if batch_id is None else int(batch_id)).cast("long"),
+        }
+    )
+
+
+def _write(rows: DataFrame, path: str, partition: list[str], gather: Column, order: list[str], overwrite: bool, **options) -> None:
     writer = (
-        rows.withColumn("_hour", bucket_start(F.col("timestamp"), "hour"))
-        .hint("rebalance", "_hour")
-        .sortWithinPartitions(*partition, *_STORED_ORDER)
-        .drop("_hour")
+        rows.withColumn("_gather", gather)
+        .hint("rebalance", "_gather")
+        .sortWithinPartitions(*partition, *order)
+        .drop("_gather")
         .write.partitionBy(*partition)
-        .options(**_BLOOM)
+        .options(**options)
     )
-    if batch_id is None:
-        writer.mode("append").parquet(path)
-    else:
+    if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    else:
+        writer.mode("append").parquet(path)
+
+
+def append_flows(flows: DataFrame, path: str, stream: str | None = None, batch_id: int | None = None) -> None:
+    """Append flows to the detail table.
+
+    Rows are gathered by hour with a rebalance: adaptive execution splits an hour that outgrows the advisory
+    partition size and merges small ones, so a burst never lands in one writer and files cover narrow time ranges.
+    With ``stream`` and ``batch_id`` the batch owns its own sub-partitions and overwrites them, which makes a repeated
+    batch harmless and keeps streams apart. Without them files are added, next to whatever streams write.
+    """
+    append_stored(stored_form(flows), path, stream, batch_id)
+
+
+def append_stored(rows: DataFrame, path: str, stream: str | None = None, batch_id: int | None = None) -> None:
+    """As :func:`append_flows` for rows that ``stored_form`` has made."""
+    hour = bucket_start(F.col("timestamp"), "hour")
+    _write(_owned(rows, stream, batch_id), path, _FLOW_PARTITION, hour, list(_STORED_ORDER), stream is not None, **_BLOOM)
 
 
 def read_flows(
     spark: SparkSession, path: str, time_from: datetime | None = None, time_to: datetime | None = None
 ) -> DataFrame:
     """The detail table, optionally only a time range (whole days outside it are never listed for reading)."""
-    rows = spark.read.schema(STORED_SCHEMA).parquet(path)
+    rows = spark.read.schema(STORED_SCHEMA).parquet(path).select(*STORED_SCHEMA.fieldNames())
     if time_from is not None and time_to is not None:
         rows = time_filter(rows, "timestamp", time_from, time_to)
     return rows
@@ -91,19 +131,11 @@ def _with_month(rollup: DataFrame) -> DataFrame:
     return rollup.withColumn("month", F.year(day) * 100 + F.month(day))
 
 
-def append_rollup(rollup: DataFrame, path: str, batch_id: int) -> None:
-    """Add one batch of partial sums; the batch overwrites its own sub-partitions, so a retry cannot count twice."""
-    rows = _with_month(conform(rollup, ROLLUP_SCHEMA)).withColumn("batch_id", F.lit(int(batch_id)).cast("long"))
-    (
-        rows.withColumn("_day", bucket_start(F.col("ts_minute"), "day"))
-        .hint("rebalance", "_day")
-        .sortWithinPartitions("month", "batch_id", "ts_minute", "src_ip")
-        .drop("_day")
-        .write.partitionBy("month", "batch_id")
-        .mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .parquet(path)
-    )
+def append_rollup(rollup: DataFrame, path: str, stream: str | None = None, batch_id: int | None = None) -> None:
+    """Add partial sums; a numbered batch overwrites its own sub-partitions, so a retry cannot count twice."""
+    rows = _owned(_with_month(conform(rollup, ROLLUP_SCHEMA)), stream, batch_id)
+    day = bucket_start(F.col("ts_minute"), "day")
+    _write(rows, path, _ROLLUP_PARTITION, day, ["ts_minute", "src_ip"], stream is not None, **_BLOOM)
 
 
 def write_compacted_rollup(parts: DataFrame, path: str) -> None:
@@ -127,22 +159,130 @@ def write_compacted_rollup(parts: DataFrame, path: str) -> None:
 
 def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     """The stored rollup. Parts are merged lazily, so readers always sum again (as ``flow_query`` does)."""
-    return spark.read.schema(_ROLLUP_STORED).parquet(path)
+    return spark.read.schema(_ROLLUP_STORED).parquet(path).select(*_ROLLUP_STORED.fieldNames())
 
 
-def drop_expired_days(spark: SparkSession, path: str, *, now: datetime, days: int) -> list[str]:
+class _Folder:
+    """A table's folder through Hadoop's file system, wherever it is."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path.rstrip("/")
+        self._new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self.files = self._new(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def at(self, *names: str):
+        return self._new("/".join([self.path, *names]))
+
+    def exists(self, *names: str) -> bool:
+        return self.files.exists(self.at(*names))
+
+    def names(self, *names: str) -> list[str]:
+        """Names of the folders in a folder, hidden ones left out."""
+        if not self.exists(*names):
+            return []
+        found = (s for s in self.files.listStatus(self.at(*names)) if s.isDirectory())
+        return sorted(n for n in (s.getPath().getName() for s in found) if not n.startswith(("_", ".")))
+
+    def delete(self, *names: str) -> None:
+        self.files.delete(self.at(*names), True)
+
+    def move(self, source: tuple[str, ...], target: tuple[str, ...]) -> None:
+        self.files.mkdirs(self.at(*target[:-1]))
+        if not self.files.rename(self.at(*source), self.at(*target)):
+            raise OSError(f"{'/'.join(source)} could not be moved to {'/'.join(target)}")
+
+
+def has_stream(spark: SparkSession, path: str, stream: str) -> bool:
+    """Whether a stream of this name has written to the table."""
+    folder = _Folder(spark, path)
+    return any(folder.exists(top, f"stream={stream}") for top in folder.names())
+
+
+def _writers(folder: _Folder, top: str) -> int:
+    return sum(len(folder.names(top, s)) for s in folder.names(top))
+
+
+def _finish_swaps(folder: _Folder) -> None:
+    """Complete the swaps that a crash has interrupted: a merged partition is in place before the old one goes."""
+    for top in folder.names(_MERGED):
+        if folder.exists(_MERGED, top, "_SUCCESS"):
+            if folder.exists(top) and not folder.exists(_RETIRED, top):
+                folder.move((top,), (_RETIRED, top))
+            if not folder.exists(top):
+                folder.move((_MERGED, top), (top,))
+        if folder.exists(_MERGED, top):
+            folder.delete(_MERGED, top)
+    if folder.exists(_RETIRED):
+        folder.delete(_RETIRED)
+
+
+def _swap_in(folder: _Folder, top: str, write: Callable[[str], None]) -> None:
+    """Replace one partition by what ``write`` puts into a hidden folder; readers see the old or the new files."""
+    write("/".join([folder.path, _MERGED, top]))
+    _finish_swaps(folder)
+
+
+def compact_flows(spark: SparkSession, path: str, *, before: date) -> list[str]:
+    """Merge the files of every closed day before ``before`` that several batches have written; returns the days.
+
+    A day is closed when no batch will write or repeat rows of it. Rows that come later all the same are added next to
+    the merged ones and merged again. The old files of a day go only after the merged ones are complete.
+    """
+    folder = _Folder(spark, path)
+    _finish_swaps(folder)
+    merged = []
+    for top in folder.names():
+        if top.startswith("flow_date=") and date.fromisoformat(top.removeprefix("flow_date=")) < before and _writers(folder, top) > 1:
+
+            def write(target: str, top: str = top) -> None:
+                rows = spark.read.schema(_FLOW_FILES).parquet(f"{folder.path}/{top}").select(*_FLOW_FILES.fieldNames())
+                hour = bucket_start(F.col("timestamp"), "hour")
+                _write(_owned(rows, MERGED, 0), target, ["stream", "batch_id"], hour, list(_STORED_ORDER), False, **_BLOOM)
+
+            _swap_in(folder, top, write)
+            merged.append(top)
+    return merged
+
+
+def compact_rollup_months(spark: SparkSession, path: str) -> list[str]:
+    """Sum up the parts of every month that has more than one, in place; returns the months.
+
+    Only months with new parts are read. A batch that may still be repeated must not be merged: run it between batches.
+    """
+    folder = _Folder(spark, path)
+    _finish_swaps(folder)
+    merged = []
+    for top in folder.names():
+        if top.startswith("month=") and _writers(folder, top) > 1:
+
+            def write(target: str, top: str = top) -> None:
+                rows = compact_rollup(spark.read.schema(ROLLUP_SCHEMA).parquet(f"{folder.path}/{top}").select(*ROLLUP_SCHEMA.fieldNames()))
+                day = bucket_start(F.col("ts_minute"), "day")
+                _write(_owned(rows, MERGED, 0), target, ["stream", "batch_id"], day, ["ts_minute", "src_ip"], False, **_BLOOM)
+
+            _swap_in(folder, top, write)
+            merged.append(top)
+    return merged
+
+
+def _drop(spark: SparkSession, path: str, key: str, expired: Callable[[str], bool]) -> list[str]:
+    folder = _Folder(spark, path)
+    dropped = [n for n in folder.names() if n.startswith(f"{key}=") and expired(n.removeprefix(f"{key}="))]
+    for name in dropped:
+        folder.delete(name)
+    return dropped
+
+
+def drop_expired_days(spark: SparkSession, path: str, *, now: datetime, days: int = DETAIL_RETENTION_DAYS) -> list[str]:
     """Delete the day partitions that lie wholly before the cutoff and return their names.
 
     Only the folder list is looked at; rows of the cutoff day itself are left to :func:`retain`.
     """
     cutoff = retention_cutoff(days, now).date()
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    dropped = []
-    for status in files.listStatus(folder):
-        name = status.getPath().getName()
-        if name.startswith("flow_date=") and date.fromisoformat(name.removeprefix("flow_date=")) < cutoff:
-            files.delete(status.getPath(), True)
-            dropped.append(name)
-    return sorted(dropped)
+    return _drop(spark, path, "flow_date", lambda day: date.fromisoformat(day) < cutoff)
+
+
+def drop_expired_months(spark: SparkSession, path: str, *, now: datetime, days: int = ROLLUP_RETENTION_DAYS) -> list[str]:
+    """The same for the months of the rollup."""
+    cutoff = retention_cutoff(days, now)
+    return _drop(spark, path, "month", lambda month: int(month) < cutoff.year * 100 + cutoff.month)

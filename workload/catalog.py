@@ -115,7 +115,7 @@ def s02(spark, sf):
     batch = d.flows(spark, sf).withColumn("src_ip", spelled)
     path = work_folder(spark, "flows")
     for _ in range(2):
-        tables.append_flows(batch, path, batch_id=7)
+        tables.append_flows(batch, path, stream="again", batch_id=7)
     stored = tables.read_flows(spark, path)
     return stored.select(
         unix_seconds(F.col("timestamp")).alias("ts"),
@@ -287,9 +287,15 @@ def s11(spark, sf):
 # Observations to flows
 
 
-@query("o01_sample_one_in_n")
+@query(
+    "o01_sample_one_in_n",
+    sql.OBSERVATIONS,
+    f"""SELECT us AS ts_us, {sql.FIVE_TUPLE}, length, CAST(raw_packets AS BIGINT) AS packets, tcp_flags, vlan FROM obs
+    WHERE CAST('0x' || substr(md5(concat_ws('|', {sql.FIVE_TUPLE}, us)), 1, 8) AS BIGINT) % 4 = 0""",
+)
 def o01(spark, sf):
-    return ob.sample_one_in_n(d.observations(spark, sf), 4)
+    sample = ob.sample_one_in_n(d.observations(spark, sf), 4)
+    return sample.select(F.unix_micros("ts").alias("ts_us"), *sql.FIVE_TUPLE.split(", "), "length", "packets", "tcp_flags", "vlan")
 
 
 _WINDOW_FLOWS = f"""SELECT first_us AS timestamp_us, last_us AS timestamp_end_us, {sql.FIVE_TUPLE},
@@ -568,11 +574,11 @@ def _filtered(name: str, tree: dict, where: str, group: str = "application", sou
         name,
         sql.ENRICHED if source == "cities" else sql.FLOWS,
         f"""SELECT {group}, {_sums("bytes", "packets", "flows")} FROM {"cities" if source == "cities" else "flows"}
-        WHERE {where} GROUP BY ALL ORDER BY bytes DESC, {group} LIMIT 10000""",
+        WHERE {where} GROUP BY ALL""",
     )
     def run(spark, sf):
         flows = {"cities": d.geo_flows, "keyed": d.keyed_source_flows}.get(source, d.flows)(spark, sf)
-        return flow_query(flows, **ALL, filters=tree, group_by=[group], limit=10_000)
+        return flow_query(flows, **ALL, filters=tree, group_by=[group])
 
     return run
 
@@ -581,7 +587,7 @@ def _filtered(name: str, tree: dict, where: str, group: str = "application", sou
     "p01_time_range",
     sql.FLOWS,
     f"""SELECT application, {_sums("bytes", "packets", "flows")} FROM flows
-    WHERE ts >= {T0 + 4 * 86400 + 23415} AND ts < {T0 + 11 * 86400} GROUP BY ALL ORDER BY bytes DESC, application LIMIT 100""",
+    WHERE ts >= {T0 + 4 * 86400 + 23415} AND ts < {T0 + 11 * 86400} GROUP BY ALL""",
 )
 def p01(spark, sf):
     start, end = FROM + timedelta(days=4, seconds=23415), FROM + timedelta(days=11)
@@ -653,18 +659,17 @@ _filtered(
 # Aggregation, time buckets, rollup
 
 
-def _grouped(name: str, metrics: tuple[str, ...], group: tuple[str, ...], source: str = "flows", limit: int = 10_000):
+def _grouped(name: str, metrics: tuple[str, ...], group: tuple[str, ...], source: str = "flows"):
     dimensions = ", ".join(group)
-    order = ", ".join([f"{metrics[0]} DESC", *group])
 
     @query(
         name,
         sql.ENRICHED if source == "cities" else sql.FLOWS,
-        f"SELECT {dimensions}, {_sums(*metrics)} FROM {source} GROUP BY ALL ORDER BY {order} LIMIT {limit}",
+        f"SELECT {dimensions}, {_sums(*metrics)} FROM {source} GROUP BY ALL",
     )
     def run(spark, sf):
         flows = d.geo_flows(spark, sf) if source == "cities" else d.flows(spark, sf)
-        return flow_query(flows, **ALL, group_by=group, metrics=metrics, limit=limit)
+        return flow_query(flows, **ALL, group_by=group, metrics=metrics)
 
     return run
 
@@ -685,7 +690,7 @@ def _bucketed(interval: str, seconds: int, group: tuple[str, ...], days: int):
         f"a07_bucket_{interval}",
         sql.FLOWS,
         f"""SELECT ts - ts % {seconds} AS ts{dimensions}, {_sums("bytes", "flows")} FROM flows
-        WHERE ts >= {T0} AND ts < {T0 + days * 86400} GROUP BY ALL ORDER BY ts{dimensions} LIMIT 10000""",
+        WHERE ts >= {T0} AND ts < {T0 + days * 86400} GROUP BY ALL""",
     )
     def run(spark, sf):
         return flow_query(
@@ -696,13 +701,12 @@ def _bucketed(interval: str, seconds: int, group: tuple[str, ...], days: int):
             group_by=group,
             metrics=("bytes", "flows"),
             sort=("ts", False),
-            limit=10_000,
         )
 
     return run
 
 
-_bucketed("minute", 60, (), 6)
+_bucketed("minute", 60, (), 30)
 _bucketed("hour", 3600, ("protocol", "source_type"), 30)
 _bucketed("day", 86400, ("application",), 30)
 
@@ -729,11 +733,24 @@ def a10(spark, sf):
     lines = _lineitem(spark, sf)
     for batch, flag in enumerate(("A", "N", "R")):
         batch_flows = d.flows_from_lineitem(lines.where(F.col("l_returnflag") == flag))
-        tables.append_rollup(build_rollup_1m(batch_flows), parts, batch)
+        tables.append_rollup(build_rollup_1m(batch_flows), parts, "lines", batch)
     tables.write_compacted_rollup(tables.read_rollup(spark, parts), merged)
     return _rollup_out(tables.read_rollup(spark, merged).drop("month"))
 
 
+@query("a10_compact_in_rounds", sql.FLOWS, sql.ROLLUP_SELECT.format(source="flows"))
+def a10_rounds(spark, sf):
+    """Parts that arrive after a first merge are merged in a second; one table holds everything at all times."""
+    path = work_folder(spark, "rollup")
+    lines = _lineitem(spark, sf)
+    for batch, flag in enumerate(("A", "N", "R")):
+        batch_flows = d.flows_from_lineitem(lines.where(F.col("l_returnflag") == flag))
+        tables.append_rollup(build_rollup_1m(batch_flows), path, "lines", batch)
+        if flag != "A":
+            tables.compact_rollup_months(spark, path)
+    return _rollup_out(tables.read_rollup(spark, path).drop("month"))
+
+
 _UNALIGNED = dict(time_from=FROM + timedelta(days=2, seconds=3630), time_to=FROM + timedelta(days=9, seconds=17))
 
 
@@ -742,10 +759,10 @@ _UNALIGNED = dict(time_from=FROM + timedelta(days=2, seconds=3630), time_to=FROM
     sql.ENRICHED,
     f"""SELECT ts - ts % 60 - (ts - ts % 60) % 3600 AS ts, application, dst_country, {_sums("bytes", "packets", "flows")}
     FROM enriched WHERE ts - ts % 60 >= {T0 + 2 * 86400 + 3630} AND ts - ts % 60 < {T0 + 9 * 86400 + 17}
-    GROUP BY ALL ORDER BY bytes DESC, ts, application, dst_country LIMIT 10000""",
+    GROUP BY ALL""",
 )
 def a11(spark, sf):
-    """Unaligned bounds select whole minutes by their start."""
+    """In a rollup that is named explicitly, unaligned bounds select whole minutes by their start."""
     flows = d.enriched_flows(spark, sf)
     return flow_query(
         FlowTables(flows, build_rollup_1m(flows)),
@@ -753,7 +770,6 @@ def a11(spark, sf):
         interval="hour",
         group_by=["application", "dst_country"],
         table=ROLLUP,
-        limit=10_000,
     )
 
 
@@ -775,6 +791,38 @@ def a12(spark, sf):
     return answers[0].unionByName(answers[1]).unionByName(answers[2])
 
 
+def _unaligned(days: int) -> tuple[int, int]:
+    return T0 + 2 * 86400 + 3630, T0 + (2 + days) * 86400 + 17
+
+
+@query(
+    "a12_unaligned_range",
+    sql.FLOWS,
+    " UNION ALL ".join(
+        f"""SELECT '{days} days' AS span, CAST(ts - ts % 3600 AS BIGINT) AS ts, protocol, {_sums("bytes", "packets", "flows")} FROM flows
+        WHERE ts >= {_unaligned(days)[0]} AND ts < {_unaligned(days)[1]} GROUP BY ALL
+        UNION ALL SELECT '{days} days in all', 0, protocol, {_sums("bytes", "packets", "flows")} FROM flows
+        WHERE ts >= {_unaligned(days)[0]} AND ts < {_unaligned(days)[1]} GROUP BY ALL"""
+        for days in (2, 4)
+    ),
+)
+def a12_unaligned(spark, sf):
+    """The automatic choice answers as the detail table does, whatever the bounds and the length of the range."""
+    flows = d.flows(spark, sf)
+    both = FlowTables(flows, build_rollup_1m(flows))
+    answers = []
+    for days in (2, 4):
+        start, end = (datetime.fromtimestamp(t, UTC) for t in _unaligned(days))
+        series = flow_query(both, time_from=start, time_to=end, group_by=["protocol"], interval="hour")
+        total = flow_query(both, time_from=start, time_to=end, group_by=["protocol"])
+        answers.append(series.withColumn("span", F.lit(f"{days} days")))
+        answers.append(total.withColumns({"span": F.lit(f"{days} days in all"), "ts": F.lit(0).cast("long")}))
+    result = answers[0]
+    for answer in answers[1:]:
+        result = result.unionByName(answer)
+    return result
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # Sort, limit, detail, upkeep
 
@@ -844,6 +892,39 @@ def d04(spark, sf):
     return kept.groupBy(day.alias("day")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("flows"))
 
 
+@query(
+    "d04_rollup_retention",
+    sql.FLOWS,
+    f"""SELECT CAST(strftime(make_timestamp(ts * 1000000), '%Y%m') AS INTEGER) AS month, {_sums("bytes", "flows")} FROM flows
+    WHERE ts >= {T0 - 31 * 86400} GROUP BY ALL""",
+)
+def d04_rollup(spark, sf):
+    """Months of the rollup that lie wholly before the cutoff are deleted as partitions."""
+    path = work_folder(spark, "rollup")
+    rollup = build_rollup_1m(d.flows(spark, sf))
+    earlier = rollup.withColumn("ts_minute", F.col("ts_minute") - F.expr("INTERVAL 90 DAYS"))
+    tables.append_rollup(rollup.unionByName(earlier), path)
+    tables.drop_expired_months(spark, path, now=_NOW, days=40)
+    return tables.read_rollup(spark, path).groupBy("month").agg(F.sum("bytes").alias("bytes"), F.sum("flows").alias("flows"))
+
+
+@query(
+    "d04_compact_flows",
+    sql.FLOWS,
+    f"SELECT ts - ts % 86400 AS day, 1 AS streams, {_sums('bytes', 'flows')} FROM flows GROUP BY ALL",
+)
+def d04_compact(spark, sf):
+    """Closed days written by several batches become one set of files each; the rows stay."""
+    path = work_folder(spark, "flows")
+    for batch in range(2):
+        tables.append_flows(d.flows(spark, sf).where(F.col("observed_packets") % 2 == batch), path, stream="lines", batch_id=batch)
+    tables.compact_flows(spark, path, before=TO.date())
+    stored = spark.read.parquet(path)
+    day = unix_seconds(F.col("flow_date").cast("timestamp"))
+    sums = (F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("flows"))
+    return stored.groupBy(day.alias("day")).agg(F.count_distinct("stream", "batch_id").cast("int").alias("streams"), *sums)
+
+
 @query("d05_table_profile", sql.FLOWS, "SELECT count(*) AS rows, min(ts) AS oldest, max(ts) AS newest FROM flows")
 def d05(spark, sf):
     return upkeep.table_profile(d.flows(spark, sf))
@@ -882,7 +963,7 @@ def r02_ports(spark, sf):
 @query(
     "r03_traffic_trend",
     sql.FLOWS,
-    f"SELECT ts - ts % 86400 AS ts, {_sums('bytes')} FROM flows GROUP BY ALL ORDER BY ts LIMIT 10000",
+    f"SELECT ts - ts % 86400 AS ts, {_sums('bytes')} FROM flows GROUP BY ALL",
 )
 def r03(spark, sf):
     return reports.traffic_trend(_scope(d.flows(spark, sf), rollup=True))
@@ -963,7 +1044,7 @@ def r07(spark, sf):
     "r08_country_map",
     sql.ENRICHED,
     f"""SELECT dst_country, bytes, round(log10(bytes + 1), 9) AS log_value FROM
-    (SELECT dst_country, {_sums("bytes")} FROM cities GROUP BY ALL ORDER BY bytes DESC, dst_country LIMIT 250)
+    (SELECT dst_country, {_sums("bytes")} FROM cities GROUP BY ALL)
     WHERE length(dst_country) = 2""",
 )
 def r08(spark, sf):
@@ -1031,6 +1112,7 @@ def t01(spark, sf):
             netflow.decode_netflow_v5(payloads),
             path,
             checkpoint,
+            stream="netflow",
             enrich=lambda f: enrich.enrich_flows(f, asn=index),
             available_now=True,
         )
@@ -1069,23 +1151,75 @@ def t02(spark, sf):
     return spark.read.parquet(path)
 
 
+_INPUTS = f"""{sql.WINDOWS}, {sql.NETFLOW_RAW}, {sql.SFLOW_RAW.replace(sql.TIMED + ",", "")},
+inputs AS (
+  SELECT 'LOCAL_XDP' AS source_type, protocol, bytes, packets FROM windows
+  UNION ALL SELECT source_type, protocol, bytes, packets FROM netflow
+  UNION ALL SELECT source_type, protocol, bytes, packets FROM sflow)"""
+
+
+@query(
+    "t04_separate_streams",
+    f"""{_INPUTS}, flows0 AS (SELECT 'LOCAL_XDP' AS source_type, protocol, bytes, packets FROM windows),
+    stored AS (SELECT source_type, protocol, bytes, packets FROM netflow
+      UNION ALL SELECT source_type, protocol, bytes, packets FROM sflow UNION ALL SELECT * FROM flows0)""",
+    f"""SELECT source_type, protocol, {_sums("bytes", "packets", "flows")} FROM stored GROUP BY ALL""",
+)
+def t04_separate(spark, sf):
+    """NetFlow and sFlow as two queries of their own and a batch of local flows, all into one table."""
+    path, rollup = work_folder(spark, "flows"), work_folder(spark, "rollup")
+    lines = d.stream(spark, sf, "lineitem")
+    inputs = {
+        "netflow": netflow.decode_netflow_v5(d.netflow_payloads(lines)),
+        "sflow": sflow.decode_sflow_v5(d.sflow_payloads(lines)),
+    }
+    started = [
+        ingest.start_flow_ingest(flows, path, work_folder(spark, "stream"), stream=name, rollup_path=rollup, available_now=True)
+        for name, flows in inputs.items()
+    ]
+    for running in started:
+        _drain(running)
+    local = ob.aggregate_flows(d.observations(spark, sf))
+    tables.append_flows(local, path)
+    tables.append_rollup(build_rollup_1m(tables.stored_form(local)), rollup)
+    stored = tables.read_flows(spark, path).groupBy("source_type", "protocol")
+    sums = [F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets")]
+    detail = stored.agg(*sums, F.count(F.lit(1)).alias("flows"))
+    minutes = tables.read_rollup(spark, rollup).groupBy("source_type", "protocol").agg(*sums, F.sum("flows").alias("flows"))
+    return detail.join(minutes, detail.columns, "left_semi")
+
+
+@query(
+    "t03_rollup_of_dirty_addresses",
+    sql.FLOWS,
+    f"""SELECT src, {_sums("bytes", "flows")} FROM (SELECT bytes, CASE WHEN observed_packets % 11 = 0 THEN '::'
+      WHEN observed_packets % 13 = 0 THEN '2001:db8::' || lower(to_hex(observed_bytes % 65535 + 1)) ELSE src_ip END AS src FROM flows)
+    GROUP BY ALL""",
+)
+def t03_dirty(spark, sf):
+    """Bad, mapped and upper-case addresses are the same hosts in the rollup as in the detail table."""
+    path, rollup = work_folder(spark, "flows"), work_folder(spark, "rollup")
+    mark = F.col("observed_packets")
+    v6 = F.concat(F.lit("2001:DB8:0:0::0:"), F.hex(F.col("observed_bytes") % 65535 + 1))
+    mapped = F.when(mark % 7 == 0, F.concat(F.lit("::FFFF:"), F.col("src_ip"))).otherwise(F.col("src_ip"))
+    spelled = F.when(mark % 11 == 0, "10.0.0").when(mark % 13 == 0, v6).otherwise(mapped)
+    flows = d.flows_from_lineitem(d.stream(spark, sf, "lineitem")).withColumn("src_ip", spelled)
+    _drain(ingest.start_flow_ingest(flows, path, work_folder(spark, "stream"), stream="lines", rollup_path=rollup, available_now=True))
+    detail = tables.read_flows(spark, path).groupBy(F.col("src_ip").alias("src")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("flows"))
+    minutes = tables.read_rollup(spark, rollup).groupBy(F.col("src_ip").alias("src")).agg(F.sum("bytes").alias("bytes"), F.sum("flows").alias("flows"))
+    return detail.join(minutes, detail.columns, "left_semi")
+
+
 @query("t03_incremental_rollup", sql.FLOWS, sql.ROLLUP_SELECT.format(source="flows"))
 def t03(spark, sf):
     """Partial sums of every micro-batch, merged afterwards."""
     parts, merged = work_folder(spark, "rollup-parts"), work_folder(spark, "rollup")
     flows = d.flows_from_lineitem(d.stream(spark, sf, "lineitem"))
-    _drain(ingest.start_rollup(flows, parts, work_folder(spark, "stream"), available_now=True))
+    _drain(ingest.start_rollup(flows, parts, work_folder(spark, "stream"), stream="lines", available_now=True))
     tables.write_compacted_rollup(tables.read_rollup(spark, parts), merged)
     return _rollup_out(tables.read_rollup(spark, merged).drop("month"))
 
 
-_INPUTS = f"""{sql.WINDOWS}, {sql.NETFLOW_RAW}, {sql.SFLOW_RAW.replace(sql.TIMED + ",", "")},
-inputs AS (
-  SELECT 'LOCAL_XDP' AS source_type, protocol, bytes, packets FROM windows
-  UNION ALL SELECT source_type, protocol, bytes, packets FROM netflow
-  UNION ALL SELECT source_type, protocol, bytes, packets FROM sflow)"""
-
-
 @query(
     "t04_multiple_inputs",
     _INPUTS,
@@ -1101,9 +1235,9 @@ def t04(spark, sf):
         netflow.decode_netflow_v5(d.netflow_payloads(lines)),
         sflow.decode_sflow_v5(d.sflow_payloads(lines)),
     )
-    _drain(ingest.start_flow_ingest(inputs, path, checkpoint, available_now=True))
+    _drain(ingest.start_flow_ingest(inputs, path, checkpoint, stream="all", available_now=True))
     windows.write_end_marker(spark, marker, _END)
-    _drain(ingest.start_flow_ingest(inputs, path, checkpoint, available_now=True))
+    _drain(ingest.start_flow_ingest(inputs, path, checkpoint, stream="all", available_now=True))
     stored = tables.read_flows(spark, path)
     return stored.groupBy("source_type", "protocol").agg(
         F.sum("bytes").alias("bytes"), F.sum("packets").alias("packets"), F.count(F.lit(1)).alias("flows")
