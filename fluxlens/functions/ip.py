@@ -114,6 +114,13 @@ def ip_key(text: Column) -> Column:
     return F.unhex(F.coalesce(v4, v6, F.lit("0" * 32)))
 
 
+def any_ipv4_number(text: Column) -> Column:
+    """As :func:`plain_ipv4_number`, and IPv4-mapped addresses in every other spelling (``::ffff:a00:1``) as well."""
+    digits = F.when(text.contains(":"), _ipv6_hex(text))
+    mapped = _let(digits, lambda h: F.when(h.startswith(MAPPED_KEY_HEX), F.conv(F.substring(h, 25, 8), 16, 10).cast("long")))
+    return F.coalesce(plain_ipv4_number(text), mapped)
+
+
 def key_text(key: Column) -> Column:
     """Canonical text of a 16-byte key: dotted for IPv4, lower case with the longest zero run shortened for IPv6."""
 

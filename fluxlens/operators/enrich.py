@@ -14,13 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fluxlens.functions.ip import ipv4_number, plain_ipv4_number
+from fluxlens.functions.ip import any_ipv4_number, ipv4_number
 from fluxlens.functions.names import classify_application
 from fluxlens.session import work_folder
 
 MAX_BROADCAST_BYTES = 512 * 1024 * 1024
 ROW_OVERHEAD_BYTES = 64
-SHUFFLE_SALTS = 32
+SPREAD_KEYS = 1 << 20
 _MIN_BUCKET_BITS, _MAX_BUCKET_BITS = 16, 20
 
 ASN_VALUES = ("asn", "country", "org")
@@ -105,22 +105,26 @@ def _found(index: RangeIndex, source: str, names: dict[str, str]) -> list[Column
     return columns
 
 
+def _no_match(columns: list[str]) -> Column:
+    """A negative key, which no bucket or address has, spread by the content of the row."""
+    return -1 - F.pmod(F.xxhash64(*columns), F.lit(SPREAD_KEYS))
+
+
 def lookup_ranges(df: DataFrame, address: Column, index: RangeIndex, names: dict[str, str]) -> DataFrame:
     """Append the looked-up values under ``names[value]``; misses and NULL addresses give ``''`` or 0."""
-    keyed = df.withColumn("_address", address).withColumn("_bucket", F.shiftright("_address", index.shift))
-    side = index.buckets
-    inside = F.col("_address").between(F.col("_r.start"), F.col("_r.end"))
+    keyed = df.withColumn("_address", address)
+    bucket = F.shiftright("_address", index.shift)
     if index.broadcast:
-        side = F.broadcast(side)
-        on = (F.col("_bucket") == F.col("_r.bucket")) & inside
+        side = F.broadcast(index.buckets)
     else:
-        # Too large to broadcast: shuffle both, with every bucket copied to each salt so that the flows of one busy
-        # network spread over SHUFFLE_SALTS tasks (adaptive execution splits those further when still skewed).
-        salts = F.explode(F.sequence(F.lit(0), F.lit(SHUFFLE_SALTS - 1)))
-        side = side.withColumn("salt", salts)
-        keyed = keyed.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SHUFFLE_SALTS)).cast("int"))
-        on = (F.col("_bucket") == F.col("_r.bucket")) & (F.col("_salt") == F.col("_r.salt")) & inside
+        # Too large to broadcast: a merge join, said explicitly, as Spark's estimate knows nothing of unfolded buckets.
+        # The flows of one busy network are split by adaptive execution, which measures them; flows without an IPv4
+        # address get keys of their own that match nothing, so they do not meet in one partition.
+        side = index.buckets.hint("merge")
+        bucket = F.coalesce(bucket, _no_match(df.columns))
+    keyed = keyed.withColumn("_bucket", bucket)
     side = side.alias("_r")
+    on = (F.col("_bucket") == F.col("_r.bucket")) & F.col("_address").between(F.col("_r.start"), F.col("_r.end"))
     found = _found(index, "_r", names)
     kept = [F.col(f"_f.{c}") for c in df.columns if c not in set(names.values())]
     return keyed.alias("_f").join(side, on, "left").select(*kept, *found)
@@ -157,16 +161,17 @@ def lookup_ranges_as_of(df: DataFrame, address: Column, index: RangeIndex, names
     )
     found = _found(index, "_r", names)
     kept = [F.col(f"_f.{c}") for c in df.columns if c not in set(names.values())]
+    keyed = keyed.withColumn("_address", F.coalesce("_address", _no_match(df.columns)))
     on = F.col("_f._address") == F.col("_r._at")
     return keyed.alias("_f").join(answers.alias("_r"), on, "left").select(*kept, *found)
 
 
 def enrich_asn(flows: DataFrame, index: RangeIndex) -> DataFrame:
-    """Fill ``src_/dst_`` asn, country and org; an IPv6 address is a miss."""
+    """Fill ``src_/dst_`` asn, country and org; IPv4-mapped addresses count as IPv4 in any spelling, others are misses."""
     columns = flows.columns
     for side in ("src", "dst"):
         names = {value: f"{side}_{value}" for value in ASN_VALUES}
-        flows = lookup_ranges(flows, plain_ipv4_number(F.col(f"{side}_ip")), index, names)
+        flows = lookup_ranges(flows, any_ipv4_number(F.col(f"{side}_ip")), index, names)
     return flows.select(*columns, *[c for c in flows.columns if c not in columns])
 
 
@@ -182,12 +187,16 @@ def enrich_city(flows: DataFrame, index: RangeIndex, mode: str = "override") ->
     columns = flows.columns
     for side in ("src", "dst"):
         number = ipv4_number(F.col(f"{side}_ip"))
-        names = {"country": "_city_country", "region": f"{side}_region", "city": f"{side}_city"}
+        names = {"country": "_city_country", "region": "_city_region", "city": "_city_city"}
         flows = lookup_ranges(flows, F.when(number != 0, number), index, names)
+        applies = F.coalesce(number != 0, F.lit(False))
+        for value in ("region", "city"):
+            before = F.coalesce(F.col(f"{side}_{value}"), F.lit("")) if f"{side}_{value}" in flows.columns else F.lit("")
+            flows = flows.withColumn(f"{side}_{value}", F.when(applies, F.col(f"_city_{value}")).otherwise(before))
         if mode == "override":
             better = F.when(F.col("_city_country") != "", F.col("_city_country")).otherwise(F.col(f"{side}_country"))
             flows = flows.withColumn(f"{side}_country", better)
-        flows = flows.drop("_city_country")
+        flows = flows.drop(*names.values())
     return flows.select(*columns, *[c for c in flows.columns if c not in columns])
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from builders import flows
+from fluxlens.functions.ip import any_ipv4_number
 from fluxlens.functions.names import classify_application, protocol_name
 from fluxlens.operators import enrich
 
@@ -50,6 +51,38 @@ def test_all_lookups_agree_with_the_rule(spark, seed):
         assert {r["i"]: (r["asn"], r["country"], r["org"]) for r in found.collect()} == want
 
 
+def test_large_index_is_merged_at_default_settings(spark):
+    rows, _ = random_ranges(3)
+    index = enrich.build_range_index(spark.createDataFrame(rows, SCHEMA), max_broadcast_bytes=0)
+    addresses = spark.createDataFrame([("10.0.0.1", "::1")], "src_ip string, dst_ip string")
+    plan = enrich.enrich_asn(addresses, index)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and "BroadcastHashJoin" not in plan
+
+
+def test_addresses_without_ipv4_do_not_meet(spark):
+    rows, _ = random_ranges(4)
+    index = enrich.build_range_index(spark.createDataFrame(rows, SCHEMA), max_broadcast_bytes=0)
+    df = spark.range(4000).select("id", F.when(F.col("id") % 2 == 0, F.lit(None).cast("long")).otherwise(F.lit(0x0A000001)).alias("n"))
+    keys = df.select(F.coalesce(F.shiftright("n", index.shift), enrich._no_match(df.columns)).alias("k"), "n").where("n IS NULL")
+    assert keys.select("k").distinct().count() > 1900 and keys.where("k >= 0").isEmpty()
+
+
+def test_mapped_spellings_are_ipv4(spark):
+    texts = ["1.0.0.7", "::ffff:1.0.0.7", "::FFFF:100:7", "0:0:0:0:0:ffff:1.0.0.7", "0:0:0:0:0:FFFF:0100:0007", "::1.0.0.7", "1:0:0:0:0:ffff:100:7", "x", None]
+    got = [r["n"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(any_ipv4_number(F.col("t")).alias("n")).collect()]
+    assert got == [0x01000007] * 5 + [None] * 4
+
+
+def test_city_leaves_other_addresses_alone(spark):
+    index = enrich.build_range_index(spark.createDataFrame(CITY, "start long, end long, country string, region string, city string"), enrich.CITY_VALUES)
+    old = {"src_region": "R0", "src_city": "C0", "src_country": "K0"}
+    rows = [{"src_ip": ip, **old} for ip in ("2001:db8::1", "0.0.0.0", "bad", "1.0.0.9", "9.9.9.9")]
+    for mode, country in (("override", "CN"), ("premium", "K0")):
+        got = {r["src_ip"]: (r["src_country"], r["src_region"], r["src_city"]) for r in enrich.enrich_city(flows(spark, *rows), index, mode).collect()}
+        assert {got[ip] for ip in ("2001:db8::1", "0.0.0.0", "bad")} == {("K0", "R0", "C0")}
+        assert got["1.0.0.9"] == (country, "Shandong", "Jinan") and got["9.9.9.9"] == ("K0", "", "")
+
+
 def test_index_size_is_bounded(spark):
     rows, _ = random_ranges(5)
     index = enrich.build_range_index(spark.createDataFrame(rows, SCHEMA))

@@ -2,7 +2,30 @@
 
 from __future__ import annotations
 
-from fluxlens.functions.names import PORTLESS_APPLICATIONS, TCP_APPLICATIONS, UDP_APPLICATIONS
+# Fixed values, stated here independently of the library so that the SQL can contradict it.
+_PORT_ROWS = """
+(6, 20, 'ftp-data'), (6, 21, 'ftp'), (6, 22, 'ssh'), (6, 23, 'telnet'), (6, 25, 'smtp'), (6, 53, 'dns'),
+(6, 80, 'http'), (6, 110, 'pop3'), (6, 111, 'rpcbind'), (6, 119, 'nntp'), (6, 135, 'msrpc'),
+(6, 139, 'netbios-ssn'), (6, 143, 'imap'), (6, 179, 'bgp'), (6, 389, 'ldap'), (6, 443, 'https'),
+(6, 445, 'smb'), (6, 465, 'smtps'), (6, 514, 'syslog'), (6, 587, 'smtp-submission'), (6, 636, 'ldaps'),
+(6, 873, 'rsync'), (6, 989, 'ftps-data'), (6, 990, 'ftps'), (6, 993, 'imaps'), (6, 995, 'pop3s'),
+(6, 1080, 'socks'), (6, 1194, 'openvpn'), (6, 1433, 'mssql'), (6, 1521, 'oracle'), (6, 1723, 'pptp'),
+(6, 2049, 'nfs'), (6, 2181, 'zookeeper'), (6, 2375, 'docker'), (6, 2376, 'docker-tls'), (6, 2379, 'etcd'),
+(6, 3000, 'grafana'), (6, 3128, 'http-proxy'), (6, 3306, 'mysql'), (6, 3389, 'rdp'), (6, 4444, 'metasploit'),
+(6, 5000, 'upnp'), (6, 5060, 'sip'), (6, 5432, 'postgresql'), (6, 5433, 'pgbouncer'), (6, 5601, 'kibana'),
+(6, 5672, 'amqp'), (6, 5900, 'vnc'), (6, 5985, 'winrm'), (6, 5986, 'winrm-tls'), (6, 6379, 'redis'),
+(6, 6443, 'kubernetes-api'), (6, 8000, 'http-alt'), (6, 8080, 'http-proxy'), (6, 8086, 'influxdb'),
+(6, 8123, 'clickhouse-http'), (6, 8443, 'https-alt'), (6, 8888, 'http-alt'), (6, 9000, 'clickhouse'),
+(6, 9042, 'cassandra'), (6, 9092, 'kafka'), (6, 9100, 'node-exporter'), (6, 9200, 'elasticsearch'),
+(6, 9300, 'elasticsearch-transport'), (6, 11211, 'memcached'), (6, 15672, 'rabbitmq-mgmt'),
+(6, 27017, 'mongodb'), (17, 53, 'dns'), (17, 67, 'dhcp'), (17, 68, 'dhcp'), (17, 69, 'tftp'), (17, 123, 'ntp'),
+(17, 137, 'netbios-ns'), (17, 138, 'netbios-dgm'), (17, 161, 'snmp'), (17, 162, 'snmp-trap'),
+(17, 443, 'quic'), (17, 500, 'ike'), (17, 514, 'syslog'), (17, 520, 'rip'), (17, 1194, 'openvpn'),
+(17, 1701, 'l2tp'), (17, 1812, 'radius'), (17, 1813, 'radius-acct'), (17, 2055, 'netflow'),
+(17, 4500, 'ipsec-nat-t'), (17, 4789, 'vxlan'), (17, 5060, 'sip'), (17, 6081, 'geneve'), (17, 6343, 'sflow'),
+(17, 51820, 'wireguard')"""
+_PORTLESS_ROWS = """
+(1, 'icmp'), (2, 'igmp'), (47, 'gre'), (50, 'esp'), (51, 'ah'), (58, 'icmpv6'), (89, 'ospf'), (132, 'sctp')"""
 
 
 def dotted(number: str) -> str:
@@ -14,11 +37,6 @@ def mac(number: str) -> str:
     return " || ':' || ".join(f"substr({digits}, {1 + 2 * i}, 2)" for i in range(6))
 
 
-_PORT_ROWS = ", ".join(
-    [f"(6, {port}, '{name}')" for port, name in TCP_APPLICATIONS.items()]
-    + [f"(17, {port}, '{name}')" for port, name in UDP_APPLICATIONS.items()]
-)
-_PORTLESS_ROWS = ", ".join(f"({number}, '{name}')" for number, name in PORTLESS_APPLICATIONS.items())
 PORT_OF_PART = "([443, 80, 53, 22, 3306, 9999, 8080, 0])[p % 8 + 1]"
 PROTOCOL_OF_LINE = "([1, 6, 17])[n % 3 + 1]"
 
