@@ -53,9 +53,8 @@ def _micros(*columns: str) -> list:
     return [F.unix_micros(c).alias(f"{c}_us") for c in columns]
 
 
-def _scope(flows: DataFrame, rollup: bool = False, **more) -> reports.Scope:
-    flow_tables = FlowTables(flows, build_rollup_1m(flows) if rollup else None)
-    return reports.Scope(flow_tables, FROM, TO, **more)
+def _scope(flows: DataFrame | FlowTables, **more) -> reports.Scope:
+    return reports.Scope(flows if isinstance(flows, FlowTables) else FlowTables(flows), FROM, TO, **more)
 
 
 def _sums(*metrics: str) -> str:
@@ -592,7 +591,7 @@ def _filtered(name: str, tree: dict, where: str, group: str = "application", sou
         WHERE {where} GROUP BY ALL""",
     )
     def run(spark, sf):
-        flows = {"cities": d.geo_flows, "keyed": d.keyed_source_flows}.get(source, d.flows)(spark, sf)
+        flows = {"cities": d.geo_flows, "stored": d.stored_flows}.get(source, d.flows)(spark, sf)
         return flow_query(flows, **ALL, filters=tree, group_by=[group])
 
     return run
@@ -606,13 +605,14 @@ def _filtered(name: str, tree: dict, where: str, group: str = "application", sou
 )
 def p01(spark, sf):
     start, end = FROM + timedelta(days=4, seconds=23415), FROM + timedelta(days=11)
-    return flow_query(d.flows(spark, sf), time_from=start, time_to=end, group_by=["application"])
+    return flow_query(d.stored_flows(spark, sf), time_from=start, time_to=end, group_by=["application"])
 
 
 _filtered(
     "p02_eq_ne",
     _group("AND", _leaf("src_ip", "eq", "10.0.0.7"), _leaf("dst_port", "ne", 443), _leaf("application", "ne", "dns")),
     "src_ip = '10.0.0.7' AND dst_port <> 443 AND application <> 'dns'",
+    source="stored",
 )
 _filtered(
     "p03_comparisons",
@@ -653,7 +653,7 @@ _filtered(
     """src_n BETWEEN 167772164 AND 167772167 OR dst_n BETWEEN 3405804288 AND 3405804543
       OR dst_n BETWEEN 3405805056 AND 3405805183""",
     group="dst_ip",
-    source="keyed",
+    source="stored",
 )
 _filtered(
     "p09_tree",
@@ -956,7 +956,7 @@ def d05(spark, sf):
     (SELECT {_sums("bytes", "packets", "flows", "observed_bytes", "uniq_src_ip", "uniq_dst_port")} FROM flows)""",
 )
 def r01(spark, sf):
-    return reports.kpi_summary(_scope(d.flows(spark, sf)))
+    return reports.kpi_summary(_scope(d.stored_flows(spark, sf)))
 
 
 def _board_sql(dimension: str, limit: int, metric: str = "bytes", source: str = "flows", where: str = "true") -> str:
@@ -967,12 +967,12 @@ def _board_sql(dimension: str, limit: int, metric: str = "bytes", source: str =
 
 @query("r02_top_talkers", sql.FLOWS, _board_sql("src_ip", 10))
 def r02(spark, sf):
-    return reports.top_board(_scope(d.flows(spark, sf)), "src_ip")
+    return reports.top_board(_scope(d.stored_flows(spark, sf)), "src_ip")
 
 
 @query("r02_top_ports_by_flows", sql.FLOWS, _board_sql("dst_port", 10, "flows"))
 def r02_ports(spark, sf):
-    return reports.top_board(_scope(d.flows(spark, sf)), "dst_port", "flows")
+    return reports.top_board(_scope(d.stored_flows(spark, sf)), "dst_port", "flows")
 
 
 @query(
@@ -981,7 +981,7 @@ def r02_ports(spark, sf):
     f"SELECT ts - ts % 86400 AS ts, {_sums('bytes')} FROM flows GROUP BY ALL",
 )
 def r03(spark, sf):
-    return reports.traffic_trend(_scope(d.flows(spark, sf), rollup=True))
+    return reports.traffic_trend(_scope(d.stored_flows(spark, sf)))
 
 
 _STACK = """top AS (SELECT {dim} AS key, row_number() OVER (ORDER BY {metric} DESC, {dim}) AS position FROM
@@ -1000,7 +1000,7 @@ def _stacked(name: str, dimension: str, metric: str, agg: str, interval: str | N
         FROM (SELECT DISTINCT ts FROM series) b CROSS JOIN top LEFT JOIN series ON series.ts = b.ts AND series.key = top.key""",
     )
     def run(spark, sf):
-        scope = _scope(d.flows(spark, sf), rollup=True)
+        scope = _scope(d.stored_flows(spark, sf))
         return reports.stacked_trend(scope, dimension, metric, interval)
 
     return run
@@ -1018,7 +1018,7 @@ _stacked("r04_stacked_trend_by_port", "dst_port", "flows", "count(*)", "hour", 3
     FROM (SELECT protocol, {_sums("bytes")} FROM flows GROUP BY ALL ORDER BY bytes DESC, protocol LIMIT 8)""",
 )
 def r05(spark, sf):
-    return reports.composition(_scope(d.flows(spark, sf), rollup=True), "protocol")
+    return reports.composition(_scope(d.stored_flows(spark, sf)), "protocol")
 
 
 @query(
@@ -1028,7 +1028,7 @@ def r05(spark, sf):
     ORDER BY bytes DESC, src_ip, dst_ip LIMIT 40""",
 )
 def r06(spark, sf):
-    return reports.conversations(_scope(d.flows(spark, sf)))
+    return reports.conversations(_scope(d.stored_flows(spark, sf)))
 
 
 _PANELS = {
@@ -1052,7 +1052,7 @@ _PANELS = {
     ),
 )
 def r07(spark, sf):
-    return reports.host_drilldown(_scope(d.enriched_flows(spark, sf)), "10.0.0.5")
+    return reports.host_drilldown(_scope(d.stored_enriched_flows(spark, sf)), "10.0.0.5")
 
 
 @query(
@@ -1067,6 +1067,36 @@ def r08(spark, sf):
     return board.withColumn("log_value", F.round("log_value", 9))
 
 
+_BACK_PANELS = {"peer": "src_ip", "port": "dst_port", "application": "application", "peer_country": "src_country", "peer_asn": "src_asn", "protocol": "protocol"}
+
+
+@query(
+    "r07_host_drilldown_by_destination",
+    sql.ENRICHED,
+    " UNION ALL ".join(
+        f"""SELECT * FROM (SELECT '{panel}' AS panel, CAST({column} AS VARCHAR) AS key, {_sums("flows")},
+        CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({column} AS VARCHAR)) AS INTEGER) AS position
+        FROM enriched WHERE dst_ip = '203.0.113.9' GROUP BY {column}) WHERE position <= 10"""
+        for panel, column in _BACK_PANELS.items()
+    ),
+)
+def r07_back(spark, sf):
+    return reports.host_drilldown(_scope(d.stored_enriched_flows(spark, sf)), "203.0.113.9", "dst_ip", "flows")
+
+
+@query(
+    "r04_pivoted_series",
+    sql.FLOWS,
+    f"""SELECT ts - ts % 86400 AS ts, {", ".join(f"CAST(coalesce(sum(bytes) FILTER (protocol = {p}), 0) AS BIGINT) AS p{p}" for p in (1, 6, 17))}
+    FROM flows GROUP BY ALL""",
+)
+def r04_pivot(spark, sf):
+    """One column for each protocol, zero where a day has none."""
+    series = reports.stacked_trend(_scope(d.stored_flows(spark, sf)), "protocol", "bytes", "day")
+    wide = reports.pivot_series(series, "protocol", "bytes", [1, 6, 17])
+    return wide.select("ts", *(F.col(str(p)).alias(f"p{p}") for p in (1, 6, 17)))
+
+
 def _geo_board(dimension: str):
     @query(f"r09_board_{dimension}", sql.ENRICHED, _board_sql(dimension, 15, source="cities"))
     def run(spark, sf):

@@ -1,22 +1,27 @@
 """Flows, observations, range files and captured payloads derived from the given tables by plain projections.
 
 The tables hold no network traffic, so order lines are read as flows and events as packets. Every mapping is integer
-arithmetic on columns: it scales with the tables, works on streams, and ``oracle.py`` states it once more in SQL.
+arithmetic on columns: it scales with the tables, works on streams, and ``sql.py`` states it once more in SQL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxlens.functions.binary import hex_field
-from fluxlens.functions.ip import MAPPED_KEY_HEX, ipv4_text
+from fluxlens.functions.ip import ipv4_text
 from fluxlens.functions.time import duration_ms
 from fluxlens.model import FLOW_SCHEMA, conform
 from fluxlens.operators.enrich import RangeIndex, build_range_index, enrich_application, enrich_flows
 from fluxlens.operators.observations import apply_sampling
+from fluxlens.operators.query import FlowTables
+from fluxlens.operators.rollup import build_rollup_1m
+from fluxlens.session import work_folder
+from fluxlens.sources import tables
 from fluxlens.sources.ranges import parse_asn_lines
 
 BASE = 1704067200  # 2024-01-01T00:00:00Z
@@ -28,25 +33,34 @@ PORTS = (443, 80, 53, 22, 3306, 9999, 8080, 0)
 EVENT_PORTS = {"signup": 443, "purchase": 80, "view": 53, "click": 22, "error": 8080}
 
 
-_SPREAD_BY = {"lineitem": "l_orderkey", "events": "event_id"}
+_STAGED: dict[tuple[str, ...], object] = {}
+
+
+def _once(spark: SparkSession, *key: str, make: Callable[[], object]) -> object:
+    """What a session prepares once from the given tables and every query then reads."""
+    known = (spark.sparkContext.applicationId, *key)
+    if known not in _STAGED:
+        _STAGED[known] = make()
+    return _STAGED[known]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables.
+    """One of the given tables. The two large ones are copied into the shared folder once, evenly over as many files as
+    tasks can run, as a file of a single row group would be read by a single task in every query."""
 
-    A file of a single row group is read by a single task. Where the scan has fewer splits than the cluster has cores,
-    the large tables are spread over them by key; a table with enough splits is left as it is.
-    """
-    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _SPREAD_BY and rows.rdd.getNumPartitions() < cores:
-        return rows.repartition(cores, _SPREAD_BY[name])
-    return rows
+    def copy() -> DataFrame:
+        path = work_folder(spark, name)
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism).write.parquet(path)
+        return spark.read.parquet(path)
+
+    if name in ("lineitem", "events"):
+        return _once(spark, sf_dir, name, make=copy)
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables as a file stream."""
-    schema = table(spark, sf_dir, name).schema
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
 
 
@@ -205,15 +219,6 @@ def city_index(spark: SparkSession, sf_dir: str) -> RangeIndex:
     return build_range_index(city_ranges(spark, sf_dir), ("country", "region", "city"))
 
 
-def keyed_source_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flows with the 16-byte key of the source address, as the stored table has it."""
-    number = "cast(substring_index(src_ip, '.', 1) AS bigint)"
-    for i in (2, 3, 4):
-        number = f"({number}) * 256 + cast(substring_index(substring_index(src_ip, '.', {i}), '.', -1) AS bigint)"
-    key = f"unhex(concat('{MAPPED_KEY_HEX}', lpad(hex({number}), 8, '0'))) AS src_ip_key"
-    return flows(spark, sf_dir).selectExpr("*", key)
-
-
 def enriched_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flows with system, country and organisation."""
     return enrich_flows(flows(spark, sf_dir), asn=asn_index(spark, sf_dir))
@@ -224,6 +229,32 @@ def geo_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrich_flows(flows(spark, sf_dir), asn=asn_index(spark, sf_dir), city=city_index(spark, sf_dir))
 
 
+def _stored_tables(spark: SparkSession, flows: DataFrame) -> FlowTables:
+    path, rollup = work_folder(spark, "flows"), work_folder(spark, "rollup")
+    tables.append_flows(flows, path)
+    stored = tables.read_flows(spark, path)
+    tables.append_rollup(build_rollup_1m(stored), rollup)
+    return FlowTables(stored, tables.read_rollup(spark, rollup))
+
+
+def stored_flows(spark: SparkSession, sf_dir: str) -> FlowTables:
+    """Detail table and rollup as they lie in storage, written once."""
+    return _once(spark, sf_dir, "stored", make=lambda: _stored_tables(spark, flows(spark, sf_dir)))
+
+
+def stored_enriched_flows(spark: SparkSession, sf_dir: str) -> FlowTables:
+    """The same with system, country and organisation."""
+    return _once(spark, sf_dir, "stored enriched", make=lambda: _stored_tables(spark, enriched_flows(spark, sf_dir)))
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Everything that is prepared once."""
+    for name in ("lineitem", "events"):
+        table(spark, sf_dir, name)
+    stored_flows(spark, sf_dir)
+    stored_enriched_flows(spark, sf_dir)
+
+
 def _event_port() -> Column:
     port = F.lit(0)
     for name, number in EVENT_PORTS.items():
