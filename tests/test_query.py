@@ -139,3 +139,33 @@ def test_ranges_and_fields():
     assert len(available_fields()["filterable"]) == 26 and len(available_fields()["groupable"]) == 23
     assert "src_city" not in available_fields(city_available=False)["groupable"]
     assert all_of({}, None) is None and all_of(leaf("vlan", "eq", 1), {}) == leaf("vlan", "eq", 1)
+
+
+def test_like_takes_stray_backslashes(spark):
+    names = ["a\\b", "a%b", "a\\%b", "axb", "a_b", "ab\\"]
+    rows = flows(spark, *({"application": n, "timestamp": at("2026-08-01T00:30:00")} for n in names))
+    question = dict(time_from=at("2026-08-01T00:00:00"), time_to=at("2026-08-01T01:00:00"), group_by=["application"])
+    wanted = {r"a\b": {"a\\b"}, r"a\%b": {"a%b"}, r"a\\%b": {"a\\b", "a\\%b"}, r"a\_b": {"a_b"}, "ab\\": {"ab\\"}, "a_b": {"a%b", "axb", "a_b", "a\\b"}}
+    for pattern, names_found in wanted.items():
+        tree = {"field": "application", "operator": "like", "value": pattern}
+        got = {r["application"] for r in flow_query(rows, **question, filters=tree).collect()}
+        assert got == names_found, pattern
+
+
+def test_no_limit_means_all_rows(spark):
+    rows = flows(spark, *({"dst_port": i, "timestamp": at("2026-08-01T00:30:00")} for i in range(150)))
+    question = dict(time_from=at("2026-08-01T00:00:00"), time_to=at("2026-08-01T01:00:00"), group_by=["dst_port"])
+    assert flow_query(rows, **question).count() == 150 and flow_query(rows, **question, limit=7).count() == 7
+    for wrong in (0, -1, 10_001):
+        with pytest.raises(QueryError):
+            flow_query(rows, **question, limit=wrong)
+
+
+def test_automatic_choice_is_exact_inside_minutes(spark):
+    rows = flows(spark, *({"timestamp": at("2026-08-01T00:00:00") + timedelta(seconds=s)} for s in (40, 45, 70, 130)))
+    both = FlowTables(rows, build_rollup_1m(rows))
+    start = at("2026-08-01T00:00:00") + timedelta(seconds=42)
+    for end in (timedelta(seconds=5), timedelta(seconds=20), timedelta(seconds=60), timedelta(seconds=89), timedelta(days=2), timedelta(days=5)):
+        for interval in (None, "minute"):
+            ask = dict(time_from=start, time_to=start + end, interval=interval, metrics=["flows"])
+            assert sorted(flow_query(both, **ask).collect()) == sorted(flow_query(rows, **ask).collect()), (end, interval)
