@@ -3,8 +3,8 @@
 A document is the set of its distinct five-word shingles. Documents with equal sets form a class, and only one document
 of a class goes on, so a text copied a million times costs one row per copy and no pairs. Shingles fall into 128 buckets
 by their leading bits; a bucket's register keeps the leading-zero count and ten mantissa bits of its smallest rest.
-Empty buckets borrow a filled one by a fixed rule, then 24 bands of five registers make the candidate buckets. Within
-a bucket the collision-corrected estimate rules pairs out, and the pairs left are confirmed on full sets.
+Empty buckets borrow a filled one by a fixed rule, then bands of registers, as many as the threshold asks for (24 of five
+at 0.85), make the candidate buckets. Within a bucket the collision-corrected estimate rules pairs out, and the pairs left are confirmed on full sets.
 
 Buckets are compared in blocks of bounded size, spread over tasks. Nothing is emitted per pair: the first comparison
 emits documents that still have a possible partner, the second a spanning forest of the confirmed links.
@@ -12,6 +12,7 @@ emits documents that still have a possible partner, the second a spanning forest
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -27,8 +28,8 @@ SHINGLE_WORDS = 5
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
 MANTISSA_BITS = 10
-BAND_ROWS = 5
-BANDS = 24
+#: Probability at most that a pair at the threshold meets in no band.
+MISS = 1e-6
 #: Members of one bucket that a task compares with as many others.
 BLOCK = 512
 #: A pair is confirmed unless its estimate lies this many standard deviations below the threshold.
@@ -66,7 +67,20 @@ def registers_of(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def bands_of(registers: np.ndarray) -> np.ndarray:
+def banding(percent: int) -> tuple[int, int]:
+    """Bands and registers of each: the longest bands that miss a pair at the threshold less often than MISS."""
+    fitting = []
+    for rows in range(1, BUCKETS + 1) if 0 < percent <= 100 else ():
+        meets = (percent / 100) ** rows
+        bands = math.ceil(math.log(MISS) / math.log1p(-meets)) if meets < 1 else 1
+        if bands * rows <= BUCKETS:
+            fitting.append((bands, rows))
+    if not fitting:
+        raise ValueError(f"{BUCKETS} registers find no pairs at {percent} percent reliably")
+    return fitting[-1]
+
+
+def bands_of(registers: np.ndarray, percent: int) -> np.ndarray:
     """One 64-bit key for each band; empty buckets borrow, so that small sets band as well as large ones."""
     filled = registers.copy()
     for row in np.flatnonzero((registers == 0).any(axis=1) & (registers != 0).any(axis=1)):
@@ -74,10 +88,11 @@ def bands_of(registers: np.ndarray) -> np.ndarray:
         empty = np.flatnonzero(~have)
         lenders = _ORDER[empty]
         filled[row, empty] = registers[row, lenders[np.arange(len(empty)), have[lenders].argmax(axis=1)]]
-    keys = np.zeros((len(registers), BANDS), np.uint64)
-    for band in range(BANDS):
+    bands, rows = banding(percent)
+    keys = np.zeros((len(registers), bands), np.uint64)
+    for band in range(bands):
         key = mix(np.full(len(registers), U64(band + 1)))
-        for register in range(band * BAND_ROWS, (band + 1) * BAND_ROWS):
+        for register in range(band * rows, (band + 1) * rows):
             key = mix(key ^ filled[:, register].astype(np.uint64))
         keys[:, band] = key
     return keys.view(np.int64)
@@ -108,23 +123,26 @@ def possible_partners(registers: np.ndarray, sizes: np.ndarray, row: int, thresh
     return at + row + 1, estimate
 
 
-def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in pieces(batches):
-        sets = shingle_sets(utf8(batch.column("text")), SHINGLE_WORDS)
-        registers = registers_of(sets)
-        bands = bands_of(registers)
-        sizes = [len(s) for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column("id"),
-                pa.array(sizes, pa.int64()),
-                pa.array([int(np.add.reduce(s).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
-                pa.array([int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
-                pa.array([r.tobytes() for r in registers], pa.binary()),
-                pa.ListArray.from_arrays(np.arange(0, bands.size + 1, BANDS, dtype=np.int32), pa.array(bands.reshape(-1))),
-            ],
-            ["id", "n_shingles", "set_a", "set_b", "registers", "bands"],
-        )
+def _sketch(percent: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches):
+            sets = shingle_sets(utf8(batch.column("text")), SHINGLE_WORDS)
+            registers = registers_of(sets)
+            bands = bands_of(registers, percent)
+            sizes = [len(s) for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("id"),
+                    pa.array(sizes, pa.int64()),
+                    pa.array([int(np.add.reduce(s).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
+                    pa.array([int(np.add.reduce(mix(s)).view(np.int64)) if len(s) else 0 for s in sets], pa.int64()),
+                    pa.array([r.tobytes() for r in registers], pa.binary()),
+                    pa.ListArray.from_arrays(np.arange(0, bands.size + 1, bands.shape[1], dtype=np.int32), pa.array(bands.reshape(-1))),
+                ],
+                ["id", "n_shingles", "set_a", "set_b", "registers", "bands"],
+            )
+
+    return run
 
 
 def _pairs(registers: np.ndarray, bands: np.ndarray, sizes: np.ndarray, block: np.ndarray, key: int, lo: int, hi: int, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -142,7 +160,7 @@ def _pairs(registers: np.ndarray, bands: np.ndarray, sizes: np.ndarray, block: n
             yield row, at, estimate
 
 
-def _candidates(threshold: float):
+def _candidates(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         columns: tuple[list, ...] = ([], [], [], [], [])
 
@@ -157,11 +175,11 @@ def _candidates(threshold: float):
             if n < 2:
                 continue
             registers = np.frombuffer(b"".join(group["registers"].to_pylist()), np.uint16).reshape(n, BUCKETS)
-            bands = np.asarray(group["bands"].combine_chunks().flatten()).reshape(n, BANDS)
+            bands = np.asarray(group["bands"].combine_chunks().flatten()).reshape(n, -1)
             block, ids = (np.asarray(group[c]) for c in ("block", "id"))
             key, lo, hi = (group[c][0].as_py() for c in ("key", "lo", "hi"))
             wanted = np.zeros(n, bool)
-            for row, at, _ in _pairs(registers, bands, np.asarray(group["n_shingles"]), block, key, lo, hi, threshold):
+            for row, at, _ in _pairs(registers, bands, np.asarray(group["n_shingles"]), block, key, lo, hi, percent / 100):
                 wanted[row] = True
                 wanted[at] = True
             for i in np.flatnonzero(wanted):
@@ -184,7 +202,7 @@ def _confirm(percent: int):
             sizes = np.asarray([len(s) for s in sets])
             block, ids = (np.asarray(group[c]) for c in ("block", "id"))
             key, lo, hi = (group[c][0].as_py() for c in ("key", "lo", "hi"))
-            found = [(-e, row, int(a)) for row, at, est in _pairs(registers, bands_of(registers), sizes, block, key, lo, hi, percent / 100) for a, e in zip(at, est, strict=True)]
+            found = [(-e, row, int(a)) for row, at, est in _pairs(registers, bands_of(registers, percent), sizes, block, key, lo, hi, percent / 100) for a, e in zip(at, est, strict=True)]
             parent = list(range(group.num_rows))
 
             def root(x: int, parent: list[int] = parent) -> int:
@@ -217,10 +235,10 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     identifier, and `kept` marks the document of that name. A text without words (or null) has no shingles and stays
     alone. Rows with one identifier are one document. A row whose identifier is null belongs to its text's component
     and is kept only if no identified document has that component. Other columns are not read, so their names and
-    nulls do not matter; an empty table gives no rows.
+    nulls do not matter; an empty table gives no rows. A percentage that the sketches cannot hold (below 11) is refused.
     """
     texts = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    sketches = settled(texts.mapInArrow(_sketch, _SKETCH))
+    sketches = settled(texts.mapInArrow(_sketch(percent), _SKETCH))
     classes = settled(
         sketches.where("n_shingles > 0 and id is not null")
         .groupBy("set_a", "set_b", "n_shingles", "registers", "bands")
@@ -236,7 +254,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
         .select("key", "id", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
         .join(classes.select("id", "n_shingles", "registers", "bands"), "id")
     )
-    candidates = settled(_by_block(met).mapInArrow(_candidates(percent / 100), "key long, lo long, hi long, block long, id long"))
+    candidates = settled(_by_block(met).mapInArrow(_candidates(percent), "key long, lo long, hi long, block long, id long"))
     wanted = candidates.select("id").distinct()
     if wanted.count() <= BROADCAST_IDS:
         texts = texts.join(F.broadcast(wanted), "id", "left_semi")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import random
 import re
 
+import pytest
+
 from fluxlens.llm.components import connected_components
-from fluxlens.llm.near_dup import keep_one_of_each, near_duplicates
+from fluxlens.llm.near_dup import banding, keep_one_of_each, near_duplicates
 
 
 def shingles(text: str | None) -> set:
@@ -74,3 +76,25 @@ def test_chains_become_one_component(spark):
     links = [(i + 1, i) for i in range(60)] + [(100, 101), (100, 100), (None, 3)]
     got = {(r.node, r.component) for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+
+
+def test_bands_follow_the_percentage():
+    assert banding(85) == (24, 5)
+    for percent in range(11, 101):
+        bands, rows = banding(percent)
+        assert bands * rows <= 128 and (1 - (percent / 100) ** rows) ** bands <= 1e-6
+    with pytest.raises(ValueError):
+        banding(5)
+
+
+@pytest.mark.parametrize("percent", [50, 80])
+def test_pairs_at_lower_percentages(spark, percent):
+    # pairs of 450 shingles with just the wanted share in common
+    rng = random.Random(percent)
+    docs = []
+    for k in range(60):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(454)]
+        kept = -(-2 * 450 * percent // (100 + percent)) + 4
+        docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:kept] + [f"v{rng.randrange(10**9)}" for _ in range(454 - kept)]))]
+    got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent)
+    assert {r.doc_id: r.component_id for r in got.collect()} == {d: d - d % 2 for d, _ in docs}
