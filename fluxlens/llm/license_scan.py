@@ -51,8 +51,9 @@ def _parent(path: Column) -> Column:
 def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """(path, license, score) of the files whose best line, or all cue lines together, reach the threshold.
 
-    A term weighs tf * (1 + ln((1 + units) / (1 + units with it))) over all compared units; terms that no template has
-    weigh as much as unseen ones. Of equal scores the first licence by name counts.
+    A term weighs tf * (1 + ln(units / units with it)) over all compared units, in units and templates alike; a template's
+    term that no unit has weighs as much as the rarest. So a table that is copied as a whole keeps its scores. Of equal
+    scores the first licence by name counts.
     """
     spark = files.sparkSession
     lines = files.where(F.col("text").rlike(CUE)).select("path", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(CUE))
@@ -63,18 +64,20 @@ def own_licenses(files: DataFrame, templates: tuple[tuple[str, str], ...] = TEMP
     names = [name for name, _ in templates]
     wanted = _template_terms(spark, templates)
     units = counts.select("path", "unit").distinct().count()
-    seen = counts.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    idf = 1 + F.log(F.lit(1.0 + units) / (1 + F.coalesce(F.col("df"), F.lit(0))))
-    weighted = wanted.join(F.broadcast(seen), "term", "left").select("license", "term", (F.col("tf") * idf).alias("w"), idf.alias("idf"))
+    known = settled(counts.groupBy("term").agg((1 + F.log(F.lit(float(units)) / F.count("*"))).alias("idf")))
+    rarest = known.agg(F.max("idf")).first()[0] or 1.0
+    of_templates = known.join(F.broadcast(wanted.select("term").distinct()), "term", "left_semi")
+    idf = F.coalesce("idf", F.lit(rarest))
+    weighted = wanted.join(F.broadcast(of_templates), "term", "left").select("license", "term", (F.col("tf") * idf).alias("w"))
     norms = weighted.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    # one row for each template term: its idf and its weight in each template, scaled to length 1
+    # one row for each template term: its weight in each template, scaled to length 1
     scaled = weighted.join(F.broadcast(norms), "license").groupBy("term").agg(
-        F.first("idf").alias("idf"), *(F.sum(F.when(F.col("license") == n, F.col("w") / F.col("norm"))).alias(f"t{i}") for i, n in enumerate(names))
+        *(F.sum(F.when(F.col("license") == n, F.col("w") / F.col("norm"))).alias(f"t{i}") for i, n in enumerate(names))
     )
-    term_weight = F.col("tf") * F.coalesce(F.col("idf"), 1 + F.log(F.lit(1.0 + units)))
     scored = (
-        counts.join(F.broadcast(scaled), "term", "left")
-        .withColumn("w", term_weight)
+        counts.join(known, "term")
+        .join(F.broadcast(scaled), "term", "left")
+        .withColumn("w", F.col("tf") * F.col("idf"))
         .groupBy("path", "unit")
         .agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), *(F.sum(F.col("w") * F.col(f"t{i}")).alias(f"t{i}") for i in range(len(names))))
         .select("path", F.explode(F.array(*(F.struct(F.round(F.coalesce(F.col(f"t{i}"), F.lit(0.0)) / F.col("norm"), 6).alias("score"), F.lit(n).alias("license")) for i, n in enumerate(names)))).alias("match"))

@@ -42,3 +42,16 @@ def test_odd_rows(spark, odd_documents):
     rows = scan(frame).collect()
     assert len(rows) == odd_documents.count() and {r.license for r in rows} == {None}
     assert scan(frame.limit(0)).isEmpty()
+
+
+def test_copying_the_table_changes_no_score(spark):
+    texts = ["Licensed under the Apache License, Version 2.0, January.", "Software released under the MIT License.", f"{MIT} As is.", "Some parts are under another licence, see January's copyright notice."]
+    texts += [f"Copyright of Software part {i % 5}, all rights reserved" for i in range(40)]
+
+    def verdicts(copies):
+        rows = [(i, f"c{c}/{i}.txt", t) for c in range(copies) for i, t in enumerate(texts)]
+        return {(r.doc_id, r.own_license, r.own_score) for r in scan(spark.createDataFrame(rows, "doc_id long, path string, text string")).collect()}
+
+    once = verdicts(1)
+    assert [n for _, n, _ in sorted(once, key=lambda r: r[0])][:4] == ["Apache-2.0", "MIT", "MIT", None] and len(once) == len(texts)
+    assert verdicts(10) == once and verdicts(100) == once
