@@ -1,6 +1,7 @@
 """Secrets in text: candidates, features of their form and surroundings, and a random forest that drops false positives.
 
-Candidates are runs of key-like signs that hold a digit or that are assigned to a telling name. The forest is trained by
+Candidates are runs of key-like signs that hold a digit, whole values that are assigned to a telling name, whatever their
+signs, tokens after `Bearer` or `Basic`, passwords in addresses and blocks of private keys. The forest is trained by
 Spark ML on labelled findings (value, what stands before and after, path, label); its trees are then small arrays that
 every task evaluates where the text is, so texts are not shuffled.
 """
@@ -41,7 +42,16 @@ MADE_UP_PATHS = ("test", "tests", "example", "examples", "docs", "doc", "sample"
 
 _VALUE = frozenset(string.ascii_letters + string.digits + "_+/.~-")
 _DIGIT_OR_SIGN = re.compile(r"[0-9=:]")
-_NAME_END = re.compile(r"([A-Za-z_][A-Za-z_-]*)[\"']?\s{0,3}$")
+_NAME_END = re.compile(r"([A-Za-z_][A-Za-z_-]*)[0-9]{0,3}[\"']?\s{0,3}$")
+_ASSIGNS = re.compile(r"[\"']?\s{0,3}[=:]")
+_CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+_UNQUOTED = re.compile(r"\S*")
+_BEARER = re.compile(r"\b(?:[Bb]earer|[Bb]asic|BEARER|BASIC)[ \t]+[\"']?$")
+_SPECIAL = re.compile(
+    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s:,.\\-]*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\s\\]*)"
+    r"|://[^\s/:@\"'<>]{0,256}:(?P<url>[^\s\"'<>]{4,1024})@(?=[A-Za-z0-9.\[\]-]+(?:[:/?#,;\s\"'<>)]|\Z))"
+    r"|\b(?:[Bb]earer|[Bb]asic|BEARER|BASIC)[ \t]+[\"']?(?P<bearer>[^\s\"'<>,;]{16,})"
+)
 _OPENING = re.compile(r"\s{0,3}[\"']?")
 _WORD = re.compile(r"[A-Za-z_]+")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -51,43 +61,75 @@ _KEY_PREFIX = re.compile(r"(AKIA|ASIA|gh[pousr]_|xox[abprs]-|sk_live_|glpat-|AIz
 
 FEATURES = (
     "length", "digits", "upper", "lower", "signs", "changes", "entropy", "variety", "hex", "pairs", "coverage", "longest_digits",
-    "numbers_only", "uuid", "key_prefix", "assigned", "secret_near", "other_near", "made_up", "made_up_path", "mail_or_host", "quoted",
+    "numbers_only", "uuid", "key_prefix", "assigned", "secret_near", "other_near", "made_up", "made_up_path", "mail_or_host", "quoted", "bearer", "url_password", "private_key",
 )
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """Start and end of every candidate, in order and without overlap."""
     found: list[tuple[int, int]] = []
-    done = 0
+    special = [m.span("url" if m["url"] else "bearer" if m["bearer"] else 0) for m in _SPECIAL.finditer(text)]
+    special.append((len(text) + 1, 0))
+    following = done = 0
     for hit in _DIGIT_OR_SIGN.finditer(text):
         at = hit.start()
+        while special[following][0] <= at:
+            if special[following][0] >= done:
+                found.append(special[following])
+                done = special[following][1]
+            following += 1
         if at < done:
             continue
-        if hit[0].isdigit():
+        assigned = not hit[0].isdigit()
+        if not assigned:
             start = at
             while start > done and text[start - 1] in _VALUE:
                 start -= 1
+            end = start
+            while end < len(text) and text[end] in _VALUE:
+                end += 1
+            while end > start and text[end - 1] in "./-":
+                end -= 1
+            stop = end
+            while stop < len(text) and text[stop] == "=" and stop - end < 2:
+                stop += 1
+            name = _NAME_END.search(text[max(start, end - REACH) : end])
+            if name and _secret_name(name[1]) and _ASSIGNS.match(text, end):
+                continue  # a name such as db2_password, its value follows
         else:
             name = _NAME_END.search(text[max(0, at - REACH) : at])
             if not name or not _secret_name(name[1]):
                 continue
             start = _OPENING.match(text, at + 1).end()
-        end = start
-        while end < len(text) and text[end] in _VALUE:
-            end += 1
-        while end > start and text[end - 1] in "./-":
-            end -= 1
-        stop = end
-        while stop < len(text) and text[stop] == "=" and stop - end < 2:
-            stop += 1
+            end = stop = _value_end(text, start)
+        if special[following][0] < stop:
+            if not assigned:
+                continue
+            end = stop = max(stop, special[following][1])
         if end - start >= LEAST_LENGTH:
             found.append((start, stop))
         done = max(done, stop)
-    return found
+    return found + [span for span in special[following:-1] if span[0] >= done]
+
+
+def _value_end(text: str, start: int) -> int:
+    """The end of an assigned value: its closing quote on the same line, or else white space without closing signs."""
+    quote = text[start - 1]
+    if quote in "\"'":
+        line = text.find("\n", start)
+        end = text.find(quote, start, line if line >= 0 else len(text))
+        while end > start and text[end - 1] == "\\":
+            end = text.find(quote, end + 1, line if line >= 0 else len(text))
+        if end >= 0:
+            return end
+    end = _UNQUOTED.match(text, start).end()
+    while end > start and (text[end - 1] in "./-,;:\"'`" or (text[end - 1] in ")]}>" and "([{<"[")]}>".index(text[end - 1])] not in text[start:end])):
+        end -= 1
+    return end
 
 
 def _secret_name(name: str) -> bool:
-    name = name.lower()
+    name = _CAMEL.sub("_", name).lower()
     return any(name == s or name.endswith(("_" + s, "-" + s)) for s in SECRET_NAMES)
 
 
@@ -129,8 +171,9 @@ def describe(value: str, before: str, after: str, path: str | None, vocabulary:
     lower = value.lower()
     letters = [lower[i : i + 2] for i in range(n - 1) if kinds[i] < 2 and kinds[i + 1] < 2]
     name = _NAME_END.search(re.sub(r"\s*[=:]\s*[\"']?$", "", before))
-    near_before, near_after = (_WORD.findall(t.lower()) for t in (before, after))
-    near = near_before[-6:] + near_after[:3]
+    near_before, near_after = (_WORD.findall(t) for t in (before, after))
+    named = near_before[-6:] + near_after[:3]
+    near = [w.lower() for w in named]
     runs = re.findall(r"[0-9]+", value)
     return [
         float(n), shares[2], shares[1], shares[0], shares[3],
@@ -145,12 +188,15 @@ def describe(value: str, before: str, after: str, path: str | None, vocabulary:
         float(bool(_UUID.fullmatch(value))),
         float(bool(_KEY_PREFIX.match(value))),
         float(bool(re.search(r"[=:]\s*[\"']?$", before)) and bool(name) and _secret_name(name[1])),
-        float(sum(_secret_name(w) for w in near)),
+        float(sum(_secret_name(w) for w in named)),
         float(sum(w in OTHER_NAMES for w in near)),
         float(any(m in lower for m in MADE_UP) or any(w in MADE_UP for w in near)),
         float(any(p in MADE_UP_PATHS for p in re.split(r"[/._-]", (path or "").lower()))),
         float(after[:1] == "@" or before[-1:] == "@" or "://" in before[-12:]),
         float(before[-1:] in ("'", '"') and after[:1] in ("'", '"')),
+        float(bool(_BEARER.search(before[-24:]))),
+        float(after[:1] == "@" and bool(re.search(r"://[^\s/@]*:$", before))),
+        float(value.startswith("-----BEGIN ") and "PRIVATE KEY" in value[:80]),
     ]
 
 
@@ -161,6 +207,7 @@ def labelled_findings(seed: int = 7, rows: int = 6_000) -> list[tuple[str, str,
     hexa, upper, mixed = "0123456789abcdef", string.ascii_uppercase + string.digits, string.ascii_letters + string.digits
     word = lambda: pick("aeionrst", 1) + pick(string.ascii_lowercase, rng.randrange(1, 8))
     plain = ("report", "chapter", "server", "backup", "release", "module", "window", "history", "package", "summary", "network", "library")
+    password = lambda: "".join(rng.sample(pick(mixed, rng.randrange(6, 14)) + pick("!@#$%^&*?+", rng.randrange(1, 4)), k=7)) + rng.choice(plain)[: rng.randrange(1, 8)] + pick("!#%&@$", rng.randrange(2))
     secret_values = (
         lambda: "AKIA" + pick(upper, 16),
         lambda: pick(hexa, rng.choice((16, 18, 24, 32, 40, 64))),
@@ -171,6 +218,7 @@ def labelled_findings(seed: int = 7, rows: int = 6_000) -> list[tuple[str, str,
         lambda: pick(mixed + "_-", rng.randrange(16, 48)),
         lambda: pick(mixed + "+/", 43) + "=",
         lambda: pick(string.ascii_letters, rng.randrange(4, 9)) + pick(string.digits, rng.randrange(2, 5)) + pick(string.ascii_letters, rng.randrange(2, 6)),
+        password,
     )
     other_values = (
         lambda: ("commit ", pick(hexa, 40), ""),
@@ -190,6 +238,8 @@ def labelled_findings(seed: int = 7, rows: int = 6_000) -> list[tuple[str, str,
         lambda: (rng.choice(("token = ", "key: ", "auth=", "pass: ")), rng.choice(("authenticate", "authorization", "primary_key_column", "passthrough", "settings.token_name", "os.environ")), ""),
         lambda: ("", pick(string.ascii_lowercase, rng.randrange(6, 14)) + pick(string.digits, 1), ""),
         lambda: ("", pick("0123456789", rng.randrange(8, 30)), ""),
+        lambda: (rng.choice(("password: ", "token=", "apiKey = ", "secret: ")), rng.choice((f"get_{rng.choice(plain)}()", f"${{{rng.choice(plain).upper()}_TOKEN}}", f"<your-{rng.choice(plain)}>", f"self.{rng.choice(plain)}.token", f"config['{rng.choice(plain)}']", f"process.env.{rng.choice(plain).upper()}")), ""),
+        lambda: (rng.choice(("password: \"", "key=\"", "token: \"", "pass = \"")), " ".join(word() if rng.random() < 0.3 else rng.choice(plain) for _ in range(rng.randrange(2, 9))), "\""),
         lambda: ("uuid=", "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), ""),
         lambda: ("", pick("0123456789", 2) + pick(string.ascii_lowercase, 6) + "-" + rng.choice(plain), ""),
     )
