@@ -243,7 +243,33 @@ def labelled_findings(seed: int = 7, rows: int = 6_000) -> list[tuple[str, str,
         lambda: ("uuid=", "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)), ""),
         lambda: ("", pick("0123456789", 2) + pick(string.ascii_lowercase, 6) + "-" + rng.choice(plain), ""),
     )
-    names = ("password", "passwd", "secret", "token", "api_key", "auth_token", "access_key", "client_secret", "db_password", "private_key")
+    base64 = lambda n: "\n".join(pick(mixed + "+/", 64) for _ in range(n)) + "\n" + pick(mixed + "+/", rng.randrange(8, 60)) + "=="
+    opaque = lambda: rng.choice((pick(mixed, rng.randrange(20, 64)), pick(mixed + "_-", rng.randrange(20, 64)), pick(hexa, rng.choice((32, 40, 64))), pick(string.ascii_letters, rng.randrange(20, 40)), pick(mixed + "+/", 43) + "="))
+    kind = lambda: rng.choice(("", "RSA ", "EC ", "DSA ", "ENCRYPTED "))
+
+    def private_key() -> tuple[str, str, str]:
+        k, body = kind(), base64(rng.randrange(1, 26))
+        return rng.choice(("", "\n", "key: ")), f"-----BEGIN {k}PRIVATE KEY-----\n{body}" + rng.choice((f"\n-----END {k}PRIVATE KEY-----", "")), "\n"
+
+    # secrets that are not assigned to a name
+    placed = (
+        lambda: (rng.choice(("Authorization: ", "authorization: ", "-H 'Authorization: ", "")) + rng.choice(("Bearer ", "bearer ", "Basic ")), opaque(), rng.choice(("", "'", "\n", '"'))),
+        private_key,
+        lambda: (rng.choice(("postgres", "mysql", "https", "amqp", "mongodb")) + "://" + rng.choice(("admin", "app", "root", word())) + ":", rng.choice((password(), opaque(), pick(mixed, rng.randrange(6, 16)), rng.choice(plain) + pick(string.digits, 3))), "@" + word() + rng.choice((".example.com", ".internal", "", ":5432")) + "/" + word()),
+        lambda: (rng.choice(("api key", "secret", "access token", "the password", "private key", "auth token", "Secret key", "credential")) + rng.choice((":\n", "\n", " is ", " | ", "\n\n", " `", " ")), rng.choice((opaque(), opaque(), password() + pick(string.digits, 2))), rng.choice(("\n", " |", "`", ""))),
+    )
+    # look-alikes in the same places
+    alike = (
+        lambda: (rng.choice(("Authorization: Bearer ", "Basic ", "bearer ")), rng.choice(("<your-access-token>", "your_token_goes_here", "{{access_token_value}}", "$ACCESS_TOKEN_VALUE", "understandings-and-" + rng.choice(plain), "responsibilities")), ""),
+        lambda: ("https://" + rng.choice(("user", "name", "admin")) + ":", rng.choice(("password-placeholder", "<password>", "${DB_PASSWORD}", "changeme", "your-password", "xxxxxxxx")), "@" + word() + ".example.com/"),
+        lambda: (rng.choice(("the token ", "a secret ", "its key ", "password ")), rng.choice((rng.choice(plain) + "_" + pick(string.digits, 2), rng.choice(plain) + "-" + rng.choice(plain) + "-1", pick(string.digits, 8), f"20{pick(string.digits, 2)}-01-0{pick(string.digits, 1)}")), ""),
+        lambda: ("-----BEGIN CERTIFICATE-----\n", pick(mixed + "+/", 64), "\n"),
+        lambda: (rng.choice(("\n", " ", "| ")), pick(hexa, rng.choice((32, 40, 64))), rng.choice(("\n", " |", "  file.txt"))),
+    )
+    names = (
+        "password", "passwd", "secret", "token", "api_key", "auth_token", "access_key", "client_secret", "db_password", "private_key",
+        "clientSecret", "apiToken", "dbPassword", "accessKey",
+    )
     made = []
     for i in range(rows):
         left, right = (" ".join(word() for _ in range(rng.randrange(7))) for _ in range(2))
@@ -252,14 +278,17 @@ def labelled_findings(seed: int = 7, rows: int = 6_000) -> list[tuple[str, str,
             make = rng.choice(secret_values)
             value = make()
             known = bool(_KEY_PREFIX.match(value))
-            if known and rng.random() < 0.6:
+            if i % 6 == 5:
+                before, value, after = rng.choice(placed)()
+                before, after = f"{left} {before}", f"{after} {right}"
+            elif known and rng.random() < 0.6:
                 before, after = left + " ", " " + right
             else:
                 quote = rng.choice(("", '"', "'"))
                 before, after = f"{left} {rng.choice(names)}{rng.choice(('=', ' = ', ': ', ':'))}{quote}", f"{quote} {right}"
             made.append((value, before, after, path, 1))
         else:
-            before, value, after = rng.choice(other_values)()
+            before, value, after = rng.choice(other_values + alike)()
             if rng.random() < 0.1:
                 path = rng.choice(("tests/test_a.py", "docs/intro.md", "examples/run.sh"))
             made.append((value, f"{left} {before}", f"{after} {right}", path, 0))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+import string
 
 import numpy as np
 import pytest
@@ -77,3 +79,26 @@ def test_passwords_with_other_signs_leave_nothing(spark, forest):
     frame = spark.createDataFrame([(1, text, "src1", len(text))], "doc_id long, text string, source string, n_chars long")
     want = "login with password=[secret] or password: [secret] or set dbPassword = '[secret]' here"
     assert [(r.text, r.n_chars) for r in secrets.redact(frame, forest, vocabulary()).collect()] == [(want, len(want))]
+
+
+def test_kinds_that_training_does_not_use(forest):
+    rng = random.Random(21)
+    pick = lambda n: "".join(rng.choices(string.ascii_letters + string.digits, k=n))
+    low = lambda n: "".join(rng.choices(string.ascii_letters, k=n))
+    kinds = {
+        "curl": lambda: (f'curl --header "X: y" --header "Proxy-Authorization: Bearer {(v := pick(44))}" host', v),
+        "letters": lambda: (f"Authorization: Bearer {(v := low(36))}", v),
+        "openssh": lambda: ((v := f"-----BEGIN OPENSSH PRIVATE KEY-----\n{pick(70)}\n{pick(70)}\n{pick(20)}=\n-----END OPENSSH PRIVATE KEY-----") + "\nnext line", v),
+        "redis": lambda: (f"cache at redis://:{(v := pick(18))}@cache.local:6379/0 is up", v),
+        "ftp": lambda: (f"ftp://deploy:{(v := pick(7) + '#' + pick(5))}@files.example.net/drop", v),
+        "word": lambda: (f"ftp://deploy:{(v := 'Summer' + str(rng.randrange(2000, 2030)) + '!')}@files.example.net/drop", v),
+        "short": lambda: (f"redis://:{(v := low(3) + str(rng.randrange(1000, 9999)))}@cache.local:6379/0", v),
+        "table": lambda: (f"| service | credential |\n| billing | {(v := pick(40))} |", v),
+        "line": lambda: (f"here is the signing secret\n\n{(v := pick(32))}\n\nkeep it", v),
+        "camel": lambda: (f'{{"webhookSecret": "{(v := pick(30))}"}}', v),
+    }
+    for name, make in kinds.items():
+        hits = sum(v in found(forest, text) for text, v in (make() for _ in range(40)))
+        assert hits >= 36, (name, hits)
+    harmless = ["Authorization: Bearer <access-token-here>", "basic responsibilities of staff", "http://user:<password>@example.com/", "the token parser_12 reads", "commit " + "0123456789abcdef" * 2 + "01234567", "secret: config['library']", "see https://www.example.org/report/12345"]
+    assert [h for h in harmless if found(forest, h)] == []
