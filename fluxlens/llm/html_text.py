@@ -1,6 +1,7 @@
 """Main text of HTML pages by line-block distribution.
 
-Markup is stripped into lines, one for each block element. A line weighs as much as its text that is not in links;
+Markup is stripped into lines, one for each block element. Within an article or main element every line that is no page
+furniture is text. Without one, a line weighs as much as its text that is not in links;
 lines of page furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) weigh nothing and
 are dropped. Weights are summed over a sliding window of lines: the text runs from a point where the sum surges to the
 point where it dives, and everything between them that is not furniture is kept.
@@ -155,9 +156,10 @@ def lines(page: str) -> list[Line]:
 def main_text(page: str | None) -> str:
     """The text between surge and dive points, its blocks joined by one space; null or textless pages give ''."""
     found = lines(page or "")
-    root = any(line.inside for line in found)
-    weights = [max(0, len(line.text) - line.linked) if line.inside or not root else 0 for line in found]
-    least = 1 if root else min(SURGE, max(1, sum(weights) // 2))
+    if any(line.inside for line in found):
+        return " ".join(line.text for line in found if line.inside)
+    weights = [max(0, len(line.text) - line.linked) for line in found]
+    least = min(SURGE, max(1, sum(weights) // 2))
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     stretches: list[tuple[int, int]] = []
     start = None
@@ -170,9 +172,9 @@ def main_text(page: str | None) -> str:
     heaviest = max((sum(weights[a:b]) for a, b in stretches), default=0)
     kept = []
     for a, b in stretches:
-        if root or sum(weights[a:b]) >= SHARE * heaviest:
+        if sum(weights[a:b]) >= SHARE * heaviest:
             own = [i for i in range(a, min(b, len(found))) if weights[i]]
-            kept += [found[i].text for i in range(own[0], own[-1] + 1) if (found[i].inside or not root) and found[i].text] if own else []
+            kept += [found[i].text for i in range(own[0], own[-1] + 1)] if own else []
     return " ".join(kept)
 
 

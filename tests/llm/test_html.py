@@ -58,3 +58,12 @@ def test_odd_rows(spark):
     got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in extract(pages).collect())
     assert got == [(0, None, "t", 1), (1, "u", "", 0), (2, "u", "", 0), (2, "u", "", 0)]
     assert extract(pages.limit(0)).isEmpty()
+
+
+def test_linked_text_of_an_article_stays():
+    references = "".join(f"<li><a href=/{i}>Reference {i}</a></li>" for i in range(5))
+    names = " ".join(f"Reference {i}" for i in range(5))
+    assert main_text("<article><h1><a href='/x'>Title</a></h1><p>Body</p></article>") == "Title Body"
+    assert main_text(f"<nav><a href=/>Home</a></nav><article><p>Body</p><ul>{references}</ul><p>More</p></article><a href=/z>Out</a>") == f"Body {names} More"
+    assert main_text(f"<main><p>Body</p><ul>{references}</ul></main><p>{LONG}</p>") == f"Body {names}"
+    assert main_text("<article><p><a href=/only>Only a link</a></p></article>") == "Only a link"
