@@ -3,8 +3,8 @@
 Markup is stripped into lines, one for each block element. Within an article or main element every line that is no page
 furniture is text. Without one, a line weighs as much as its text that is not in links;
 lines of page furniture (menus, headers, footers, sidebars, notices, adverts, forms, reader comments) weigh nothing and
-are dropped. Weights are summed over a sliding window of lines: the text runs from a point where the sum surges to the
-point where it dives, and everything between them that is not furniture is kept.
+are dropped. Weights are summed over a sliding window of lines: the text runs from the first point where the sum surges to the
+last where it dives, and everything between them that is not furniture is kept.
 """
 
 from __future__ import annotations
@@ -23,19 +23,24 @@ from fluxlens.llm.tasks import pieces
 #: Lines of a window, and the weight at which a window belongs to the text where no article or main element tells.
 WINDOW = 3
 SURGE = 80
-#: Without such an element, stretches of at least this share of the heaviest one are text too.
-SHARE = 0.25
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title|math|object|canvas|select)\b(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|iframe|textarea|title)\b(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attributes>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*')*+)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|</?[a-zA-Z][^<>]*(?:>|\Z|(?=<))",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+_INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr "
+    "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics".split()
+)
+#: Dropped with what they hold, without ending the line they stand in.
+_DROPPED = frozenset("svg object canvas select noscript template annotation annotation-xml".split())
+#: Blocks that end an svg element left open before them, as in browsers.
+_BREAKOUT = frozenset("blockquote div dl dt dd h1 h2 h3 h4 h5 h6 li ol p pre table ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FURNITURE = frozenset("nav footer aside form dialog menu button fieldset head".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
@@ -87,9 +92,11 @@ def lines(page: str) -> list[Line]:
 
     def end_line() -> None:
         nonlocal linked
+        if furniture:
+            return
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
-            if text and not furniture:
+            if text:
                 out.append(Line(text, min(linked, len(text)), inside > 0))
             parts.clear()
         linked = 0
@@ -125,14 +132,28 @@ def lines(page: str) -> list[Line]:
                 open_.append((tag, True, False))
                 furniture += 1
             continue
-        end_line()
-        links = 0
+        if tag in _DROPPED and not m["close"]:
+            if not (m["attributes"] or "").endswith("/"):
+                open_.append((tag, True, False))
+                furniture += 1
+            continue
+        if tag not in _DROPPED:
+            end_line()
+            links = 0
         if m["close"]:
             if any(t == tag for t, _, _ in open_):
                 while open_[-1][0] != tag:
                     pop()
                 pop()
+                if tag not in _DROPPED:
+                    end_line()
             continue
+        if furniture and tag in _BREAKOUT:
+            inner = next((i for i in range(len(open_) - 1, -1, -1) if open_[i][0] in ("svg", "foreignobject") or not open_[i][1] and open_[i][0] in _BREAKOUT), -1)
+            if inner >= 0 and open_[inner][0] == "svg":
+                while len(open_) > inner:
+                    pop()
+                end_line()
         if tag in _VOID or (m["attributes"] or "").endswith("/"):
             continue
         drops = _is_furniture(tag, m["attributes"] or "", inside > 0)
@@ -141,6 +162,7 @@ def lines(page: str) -> list[Line]:
             # the text begins here, so what was left open before it is over
             while furniture:
                 pop()
+            end_line()
         seen_root |= root
         if tag in ("p", "li", "tr", "td", "th", "dt", "dd", "option") and open_ and open_[-1][0] == tag:
             pop()
@@ -149,6 +171,7 @@ def lines(page: str) -> list[Line]:
         inside += root
     if not furniture:
         parts.append(page[at:])
+    furniture = 0
     end_line()
     return out
 
@@ -159,23 +182,19 @@ def main_text(page: str | None) -> str:
     if any(line.inside for line in found):
         return " ".join(line.text for line in found if line.inside)
     weights = [max(0, len(line.text) - line.linked) for line in found]
-    least = min(SURGE, max(1, sum(weights) // 2))
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
-    stretches: list[tuple[int, int]] = []
-    start = None
-    for i, total in enumerate([*sums, 0]):
-        if start is None and total >= least:
-            start = i  # surge
-        elif start is not None and total < least:
-            stretches.append((start, i - 1 + WINDOW))  # dive
-            start = None
-    heaviest = max((sum(weights[a:b]) for a, b in stretches), default=0)
-    kept = []
-    for a, b in stretches:
-        if sum(weights[a:b]) >= SHARE * heaviest:
-            own = [i for i in range(a, min(b, len(found))) if weights[i]]
-            kept += [found[i].text for i in range(own[0], own[-1] + 1)] if own else []
-    return " ".join(kept)
+    least = min(SURGE, max(1, max(sums, default=0) // 2))
+    surges = [i for i, total in enumerate(sums) if total >= least]
+    if not surges:
+        return ""
+    first, last = surges[0], min(surges[-1] + WINDOW, len(found)) - 1
+    # the text goes on around them up to lines without weight
+    while first and weights[first - 1]:
+        first -= 1
+    while last + 1 < len(found) and weights[last + 1]:
+        last += 1
+    own = [i for i in range(first, last + 1) if weights[i]]
+    return " ".join(line.text for line in found[own[0] : own[-1] + 1])
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:

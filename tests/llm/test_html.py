@@ -67,3 +67,20 @@ def test_linked_text_of_an_article_stays():
     assert main_text(f"<nav><a href=/>Home</a></nav><article><p>Body</p><ul>{references}</ul><p>More</p></article><a href=/z>Out</a>") == f"Body {names} More"
     assert main_text(f"<main><p>Body</p><ul>{references}</ul></main><p>{LONG}</p>") == f"Body {names}"
     assert main_text("<article><p><a href=/only>Only a link</a></p></article>") == "Only a link"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>one</p><svg class="icon"/><p>two</p><svg><text>no</text></svg><p>three</p></article>', "one two three"),
+        ("<article><p>one</p><svg class=i><path d='M0'><p>two</p></article>", "one two"),
+        ("<article><p>a link<svg><path/></svg>. Then <math><mi>x</mi><mo>=</mo><mn>2</mn></math>, and <math/> more</p></article>", "a link. Then x=2, and more"),
+        ("<article><div>one<select><option>no</div><p>two</p><div><object><p>no</p></div><p>three</p></article>", "one two three"),
+        ("<main><p>one</p><section><canvas>no</section><noscript>no</noscript><p>two</p></main>", "one two"),
+        (f"<div><p>{LONG * 9}</p></div>" + "<p><a href=/>link</a></p>" * 3 + f"<div><p>{LONG}</p></div>", f"{LONG * 9} link link link {LONG}"),
+        ("<div>" + "<p>a line of verse</p>" * 40 + "</div>", " ".join(["a line of verse"] * 40)),
+        (f"<p>{LONG}</p>" + "<p>Said he.</p>" * 9, f"{LONG}" + " Said he." * 9),
+    ],
+)
+def test_nothing_is_lost_after_open_elements_or_between_stretches(page, text):
+    assert main_text(page) == text
