@@ -126,6 +126,11 @@ def read_flows(
     return rows
 
 
+def write_batch(rows: DataFrame, path: str, stream: str, batch_id: int) -> None:
+    """Rows of a micro-batch in a sub-partition of its own, which it overwrites when it is repeated."""
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/stream={stream_name(stream)}/batch_id={int(batch_id)}")
+
+
 def _with_month(rollup: DataFrame) -> DataFrame:
     day = F.date_from_unix_date(F.floor(F.unix_seconds("ts_minute") / F.lit(86400)).cast("int"))
     return rollup.withColumn("month", F.year(day) * 100 + F.month(day))

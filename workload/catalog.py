@@ -5,6 +5,7 @@ A query takes ``(spark, sf_dir)``. Times leave as unix seconds or microseconds,
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
@@ -16,12 +17,13 @@ from fluxlens.functions.names import classify_application, protocol_name
 from fluxlens.functions.time import duration_ms, exporter_time, unix_seconds
 from fluxlens.model import DIMENSIONS, FLOW_SCHEMA, conform
 from fluxlens.operators import enrich, observations as ob, upkeep
+from fluxlens.operators.observations import windows_to_flows
 from fluxlens.operators.query import DETAIL, ROLLUP, FlowTables, flow_detail, flow_query
 from fluxlens.operators.rollup import build_rollup_1m, compact_rollup
 from fluxlens.plans import reports
 from fluxlens.session import apply_settings, work_folder
 from fluxlens.sources import frames, netflow, ranges, sample_events, sflow, tables
-from fluxlens.streaming import ingest, windows
+from fluxlens.streaming import ingest, keyed, windows
 from workload import derive as d
 from workload import sql
 
@@ -358,12 +360,11 @@ def o05(spark, sf):
     return _window_flows(ob.aggregate_flows(d.observations(spark, sf), "1 hour", max_flows=_CAP))
 
 
-@query(
-    "o05_dropped_observations",
-    _RANKED,
-    f"""SELECT slot AS window_us, count(*) FILTER (position <= {_CAP}) AS flows,
-      CAST(coalesce(sum(observations) FILTER (position > {_CAP}), 0) AS BIGINT) AS dropped FROM ranked GROUP BY ALL""",
-)
+_DROPPED = f"""SELECT slot AS window_us, count(*) FILTER (position <= {_CAP}) AS flows,
+      CAST(coalesce(sum(observations) FILTER (position > {_CAP}), 0) AS BIGINT) AS dropped FROM ranked GROUP BY ALL"""
+
+
+@query("o05_dropped_observations", _RANKED, _DROPPED)
 def o05_dropped(spark, sf):
     hourly = ob.aggregate_windows(d.observations(spark, sf), "1 hour")
     dropped = ob.dropped_observations(hourly, _CAP)
@@ -1179,6 +1180,82 @@ def _observations_with_marker(spark, sf) -> tuple[DataFrame, str]:
 _END = datetime(2024, 3, 1, tzinfo=UTC)
 
 
+_SIZED = f"""{sql.TIMED},
+sized AS (SELECT k, CASE WHEN k % 113 = 0 THEN 10 WHEN k % 107 = 0 THEN 71 + 48 * (n % 3) ELSE 72 + 48 * (n % 3) END AS n_bytes FROM timed)"""
+
+
+@query(
+    "t01_rejected_payloads",
+    _SIZED,
+    """SELECT CASE WHEN k % 113 = 0 THEN 'too_short' WHEN k % 101 = 0 THEN 'bad_version' WHEN k % 103 = 0 THEN 'too_many_records'
+      ELSE 'truncated' END AS reason, CAST(n_bytes AS INTEGER) AS n_bytes, count(*) AS datagrams FROM sized
+    WHERE k % 113 = 0 OR k % 101 = 0 OR k % 103 = 0 OR (k % 107 = 0 AND k % 109 <> 0) GROUP BY ALL""",
+)
+def t01_rejects(spark, sf):
+    """What a live stream of payloads refuses, kept next to the flows of the same micro-batches."""
+    rejects = work_folder(spark, "rejects")
+    payloads = d.netflow_payloads(d.stream(spark, sf, "lineitem"))
+    _drain(
+        ingest.start_payload_ingest(
+            payloads, ingest.NETFLOW_V5, work_folder(spark, "flows"), rejects, work_folder(spark, "stream"), stream="netflow", available_now=True
+        )
+    )
+    return spark.read.parquet(rejects).groupBy("reason", "n_bytes").agg(F.count(F.lit(1)).alias("datagrams"))
+
+
+def _capped_stream(spark, sf) -> tuple[str, str]:
+    """Events through the flow cap in two runs, the second from the first one's checkpoint."""
+    path, report, checkpoint = (work_folder(spark, n) for n in ("flows", "report", "stream"))
+    obs, marker = _observations_with_marker(spark, sf)
+
+    def run() -> None:
+        _drain(keyed.start_capped_ingest(obs, path, report, checkpoint, stream="local", window="1 hour", max_flows=_CAP, available_now=True))
+
+    run()
+    windows.write_end_marker(spark, marker, _END)
+    run()
+    return path, report
+
+
+_STORED_FLOWS = _WINDOW_FLOWS.replace("first_us AS", "first_us // 1000 * 1000 AS").replace("last_us AS", "last_us // 1000 * 1000 AS")
+
+
+@query("o05_stream_flow_cap", _RANKED, _STORED_FLOWS.format(rate=1, source="ranked") + f" WHERE position <= {_CAP}")
+def o05_stream(spark, sf):
+    """The first flows of each window of a live stream, as stored."""
+    return _window_flows(tables.read_flows(spark, _capped_stream(spark, sf)[0]))
+
+
+@query("o05_stream_dropped_observations", _RANKED, _DROPPED)
+def o05_stream_dropped(spark, sf):
+    """What the cap refused, as reported window by window."""
+    report = spark.read.parquet(_capped_stream(spark, sf)[1])
+    return report.select(F.unix_micros("window_start").alias("window_us"), F.col("flows").cast("long").alias("flows"), "dropped")
+
+
+@query("t05_quiet_stream", sql.WINDOWS, _WINDOW_FLOWS.format(rate=1, source="windows"))
+def t05_quiet(spark, sf):
+    """Windows of a stream that falls silent, all of them emitted without a marker."""
+    path = work_folder(spark, "flows")
+    live = d.observations_from_events(d.stream(spark, sf, "events"))
+    flows = windows_to_flows(keyed.stream_windows_until_silent(live, idle_seconds=5)).select(*_micros("timestamp", "timestamp_end"), *_WINDOW_COLUMNS)
+    sink = flows.writeStream.format("parquet").option("path", path).option("checkpointLocation", work_folder(spark, "stream"))
+    running = sink.trigger(processingTime="4 seconds").start()
+    try:
+        while running.isActive and not (_silent(running) and not running.status["isTriggerActive"]):
+            time.sleep(0.2)
+    finally:
+        running.stop()
+    return spark.read.schema(flows.schema).parquet(path)
+
+
+def _silent(running) -> bool:
+    """Whether a stream has had input and holds no state any more."""
+    progress = running.recentProgress
+    state = progress[-1]["stateOperators"] if progress else []
+    return bool(state) and state[0]["numRowsTotal"] == 0 and sum(p["numInputRows"] for p in progress) > 0
+
+
 @query("t02_stream_windows", sql.WINDOWS, _WINDOW_FLOWS.format(rate=1, source="windows"))
 def t02(spark, sf):
     """Tumbling 10-second windows on a stream; a second run with the end marker closes the last ones."""
