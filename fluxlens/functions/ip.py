@@ -124,12 +124,22 @@ def any_ipv4_number(text: Column) -> Column:
 def key_text(key: Column) -> Column:
     """Canonical text of a 16-byte key: dotted for IPv4, lower case with the longest zero run shortened for IPv6."""
 
-    def shorten(full: Column) -> Column:
-        text = full
-        for run in range(2, 9):  # wrapped inside out: the longest run is tested first, the leftmost of equals wins
-            pattern = rf"^(.*?)(?:^|:)0(?::0){{{run - 1}}}(?:$|:)(.*)$"
-            text = F.when(full.rlike(pattern), F.regexp_replace(full, pattern, "$1::$2")).otherwise(text)
-        return text
+    def shorten(groups: Column) -> Column:
+        """Groups joined by colons, their first longest run of two or more zeros as ``::``."""
+        zeros = F.array_join(F.transform(groups, lambda g: F.when(g == "0", "0").otherwise("x")), "")
+
+        def cut(marks: Column) -> Column:
+            run = F.lit(0)
+            for length in range(2, 9):
+                run = F.when(marks.contains("0" * length), length).otherwise(run)
+            return _let(run, lambda n: around(F.call_function("instr", marks, F.repeat(F.lit("0"), n)), n))
+
+        def around(start: Column, run: Column) -> Column:
+            left, right = F.slice(groups, F.lit(1), start - 1), F.slice(groups, start + run, F.lit(8))
+            both = F.concat(F.array_join(left, ":"), F.lit("::"), F.array_join(right, ":"))
+            return F.when(run == 0, F.array_join(groups, ":")).otherwise(both)
+
+        return _let(zeros, cut)
 
     def of_digits(digits: Column) -> Column:
         groups = F.transform(
@@ -137,7 +147,7 @@ def key_text(key: Column) -> Column:
             lambda i: F.regexp_replace(F.substr(digits, i * 4 + 1, F.lit(4)), "^0{1,3}", ""),
         )
         v4 = _let(F.conv(F.substring(digits, 25, 8), 16, 10).cast("long"), ipv4_text)
-        return F.when(digits.startswith(MAPPED_KEY_HEX), v4).otherwise(_let(F.array_join(groups, ":"), shorten))
+        return F.when(digits.startswith(MAPPED_KEY_HEX), v4).otherwise(_let(groups, shorten))
 
     return _let(F.lower(F.hex(key)), of_digits)
 

@@ -23,6 +23,7 @@ from fluxlens.model import (
 from fluxlens.operators.query import time_filter
 from fluxlens.operators.rollup import compact_rollup
 from fluxlens.operators.upkeep import retention_cutoff
+from fluxlens.sources.layout import clustered
 
 # Host questions look for single addresses inside time-ordered files: min/max statistics cannot skip row groups there,
 # Bloom filters can. Adaptive ones take the size that the addresses of a row group need.
@@ -35,7 +36,7 @@ _STORED_ORDER = ("timestamp", "src_ip", "dst_ip", "src_port", "dst_port")
 _FLOW_PARTITION = ["flow_date", "stream", "batch_id"]
 _ROLLUP_PARTITION = ["month", "stream", "batch_id"]
 #: Names that streams cannot take: writes without a batch number, and merged files.
-BATCH_WRITES, MERGED = "_batch", "_merged"
+BATCH_WRITES, MERGED, CLUSTERED = "_batch", "_merged", "_clustered"
 _MERGED, _RETIRED = "_compacting", "_retired"
 _FLOW_FILES = T.StructType([f for f in STORED_SCHEMA.fields if f.name != "flow_date"])
 _ROLLUP_STORED = T.StructType([*ROLLUP_SCHEMA.fields, T.StructField("month", T.IntegerType(), True)])
@@ -78,7 +79,7 @@ def _owned(rows: DataFrame, stream: str | None, batch_id: int | None) -> DataFra
         raise ValueError("a numbered batch needs the name of its stream, and a stream numbers its batches")
     return rows.withColumns(
         {
-            "stream": F.lit(BATCH_WRITES if stream is None else stream if stream == MERGED else stream_name(stream)),
+            "stream": F.lit(BATCH_WRITES if stream is None else stream if stream in (MERGED, CLUSTERED) else stream_name(stream)),
             "batch_id": F.lit(0 if batch_id is None else int(batch_id)).cast("long"),
         }
     )
@@ -222,25 +223,38 @@ def _finish_swaps(folder: _Folder) -> None:
 
 
 def _swap_in(folder: _Folder, top: str, write: Callable[[str], None]) -> None:
-    """Replace one partition by what ``write`` puts into a hidden folder; readers see the old or the new files."""
+    """Replace one partition by what ``write`` puts into a hidden folder. A crash loses nothing: the next call goes on.
+
+    The old partition is renamed away and the new one in, so for that moment a reader finds neither.
+    """
     write("/".join([folder.path, _MERGED, top]))
     _finish_swaps(folder)
 
 
-def compact_flows(spark: SparkSession, path: str, *, before: date) -> list[str]:
+def compact_flows(spark: SparkSession, path: str, *, before: date, by_address: bool = False) -> list[str]:
     """Merge the files of every closed day before ``before`` that several batches have written; returns the days.
 
     A day is closed when no batch will write or repeat rows of it. Rows that come later all the same are added next to
-    the merged ones and merged again. The old files of a day go only after the merged ones are complete.
+    the merged ones and merged again. The old files of a day go only after the merged ones are complete; readers of that
+    day should be stopped for the swap itself, as between its two renames the day has no files.
+
+    With ``by_address`` the merged files follow ``fluxlens.sources.layout``: they can be pruned by address ranges as well
+    as by time, which single-batch days need too, so every closed day that is not yet in that layout is rewritten.
     """
     folder = _Folder(spark, path)
     _finish_swaps(folder)
     merged = []
     for top in folder.names():
-        if top.startswith("flow_date=") and date.fromisoformat(top.removeprefix("flow_date=")) < before and _writers(folder, top) > 1:
+        if not top.startswith("flow_date=") or date.fromisoformat(top.removeprefix("flow_date=")) >= before:
+            continue
+        if _writers(folder, top) > 1 or (by_address and not folder.exists(top, f"stream={CLUSTERED}")):
 
             def write(target: str, top: str = top) -> None:
                 rows = spark.read.schema(_FLOW_FILES).parquet(f"{folder.path}/{top}").select(*_FLOW_FILES.fieldNames())
+                if by_address:
+                    whole = clustered(_owned(rows, CLUSTERED, 0))
+                    whole.write.partitionBy("stream", "batch_id").options(**_BLOOM).mode("append").parquet(target)
+                    return
                 hour = bucket_start(F.col("timestamp"), "hour")
                 _write(_owned(rows, MERGED, 0), target, ["stream", "batch_id"], hour, list(_STORED_ORDER), False, **_BLOOM)
 

@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxlens.functions.ip import canonical_ip, ip_key, ipv4_number, ipv4_text, plain_ipv4_number, render_ip
@@ -17,8 +17,10 @@ from fluxlens.functions.names import classify_application, protocol_name
 from fluxlens.functions.time import duration_ms, exporter_time, unix_seconds
 from fluxlens.model import DIMENSIONS, FLOW_SCHEMA, conform
 from fluxlens.operators import enrich, observations as ob, upkeep
+from fluxlens.operators.distinct import approx_uniq_addresses, build_address_sketches, build_port_rollup, merge_port_rollup, uniq_ports
 from fluxlens.operators.observations import windows_to_flows
 from fluxlens.operators.query import DETAIL, ROLLUP, FlowTables, flow_detail, flow_query
+from fluxlens.operators.topk import top_query
 from fluxlens.operators.rollup import build_rollup_1m, compact_rollup
 from fluxlens.plans import reports
 from fluxlens.session import apply_settings, work_folder
@@ -33,6 +35,7 @@ ORACLE: dict[str, str] = {}
 
 FROM, TO = d.FROM, d.TO
 ALL = dict(time_from=FROM, time_to=TO)
+_DAYS_END = FROM + timedelta(days=3)
 T0, T1 = d.BASE, d.BASE + d.MONTH_SECONDS
 
 
@@ -656,6 +659,23 @@ _filtered(
     group="dst_ip",
     source="stored",
 )
+@query(
+    "p08_cidr_clustered",
+    sql.FLOWS,
+    f"""SELECT dst_ip, {_sums("bytes", "flows")} FROM flows WHERE src_n BETWEEN 167772164 AND 167772167
+      OR dst_n BETWEEN 3405804288 AND 3405804543 OR dst_n BETWEEN 3405805056 AND 3405805183 GROUP BY ALL""",
+)
+def p08_clustered(spark, sf):
+    """The same blocks on a table whose closed days are laid out by time and addresses."""
+    path = work_folder(spark, "clustered")
+    tables.append_flows(d.flows(spark, sf).where(F.col("timestamp") < F.lit(_DAYS_END)), path)
+    tables.compact_flows(spark, path, before=_DAYS_END.date(), by_address=True)
+    tables.append_flows(d.flows(spark, sf).where(F.col("timestamp") >= F.lit(_DAYS_END)), path)
+    blocks = ("src_ip", "10.0.0.4/30"), ("dst_ip", "203.0.115.0/24"), ("dst_ip", "203.0.118.0/25")
+    leaves = [_leaf(field, "cidr", block) for field, block in blocks]
+    return flow_query(tables.read_flows(spark, path), **ALL, filters=_group("OR", *leaves), group_by=("dst_ip",), metrics=("bytes", "flows"))
+
+
 _filtered(
     "p09_tree",
     _group(
@@ -695,6 +715,59 @@ _grouped("a02_packets", ("packets",), ("dst_port",))
 _grouped("a03_flows", ("flows",), ("source_type", "protocol"))
 _grouped("a04_observed", ("observed_bytes", "observed_packets"), ("device_id",))
 _grouped("a05_distinct", ("uniq_src_ip", "uniq_dst_ip", "uniq_dst_port"), ("application",))
+
+
+def _port_rollup(spark, sf) -> DataFrame:
+    """The hourly port rollup as two batches store it."""
+    path = work_folder(spark, "ports")
+    flows = d.flows(spark, sf)
+    for flag in (F.col("src_port") % 2 == 0, F.col("src_port") % 2 == 1):
+        build_port_rollup(flows.where(flag), ("application", "source_type")).write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
+@query(
+    "a05_distinct_ports_from_rollup",
+    sql.FLOWS,
+    f"SELECT application, count(DISTINCT dst_port) AS uniq_dst_port FROM flows WHERE ts < {T0} + 20 * 86400 GROUP BY ALL",
+)
+def a05_ports(spark, sf):
+    """Twenty days merged from hourly bitmaps; the detail table is not read again."""
+    return uniq_ports(_port_rollup(spark, sf), time_from=FROM, time_to=FROM + timedelta(days=20), group_by=("application",))
+
+
+@query(
+    "a05_distinct_source_ports_per_day",
+    sql.FLOWS,
+    "SELECT day, source_type, count(DISTINCT src_port) AS uniq_src_port FROM (SELECT *, ts - ts % 86400 AS day FROM flows) GROUP BY ALL",
+)
+def a05_source_ports(spark, sf):
+    """Many different ports: hourly bitmaps merged to days."""
+    hourly = build_port_rollup(d.flows(spark, sf), ("source_type",), port="src_port")
+    day = F.expr("unix_seconds(ts_bucket) - unix_seconds(ts_bucket) % 86400").alias("day")
+    daily = merge_port_rollup(hourly).select("*", day)
+    return uniq_ports(daily, time_from=FROM, time_to=TO, group_by=("day", "source_type"), name="uniq_src_port")
+
+
+@query(
+    "a05_approximate_addresses",
+    sql.FLOWS,
+    """SELECT application, count(DISTINCT src_ip) AS uniq_src_ip, count(DISTINCT dst_ip) AS uniq_dst_ip, true AS src_within, true AS dst_within
+    FROM flows GROUP BY ALL""",
+)
+def a05_sketches(spark, sf):
+    """Estimates from merged hourly sketches next to exact counts: each within four standard errors."""
+    flows = d.flows(spark, sf)
+    asked = dict(**ALL, group_by=("application",))
+    estimates = approx_uniq_addresses(build_address_sketches(flows, ("application",)), **asked)
+    exact = flow_query(flows, **asked, metrics=("uniq_src_ip", "uniq_dst_ip"))
+
+    def near(side: str) -> Column:
+        return F.abs(F.col(f"approx_uniq_{side}_ip") - F.col(f"uniq_{side}_ip")) <= F.greatest(0.065 * F.col(f"uniq_{side}_ip"), F.lit(1))
+
+    return exact.join(estimates, "application").select("application", "uniq_src_ip", "uniq_dst_ip", *[near(s).alias(f"{s}_within") for s in ("src", "dst")])
+
+
 _grouped("a06_group_by", ("bytes", "flows"), ("source_type", "device_id", "vlan", "input_interface"))
 _grouped("a06_group_by_all_dimensions", ("bytes", "packets", "flows"), DIMENSIONS, source="cities")
 
@@ -843,6 +916,26 @@ def a12_unaligned(spark, sf):
 # Sort, limit, detail, upkeep
 
 
+@query(
+    "d01_bounded_top_k",
+    sql.FLOWS,
+    f"""SELECT src_ip, dst_ip, dst_port, {_sums("bytes", "flows")} FROM flows GROUP BY ALL ORDER BY bytes DESC, src_ip, dst_ip, dst_port LIMIT 40""",
+)
+def d01_bounded(spark, sf):
+    """The 40 heaviest host pairs and ports; only keys that can still be among them are grouped."""
+    return top_query(d.flows(spark, sf), **ALL, group_by=("src_ip", "dst_ip", "dst_port"), metrics=("bytes", "flows"), limit=40)
+
+
+@query(
+    "r06_bounded_conversations",
+    sql.FLOWS,
+    f"""SELECT src_ip, dst_ip, {_sums("flows", "bytes", "packets")} FROM flows GROUP BY ALL ORDER BY flows DESC, src_ip, dst_ip LIMIT 100""",
+)
+def r06_bounded(spark, sf):
+    """Pairs with most flows, where many pairs have equally many; from the rollup as stored."""
+    return top_query(d.stored_flows(spark, sf), **ALL, group_by=("src_ip", "dst_ip"), metrics=("flows", "bytes", "packets"), limit=100)
+
+
 @query(
     "d01_sort_and_top_k",
     sql.FLOWS,
