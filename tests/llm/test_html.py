@@ -84,3 +84,35 @@ def test_linked_text_of_an_article_stays():
 )
 def test_nothing_is_lost_after_open_elements_or_between_stretches(page, text):
     assert main_text(page) == text
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<main><h2 id="related-work">Earlier</h2><p>Body</p><section id="side-effects"><p>Harm</p></section><h3 id="advertising">Ads</h3><p>Tail</p></main>', "Earlier Body Harm Ads Tail"),
+        (f'<form id="aspnetForm"><div><h1>Title</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><input name=q></div></form>', f"Title {LONG} {LONG} {LONG}"),
+        ("<aside><article>Teaser</article></aside><main>Body</main>", "Body"),
+        (f'<div class="comments"><article>first comment</article></div><p>{LONG}</p><p>{LONG}</p>', f"{LONG} {LONG}"),
+        (f'<div class="page-with-sidebar"><h1>T</h1><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><div class="sidebar"><p>{LONG}</p></div></div>', f"T {LONG} {LONG} {LONG}"),
+        (f'<h2 id="side-effects">Side effects</h2><p>{LONG}</p><div id="sidebar-left"><p>{LONG}</p></div><section id="social-life"><p>{LONG}</p></section>', f"Side effects {LONG} {LONG}"),
+        (f'<article class="teaser"><p>Read more</p></article><article>Short</article><div><p>{LONG * 4}</p></div>', f"{LONG * 4}"),
+        (f"<main><p>{LONG}</p><div id=comments><p>reader</p></div><div class='share-buttons'>Share</div><div class=advert>Buy</div><p>End</p></main>", f"{LONG} End"),
+        (f"<main><p>{LONG}</p></main><div class=comments>" + f"<p>{LONG}</p>" * 20 + "</div>", LONG),
+        (f'<form class="search-form"><p>Find</p></form><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p><form id=commentform>' + "<p>x</p>" * 9 + "</form>", f"{LONG} {LONG} {LONG}"),
+    ],
+)
+def test_names_and_tags_are_evidence_among_others(page, text):
+    assert main_text(page) == text
+
+
+def test_windows_decide_on_given_pages(rows_of, monkeypatch):
+    """Text within the element and text around it are weighed by windows on every page: without the prior, and with the
+    article's text in links and other text around it, the choice changes."""
+    page = next(r["html"] for r in rows_of("pages", "/root/testdata/sf0.01"))
+    want = article_of(page)
+    assert main_text(page) == want
+    body = "".join(f"<p>{LONG}</p>" for _ in range(len(want) // 10))
+    assert main_text(page + body) == " ".join([LONG] * (len(want) // 10))
+    monkeypatch.setattr("fluxlens.llm.html_text.SURGE", 10**9)
+    monkeypatch.setattr("fluxlens.llm.html_text._stretch", lambda found, weights: "")
+    assert main_text(page) == ""  # no page has a way around the windows
