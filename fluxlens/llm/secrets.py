@@ -13,13 +13,14 @@ import math
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,10 +49,13 @@ _CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 _UNQUOTED = re.compile(r"\S*")
 _BEARER = re.compile(r"\b(?:[Bb]earer|[Bb]asic|BEARER|BASIC)[ \t]+[\"']?$")
 _SPECIAL = re.compile(
-    r"-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s:,.\\-]*?-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----|[A-Za-z0-9+/=\s\\]*)"
+    r"(?P<key>-----BEGIN [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----)"
     r"|://[^\s/:@\"'<>]{0,256}:(?P<url>[^\s\"'<>]{4,1024})@(?=[A-Za-z0-9.\[\]-]+(?:[:/?#,;\s\"'<>)]|\Z))"
     r"|\b(?:[Bb]earer|[Bb]asic|BEARER|BASIC)[ \t]+[\"']?(?P<bearer>[^\s\"'<>,;]{16,})"
 )
+_KEY_END = re.compile(r"-----END [A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----")
+_NOT_IN_KEY = re.compile(r"[^A-Za-z0-9+/=\s:,.\\-]")
+_KEY_LINES = re.compile(r"[A-Za-z0-9+/=\s\\]*")
 _OPENING = re.compile(r"\s{0,3}[\"']?")
 _WORD = re.compile(r"[A-Za-z_]+")
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
@@ -65,11 +69,37 @@ FEATURES = (
 )
 
 
+def _special_spans(text: str) -> list[tuple[int, int]]:
+    """Private key blocks, passwords in addresses and bearer tokens, from left to right without overlap.
+
+    A key block reaches to the next end line if only signs of a key lie before it, else as far as lines of a key go. End
+    lines and foreign signs are looked for once, however many headers there are.
+    """
+    found: list[tuple[int, int]] = []
+    ends = [m.span() for m in _KEY_END.finditer(text)]
+    foreign = -1
+    at, m = 0, _SPECIAL.search(text)
+    while m:
+        if m["key"]:
+            if foreign < m.end():
+                other = _NOT_IN_KEY.search(text, m.end())
+                foreign = other.start() if other else len(text)
+            following = bisect_left(ends, (m.end(), 0))
+            whole = following < len(ends) and ends[following][0] <= foreign
+            span = m.start(), ends[following][1] if whole else _KEY_LINES.match(text, m.end()).end()
+            at = span[1]
+        else:
+            span = m.span("url" if m["url"] else "bearer")
+            at = m.end()
+        found.append(span)
+        m = _SPECIAL.search(text, at)
+    return found
+
+
 def candidates(text: str) -> list[tuple[int, int]]:
     """Start and end of every candidate, in order and without overlap."""
     found: list[tuple[int, int]] = []
-    special = [m.span("url" if m["url"] else "bearer" if m["bearer"] else 0) for m in _SPECIAL.finditer(text)]
-    special.append((len(text) + 1, 0))
+    special = [*_special_spans(text), (len(text) + 1, 0)]
     following = done = 0
     for hit in _DIGIT_OR_SIGN.finditer(text):
         at = hit.start()
@@ -95,6 +125,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
                 stop += 1
             name = _NAME_END.search(text[max(start, end - REACH) : end])
             if name and _secret_name(name[1]) and _ASSIGNS.match(text, end):
+                done = max(done, end)
                 continue  # a name such as db2_password, its value follows
         else:
             name = _NAME_END.search(text[max(0, at - REACH) : at])
@@ -104,6 +135,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
             end = stop = _value_end(text, start)
         if special[following][0] < stop:
             if not assigned:
+                done = special[following][0]
                 continue
             end = stop = max(stop, special[following][1])
         if end - start >= LEAST_LENGTH:
@@ -122,10 +154,9 @@ def _value_end(text: str, start: int) -> int:
             end = text.find(quote, end + 1, line if line >= 0 else len(text))
         if end >= 0:
             return end
-    end = _UNQUOTED.match(text, start).end()
-    while end > start and (text[end - 1] in "./-,;:\"'`" or (text[end - 1] in ")]}>" and "([{<"[")]}>".index(text[end - 1])] not in text[start:end])):
-        end -= 1
-    return end
+    value = _UNQUOTED.match(text, start)[0]
+    unopened = "".join(close for open_, close in ("()", "[]", "{}", "<>") if open_ not in value)
+    return start + len(value.rstrip("./-,;:\"'`" + unopened))
 
 
 def _secret_name(name: str) -> bool:
@@ -321,11 +352,16 @@ def train(spark: SparkSession, findings: Sequence[tuple[str, str, str, str, int]
     frame = spark.createDataFrame(rows, "label double, features array<double>").coalesce(1)
     frame = frame.select("label", array_to_vector("features").alias("features"))
     model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", minInstancesPerNode=2, maxBins=64).fit(frame)
+    return forest_of(model, spark)
+
+
+def forest_of(model: RandomForestClassificationModel, spark: SparkSession) -> Forest:
+    """A fitted model's trees as arrays."""
     folder = work_folder(spark, "forest")
     model.save(folder)
     nodes = spark.read.parquet(f"{folder}/data").select("treeID", "nodeData.*").collect()  # at most trees * 2^(depth + 1)
     built = []
-    for tree in range(trees):
+    for tree in range(model.getNumTrees):
         own = sorted((r for r in nodes if r["treeID"] == tree), key=lambda r: r["id"])
         stats = np.asarray([r["impurityStats"] for r in own], float)
         built.append((

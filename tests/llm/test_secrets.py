@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 import string
+import time
 
 import numpy as np
 import pytest
@@ -102,3 +103,29 @@ def test_kinds_that_training_does_not_use(forest):
         assert hits >= 36, (name, hits)
     harmless = ["Authorization: Bearer <access-token-here>", "basic responsibilities of staff", "http://user:<password>@example.com/", "the token parser_12 reads", "commit " + "0123456789abcdef" * 2 + "01234567", "secret: config['library']", "see https://www.example.org/report/12345"]
     assert [h for h in harmless if found(forest, h)] == []
+
+
+def test_hostile_texts_take_linear_time():
+    header = "-----BEGIN RSA PRIVATE KEY-----"
+    texts = ("7" * 1_000_000 + header, (header + "\n") * 50_000, "1_" * 300_000 + "password=hunter2hunter2", (header + "\nabc\n") * 20_000 + "-----END RSA PRIVATE KEY-----", "password=" + ")" * 500_000)
+    started = time.perf_counter()
+    spans = [secrets.candidates(text) for text in texts]
+    assert time.perf_counter() - started < 15
+    assert spans[0] == [(1_000_000, 1_000_000 + len(header))] and len(spans[1]) == 50_000 and spans[3] == [(0, len(texts[3]))]
+    assert texts[2][slice(*spans[2][-1])] == "hunter2hunter2" and spans[4] == []
+
+
+def test_forest_scores_as_spark_ml_predicts(spark):
+    """The arrays that tasks evaluate give the probabilities of the model that they come from."""
+    from pyspark.ml.classification import RandomForestClassifier
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+
+    findings = secrets.labelled_findings(seed=5, rows=400)
+    features = [secrets.describe(v, b[-60:], a[:60], p, vocabulary()) for v, b, a, p, _ in findings]
+    rows = spark.createDataFrame([(f, float(x[4])) for f, x in zip(features, findings, strict=True)], "f array<double>, label double")
+    data = rows.select(array_to_vector("f").alias("features"), "label")
+    model = RandomForestClassifier(numTrees=secrets.TREES, maxDepth=secrets.DEPTH, seed=3).fit(data)
+    want = [r[0][1] for r in model.transform(data).select(F.col("probability")).collect()]
+    got = secrets.forest_of(model, spark).scores(np.asarray(features))
+    assert np.allclose(got, want)
