@@ -44,53 +44,82 @@ def tiles(text: np.ndarray, pattern: np.ndarray, least: int = SEED_WORDS) -> lis
     found: list[tuple[int, int, int]] = []
     length = max(least, min(_FIRST_LENGTH, len(pattern)))
     while True:
-        matches = _scan(text, pattern, taken_t, taken_p, length)
-        longest = max((m[0] for m in matches), default=0)
+        sizes, at_p, at_t = _scan(text, pattern, taken_t, taken_p, length)
+        longest = int(sizes.max(initial=0))
         if longest > 2 * length:
             length = longest
             continue
-        matches.sort(key=lambda m: (-m[0], m[1], m[2]))
+        order = np.lexsort((at_t, at_p, -sizes))
+        sizes, at_p, at_t = sizes[order], at_p[order], at_t[order]
         clipped = False
-        for size, p, t in matches:
-            if taken_p[p : p + size].any() or taken_t[t : t + size].any():
-                clipped = True
-                continue
+        while len(sizes):
+            size, p, t = int(sizes[0]), int(at_p[0]), int(at_t[0])
             taken_p[p : p + size] = taken_t[t : t + size] = True
             found.append((p, t, size))
-        if clipped and _scan(text, pattern, taken_t, taken_p, length):
+            left = ((at_p >= p + size) | (at_p + sizes <= p)) & ((at_t >= t + size) | (at_t + sizes <= t))
+            clipped |= int(left.sum()) < len(left) - 1
+            sizes, at_p, at_t = sizes[left], at_p[left], at_t[left]
+        if clipped and len(_scan(text, pattern, taken_t, taken_p, length)[0]):
             continue  # what is left of matches that others have cut
         if length <= least:
             return sorted(found)
         length = max(least, length // 2)
 
 
-def _scan(text: np.ndarray, pattern: np.ndarray, taken_t: np.ndarray, taken_p: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """Longest runs of at least `length` free equal words, as (length, position in pattern, position in text)."""
+def _scan(text: np.ndarray, pattern: np.ndarray, taken_t: np.ndarray, taken_p: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Longest runs of at least `length` free equal words: their lengths, positions in the pattern and in the text.
+
+    For each place of the pattern all places of the text are looked at together, and only those where a run begins go on,
+    so a word that both repeat many times makes as many runs as it has places in the text, not pairs of places.
+    """
 
     def free(taken: np.ndarray) -> np.ndarray:
         counts = np.concatenate(([0], np.cumsum(taken)))
         return np.flatnonzero(counts[length:] == counts[:-length]) if len(taken) >= length else np.zeros(0, np.int64)
 
     at_t, at_p = free(taken_t), free(taken_p)
+    none = np.zeros(0, np.int64)
     if not len(at_t) or not len(at_p):
-        return []
+        return none, none, none
     hash_p = _windows(pattern, length)[at_p]
     hash_t = _windows(text, length)[at_t]
     near = np.isin(hash_t, hash_p)
-    places: dict[int, list[int]] = {}
-    for h, t in zip(hash_t[near].tolist(), at_t[near].tolist(), strict=True):
-        places.setdefault(h, []).append(t)
-    matches = []
-    for h, p in zip(hash_p.tolist(), at_p.tolist(), strict=True):
-        for t in places.get(h, ()):
-            if p and t and pattern[p - 1] == text[t - 1] and not taken_p[p - 1] and not taken_t[t - 1]:
-                continue  # part of a run that begins earlier
-            end = min(len(pattern) - p, len(text) - t)
-            same = (pattern[p : p + end] == text[t : t + end]) & ~taken_p[p : p + end] & ~taken_t[t : t + end]
-            size = end if same.all() else int(same.argmin())
-            if size >= length:
-                matches.append((size, p, t))
-    return matches
+    hash_t, at_t = hash_t[near], at_t[near]
+    order = np.argsort(hash_t, kind="stable")
+    hash_t, at_t = hash_t[order], at_t[order]
+    first, last = np.searchsorted(hash_t, hash_p, side="left"), np.searchsorted(hash_t, hash_p, side="right")
+    found: list[tuple[np.ndarray, int, np.ndarray]] = []
+    for p, a, b in zip(at_p.tolist(), first.tolist(), last.tolist(), strict=True):
+        places = at_t[a:b]
+        if p and not taken_p[p - 1] and len(places):
+            before = places - 1
+            places = places[(places == 0) | (text[before] != pattern[p - 1]) | taken_t[before]]  # else part of a run that begins earlier
+        if len(places):
+            sizes = _extended(text, pattern, taken_t, taken_p, p, places)
+            whole = sizes >= length
+            found.append((sizes[whole], p, places[whole]))
+    if not found:
+        return none, none, none
+    return np.concatenate([s for s, _, _ in found]), np.repeat([p for _, p, _ in found], [len(s) for s, _, _ in found]), np.concatenate([t for _, _, t in found])
+
+
+def _extended(text: np.ndarray, pattern: np.ndarray, taken_t: np.ndarray, taken_p: np.ndarray, p: int, places: np.ndarray) -> np.ndarray:
+    """How far the free words from `p` and from each of the places agree."""
+    if len(places) == 1:
+        t = int(places[0])
+        end = min(len(pattern) - p, len(text) - t)
+        same = (pattern[p : p + end] == text[t : t + end]) & ~taken_p[p : p + end] & ~taken_t[t : t + end]
+        return np.asarray([end if same.all() else int(same.argmin())])
+    sizes = np.zeros(len(places), np.int64)
+    going = np.arange(len(places))
+    for step in range(len(pattern) - p):
+        at = places[going] + step
+        going, at = going[at < len(text)], at[at < len(text)]
+        going = going[(text[at] == pattern[p + step]) & ~taken_t[at]] if not taken_p[p + step] else going[:0]
+        if not len(going):
+            break
+        sizes[going] = step + 1
+    return sizes
 
 
 class Searcher:
@@ -100,10 +129,14 @@ class Searcher:
         self.items, self.coverage = items, coverage
         seeds = [grams(i, SEED_WORDS) for i in items]
         hashes = np.concatenate(seeds) if seeds else np.zeros(0, np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        self.seeds = hashes[order]
-        self.owner = np.repeat(np.arange(len(items)), [len(s) for s in seeds])[order]
-        self.place = np.concatenate([np.arange(len(s)) for s in seeds])[order] if seeds else self.owner
+        owner = np.repeat(np.arange(len(items)), [len(x) for x in seeds])
+        place = np.concatenate([np.arange(len(x)) for x in seeds]) if seeds else owner
+        order = np.lexsort((place, owner, hashes))
+        hashes, owner, self.place = hashes[order], owner[order], place[order]
+        # a seed of an item is one row, however often the item repeats it; its places are a stretch of `place`
+        head = np.flatnonzero((np.diff(hashes, prepend=~hashes[:1]) != 0) | (np.diff(owner, prepend=-1) != 0))
+        self.seeds, self.owner = hashes[head], owner[head]
+        self.begin, self.end = head, np.append(head[1:], len(hashes)).astype(np.int64)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.seeds & U64((1 << _FILTER_BITS) - 1)).astype(np.int64)] = True
 
@@ -121,22 +154,39 @@ class Searcher:
         if not inside.any():
             return
         at, first, last, text = at[inside], first[inside], last[inside], text[inside]
-        counts = last - first
-        which = np.repeat(first, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        pairs = np.stack((np.repeat(text, counts), self.owner[which], np.repeat(at, counts), self.place[which]))
+        # each different seed of a text once; `first` names the seed
+        once = np.unique(np.stack((text, first, last)), axis=1)
+        counts = once[2] - once[1]
+        which = np.repeat(once[1], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        pairs = np.stack((np.repeat(once[0], counts), self.owner[which], which, np.repeat(once[1], counts)))
         pairs = pairs[:, np.lexsort(pairs[::-1])]
         edges = np.flatnonzero((np.diff(pairs[0], prepend=-1) != 0) | (np.diff(pairs[1], prepend=-1) != 0))
+        hits = np.searchsorted(text, np.arange(len(marks)))
         for a, b in zip(edges, [*edges[1:], pairs.shape[1]], strict=True):
-            item = self.items[pairs[1, a]]
+            owner, number = int(pairs[0, a]), int(pairs[1, a])
+            item = self.items[number]
             need = self.coverage * len(item)
-            if len(np.unique(pairs[3, a:b, None] + np.arange(SEED_WORDS))) < need:
+            places = np.concatenate([self.place[self.begin[w] : self.end[w]] for w in pairs[2, a:b]])
+            if _covered(places, len(item)).sum() < need:
                 continue  # not even all seeds together cover enough
-            covered = np.unique(pairs[2, a:b, None] + np.arange(SEED_WORDS))
+            mine = slice(hits[owner], hits[owner + 1])
+            begin = marks[owner]
+            seeded = at[mine][np.isin(first[mine], pairs[3, a:b])] - begin
+            covered = np.flatnonzero(_covered(seeded, int(marks[owner + 1] - begin)))
             gaps = np.flatnonzero(np.diff(covered) > 1) + 1
-            near = np.insert(hashes[covered], gaps, U64(0)) if len(gaps) else hashes[covered]
+            words = hashes[begin + covered]
+            near = np.insert(words, gaps, U64(0)) if len(gaps) else words
             found = tiles(near, item)
             if sum(t[2] for t in found) >= need:
-                yield int(pairs[0, a]), int(pairs[1, a]), found
+                yield owner, number, found
+
+
+def _covered(places: np.ndarray, words: int) -> np.ndarray:
+    """Which words lie under the seeds at some places."""
+    edges = np.zeros(words + SEED_WORDS + 1, np.int64)
+    np.add.at(edges, places, 1)
+    np.add.at(edges, places + SEED_WORDS, -1)
+    return np.cumsum(edges)[:words] > 0
 
 
 def _texts(column: pa.Array) -> list[bytes]:

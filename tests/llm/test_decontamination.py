@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 
-from fluxlens.llm.decontamination import contaminations, tiles, without_contaminated
+from fluxlens.llm.decontamination import Searcher, contaminations, tiles, without_contaminated
+from fluxlens.llm.words import word_hashes
 
 
 def plain_tiles(text: list, pattern: list, least: int) -> int:
@@ -91,3 +94,17 @@ def test_odd_rows(spark, odd_documents):
     for frame, items in ((odd_documents.limit(0), bench), (odd_documents, bench.limit(0))):
         assert contaminations(frame, items).isEmpty()
     assert without_contaminated(odd_documents, bench.limit(0)).count() == odd_documents.count()
+
+
+def test_words_that_text_and_item_repeat_take_linear_time_and_memory():
+    """A million equal words against an item of as equal ones: found once, without all pairs of places."""
+    for unit, words in ((b"a ", 400), (b"a b ", 200)):
+        hashes, _ = word_hashes([unit * words], plain=True)
+        searcher = Searcher([hashes], 0.5)
+        tracemalloc.start()
+        started = time.perf_counter()
+        found = list(searcher.search([unit * (1_000_000 // len(unit.split())), b"nothing of it"]))
+        seconds, peak = time.perf_counter() - started, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert [(t, i, sum(x[2] for x in tiled)) for t, i, tiled in found] == [(0, 0, 400)]
+        assert seconds < 90 and peak < 500 << 20
