@@ -6,8 +6,12 @@ by their leading bits; a bucket's register keeps the leading-zero count and ten
 Empty buckets borrow a filled one by a fixed rule, then bands of registers, as many as the threshold asks for (24 of five
 at 0.85), make the candidate buckets. Within a bucket the collision-corrected estimate rules pairs out, and the pairs left are confirmed on full sets.
 
-Buckets are compared in blocks of bounded size, spread over tasks. Nothing is emitted per pair: the first comparison
-emits documents that still have a possible partner, the second a spanning forest of the confirmed links.
+First each document is compared with one other of its buckets only, the bucket's smallest identifier that looks most alike.
+Confirmed links make first components, so a template with a million variants is one component after as many comparisons.
+Then buckets are compared in blocks of bounded size, spread over tasks, but only between different components: a bucket
+within one component is done, and in others the members of the largest component meet only the rest. Nothing is emitted per
+pair: the first comparison emits documents that still have a possible partner, the second a spanning forest of the
+confirmed links.
 """
 
 from __future__ import annotations
@@ -123,6 +127,74 @@ def possible_partners(registers: np.ndarray, sizes: np.ndarray, row: int, thresh
     return at + row + 1, estimate
 
 
+def paired_estimates(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, threshold: float) -> np.ndarray:
+    """Estimated similarity of row i of `a` with row i of `b`, -1 where it cannot reach the threshold."""
+    used = np.maximum(((a | b) != 0).sum(axis=1), 1)
+    raw = ((a == b) & (a != 0)).sum(axis=1) / used
+    by_chance = chance_match(n_a.astype(float), n_b.astype(float))
+    estimate = (raw - by_chance) / (1 - by_chance)
+    fits = estimate >= threshold - DEVIATIONS * np.sqrt(threshold * (1 - threshold) / used)
+    return np.where(fits & (np.minimum(n_a, n_b) >= threshold * np.maximum(n_a, n_b)), estimate, -1.0)
+
+
+def _registers(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), BUCKETS)
+
+
+def _star_estimates(percent: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b = (np.asarray(batch.column(c)) for c in ("n_shingles", "pivot_shingles"))
+            estimate = paired_estimates(_registers(batch.column("registers")), _registers(batch.column("pivot_registers")), n_a, n_b, percent / 100)
+            kept = pa.array(estimate >= 0)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id").filter(kept), batch.column("pivot").filter(kept), pa.array(estimate).filter(kept)], ["id", "pivot", "estimate"]
+            )
+
+    return run
+
+
+def _confirm_stars(percent: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, ["pivot", "share"]):
+            ids = np.asarray(group["id"])
+            pivot = group["pivot"][0].as_py()
+            sets = shingle_sets(utf8(group["text"]), SHINGLE_WORDS)
+            centres = [s for s, i in zip(sets, ids, strict=True) if i == pivot]
+            linked = []
+            for mine, i in zip(sets, ids, strict=True):
+                for centre in centres if i != pivot else ():
+                    shared = len(np.intersect1d(centre, mine, assume_unique=True))
+                    if 100 * shared >= percent * (len(centre) + len(mine) - shared):
+                        linked.append(int(i))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array(linked, pa.int64()), pa.array([pivot] * len(linked), pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _thinned(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Texts of the wanted identifiers only, before any shuffle where these are few enough to be broadcast."""
+    return texts.join(F.broadcast(wanted), "id", "left_semi") if wanted.count() <= BROADCAST_IDS else texts
+
+
+def _star_links(keys: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) of documents to the most alike of their buckets' smallest members."""
+    pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
+    met = keys.join(pivots, "key").where("id <> pivot").select("id", "pivot").distinct()
+    described = classes.select("id", "n_shingles", "registers")
+    centres = described.toDF("pivot", "pivot_shingles", "pivot_registers")
+    looked_at = met.join(described, "id").join(centres, "pivot").select("id", "pivot", "n_shingles", "registers", "pivot_shingles", "pivot_registers")
+    estimated = looked_at.mapInArrow(_star_estimates(percent), "id long, pivot long, estimate double")
+    best = settled(estimated.groupBy("id").agg(F.max(F.struct("estimate", "pivot")).alias("best")).select("id", "best.pivot"))
+    shares = best.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("shares"))
+    dealt = best.join(shares, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), "id")
+    rows = dealt.unionByName(dealt.select("pivot", "share", F.col("pivot").alias("id")).distinct())
+    found = rows.join(_thinned(texts, rows.select("id").distinct()), "id")
+    ordered = found.repartition("pivot", "share").sortWithinPartitions("pivot", "share")
+    return ordered.mapInArrow(_confirm_stars(percent), "a long, b long")
+
+
 def _sketch(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
@@ -145,11 +217,18 @@ def _sketch(percent: int):
     return run
 
 
-def _pairs(registers: np.ndarray, bands: np.ndarray, sizes: np.ndarray, block: np.ndarray, key: int, lo: int, hi: int, threshold: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each row the later rows to confirm it with: possible partners that meet in no earlier band, or in no other task."""
+def _pairs(
+    registers: np.ndarray, bands: np.ndarray, sizes: np.ndarray, block: np.ndarray, first: np.ndarray, key: int, lo: int, hi: int, threshold: float
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each row the later rows to confirm it with: possible partners of another first component that meet in no earlier band, or in no other task."""
     band = int((bands[0] == key).argmax())
     for row in range(len(registers) - 1):
+        if (first[row + 1 :] == first[row]).all():
+            continue
         at, estimate = possible_partners(registers, sizes, row, threshold)
+        if len(at):
+            fresh = first[at] != first[row]
+            at, estimate = at[fresh], estimate[fresh]
         if lo != hi:
             fresh = block[at] != block[row]
             at, estimate = at[fresh], estimate[fresh]
@@ -162,10 +241,10 @@ def _pairs(registers: np.ndarray, bands: np.ndarray, sizes: np.ndarray, block: n
 
 def _candidates(percent: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: tuple[list, ...] = ([], [], [], [], [])
+        columns: tuple[list, ...] = ([], [], [], [], [], [])
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "lo", "hi", "block", "id"])
+            out = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["key", "lo", "hi", "block", "first", "id"])
             for c in columns:
                 c.clear()
             return out
@@ -174,16 +253,16 @@ def _candidates(percent: int):
             n = group.num_rows
             if n < 2:
                 continue
-            registers = np.frombuffer(b"".join(group["registers"].to_pylist()), np.uint16).reshape(n, BUCKETS)
+            registers = _registers(group["registers"])
             bands = np.asarray(group["bands"].combine_chunks().flatten()).reshape(n, -1)
-            block, ids = (np.asarray(group[c]) for c in ("block", "id"))
+            block, first, ids = (np.asarray(group[c]) for c in ("block", "first", "id"))
             key, lo, hi = (group[c][0].as_py() for c in ("key", "lo", "hi"))
             wanted = np.zeros(n, bool)
-            for row, at, _ in _pairs(registers, bands, np.asarray(group["n_shingles"]), block, key, lo, hi, percent / 100):
+            for row, at, _ in _pairs(registers, bands, np.asarray(group["n_shingles"]), block, first, key, lo, hi, percent / 100):
                 wanted[row] = True
                 wanted[at] = True
             for i in np.flatnonzero(wanted):
-                for column, value in zip(columns, (key, lo, hi, int(block[i]), int(ids[i])), strict=True):
+                for column, value in zip(columns, (key, lo, hi, int(block[i]), int(first[i]), int(ids[i])), strict=True):
                     column.append(value)
             if len(columns[0]) >= 10_000:
                 yield flush()
@@ -200,9 +279,10 @@ def _confirm(percent: int):
             sets = shingle_sets(utf8(group["text"]), SHINGLE_WORDS)
             registers = registers_of(sets)
             sizes = np.asarray([len(s) for s in sets])
-            block, ids = (np.asarray(group[c]) for c in ("block", "id"))
+            block, first, ids = (np.asarray(group[c]) for c in ("block", "first", "id"))
             key, lo, hi = (group[c][0].as_py() for c in ("key", "lo", "hi"))
-            found = [(-e, row, int(a)) for row, at, est in _pairs(registers, bands_of(registers, percent), sizes, block, key, lo, hi, percent / 100) for a, e in zip(at, est, strict=True)]
+            found = [(-e, row, int(a)) for row, at, est in _pairs(registers, bands_of(registers, percent), sizes, block, first, key, lo, hi, percent / 100) for a, e in zip(at, est, strict=True)]
+            name = np.unique(first, return_inverse=True)[1].tolist()
             parent = list(range(group.num_rows))
 
             def root(x: int, parent: list[int] = parent) -> int:
@@ -213,10 +293,10 @@ def _confirm(percent: int):
 
             links = []
             for _, x, y in sorted(found):
-                if root(x) != root(y):
+                if root(name[x]) != root(name[y]):
                     shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                     if 100 * shared >= percent * (sizes[x] + sizes[y] - shared):
-                        parent[root(y)] = root(x)
+                        parent[root(name[y])] = root(name[x])
                         links.append((int(ids[x]), int(ids[y])))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
@@ -245,21 +325,27 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
         .agg(F.min("id").alias("id"))
     )
     keys = classes.select("id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
+    stars = settled(_star_links(keys, classes, texts, percent))
+    first = classes.select("id").join(connected_components(stars), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("first"))
+    first = settled(first)
+    known = keys.join(first, "id")
+    parts = known.groupBy("key", "first").agg(F.count("*").alias("members"))
+    split = parts.groupBy("key").agg(F.max(F.struct("members", "first")).alias("main"), F.sum("members").alias("members"), F.count("*").alias("parts")).where("parts > 1")
+    rest_blocks = F.ceil((F.col("members") - F.col("main.members")) / BLOCK).cast("long")
+    main_blocks = F.ceil(F.col("main.members") / BLOCK).cast("long")
+    in_main = F.col("first") == F.col("main.first")
+    hashed = F.xxhash64("id")
     met = (
-        keys.join(shared, "key")
-        .withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-        .select("key", "id", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+        known.join(split.withColumns({"rest_blocks": rest_blocks, "main_blocks": main_blocks}), "key")
+        .withColumn("block", F.when(in_main, F.col("rest_blocks") + F.pmod(hashed, F.col("main_blocks"))).otherwise(F.pmod(hashed, F.col("rest_blocks"))))
+        .withColumn("last", F.col("rest_blocks") - 1 + F.when(in_main, 0).otherwise(F.col("main_blocks")))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+        .select("key", "id", "first", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
         .join(classes.select("id", "n_shingles", "registers", "bands"), "id")
     )
-    candidates = settled(_by_block(met).mapInArrow(_candidates(percent), "key long, lo long, hi long, block long, id long"))
-    wanted = candidates.select("id").distinct()
-    if wanted.count() <= BROADCAST_IDS:
-        texts = texts.join(F.broadcast(wanted), "id", "left_semi")
-    links = _by_block(candidates.join(texts, "id")).mapInArrow(_confirm(percent), "a long, b long")
-    components = connected_components(links)
+    candidates = settled(_by_block(met).mapInArrow(_candidates(percent), "key long, lo long, hi long, block long, first long, id long"))
+    links = _by_block(candidates.join(_thinned(texts, candidates.select("id").distinct()), "id")).mapInArrow(_confirm(percent), "a long, b long")
+    components = connected_components(stars.unionByName(links))
     named = classes.join(components, classes["id"] == components["node"], "left").select(
         "set_a", "set_b", F.coalesce("component", "id").alias("class_component")
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 
@@ -98,3 +99,30 @@ def test_pairs_at_lower_percentages(spark, percent):
         docs += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:kept] + [f"v{rng.randrange(10**9)}" for _ in range(454 - kept)]))]
     got = near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), percent=percent)
     assert {r.doc_id: r.component_id for r in got.collect()} == {d: d - d % 2 for d, _ in docs}
+
+
+def variants(count: int, first_id: int, seed: int) -> list[tuple[int, str]]:
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+    return [(first_id + i, " ".join([*base[: (k := rng.randrange(300))], f"x{i}", *base[k + 1 :]])) for i in range(count)]
+
+
+def test_group_of_near_copies_takes_time_in_proportion(spark):
+    """A template with many variants is one component; ten times as many take no hundred times as long."""
+    seconds = []
+    for count in (100, 1000, 10_000):
+        frame = spark.createDataFrame(variants(count, 0, 5), "doc_id long, text string").repartition(8)
+        started = time.perf_counter()
+        assert {r.component_id for r in near_duplicates(frame).collect()} == {0}
+        seconds.append(time.perf_counter() - started)
+    assert seconds[2] < 13 * seconds[1]
+
+
+def test_large_groups_that_meet_in_buckets_are_linked_exactly(spark):
+    """Two templates with some words in common, variants between them, and chains whose ends are not alike."""
+    a, b = variants(150, 0, 5), variants(150, 1000, 6)
+    words_a, words_b = a[0][1].split(" "), b[0][1].split(" ")
+    between = [(2000 + i, " ".join(words_a[: 10 * i] + words_b[10 * i :])) for i in range(31)]
+    chain = [(3000 + i, " ".join(words_a[:260] + [f"c{j}" for j in range(i, i + 60)])) for i in range(0, 90, 3)]
+    docs = a + b + between + chain
+    assert as_dict(near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5))) == brute(docs)
