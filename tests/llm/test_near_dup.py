@@ -17,7 +17,7 @@ def shingles(text: str | None) -> set:
     return {tuple(words)} if 0 < len(words) < 5 else {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def brute(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+def brute(docs: list[tuple[int, str | None]], percent: int = 85) -> dict[int, tuple[int, int]]:
     sets = {i: shingles(t) for i, t in docs}
     name = {i: i for i in sets}
 
@@ -30,7 +30,7 @@ def brute(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
     for k, a in enumerate(ids):
         for b in ids[k + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 x, y = sorted((root(a), root(b)))
                 name[y] = x
     return {i: (len(sets[i]), root(i)) for i in ids}
