@@ -63,14 +63,14 @@ class RangeIndex:
 
 
 def build_range_index(
-    ranges: DataFrame, values: tuple[str, ...] = ASN_VALUES, max_broadcast_bytes: int = MAX_BROADCAST_BYTES
+    ranges: DataFrame, values: tuple[str, ...] = ASN_VALUES, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, spaces: int = 1
 ) -> RangeIndex:
     """Prepare a range table for lookups.
 
     The disjoint ranges are written once to the shared work folder, because every lookup reads them for the source and
     again for the destination address. About as many buckets as ranges are used. Disjoint ranges occupy at most
     ``rows + buckets`` bucket rows, which bounds the size of the index; it is broadcast only when that bound fits
-    ``max_broadcast_bytes``.
+    ``max_broadcast_bytes``. ``spaces`` says how many address spaces of 32 bits the ranges lie in.
     """
     spark = ranges.sparkSession
     path = work_folder(spark, "ranges")
@@ -85,9 +85,9 @@ def build_range_index(
     ).first()
     bits = min(max(size["rows"].bit_length(), _MIN_BUCKET_BITS), _MAX_BUCKET_BITS)
     shift = 32 - bits
-    index_rows = size["rows"] + 2**bits
+    index_rows = size["rows"] + spaces * 2**bits
     # A range repeated over buckets repeats its text, so the extra bucket rows are charged at the widest text.
-    index_bytes = size["text_bytes"] + 2**bits * size["widest"] + index_rows * ROW_OVERHEAD_BYTES
+    index_bytes = size["text_bytes"] + spaces * 2**bits * size["widest"] + index_rows * ROW_OVERHEAD_BYTES
     buckets = stored.select(
         F.explode(F.sequence(F.shiftright("start", shift), F.shiftright("end", shift))).alias("bucket"),
         "start",

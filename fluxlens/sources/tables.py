@@ -73,7 +73,7 @@ def stream_name(stream: str) -> str:
     return stream
 
 
-def _owned(rows: DataFrame, stream: str | None, batch_id: int | None) -> DataFrame:
+def owned(rows: DataFrame, stream: str | None, batch_id: int | None) -> DataFrame:
     """Rows with the partition columns of whoever writes them: every table has the same layout for all writers."""
     if (stream is None) != (batch_id is None):
         raise ValueError("a numbered batch needs the name of its stream, and a stream numbers its batches")
@@ -114,7 +114,7 @@ def append_flows(flows: DataFrame, path: str, stream: str | None = None, batch_i
 def append_stored(rows: DataFrame, path: str, stream: str | None = None, batch_id: int | None = None) -> None:
     """As :func:`append_flows` for rows that ``stored_form`` has made."""
     hour = bucket_start(F.col("timestamp"), "hour")
-    _write(_owned(rows, stream, batch_id), path, _FLOW_PARTITION, hour, list(_STORED_ORDER), stream is not None, **_BLOOM)
+    _write(owned(rows, stream, batch_id), path, _FLOW_PARTITION, hour, list(_STORED_ORDER), stream is not None, **_BLOOM)
 
 
 def read_flows(
@@ -139,7 +139,7 @@ def _with_month(rollup: DataFrame) -> DataFrame:
 
 def append_rollup(rollup: DataFrame, path: str, stream: str | None = None, batch_id: int | None = None) -> None:
     """Add partial sums; a numbered batch overwrites its own sub-partitions, so a retry cannot count twice."""
-    rows = _owned(_with_month(conform(rollup, ROLLUP_SCHEMA)), stream, batch_id)
+    rows = owned(_with_month(conform(rollup, ROLLUP_SCHEMA)), stream, batch_id)
     day = bucket_start(F.col("ts_minute"), "day")
     _write(rows, path, _ROLLUP_PARTITION, day, ["ts_minute", "src_ip"], stream is not None, **_BLOOM)
 
@@ -168,7 +168,7 @@ def read_rollup(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_ROLLUP_STORED).parquet(path).select(*_ROLLUP_STORED.fieldNames())
 
 
-class _Folder:
+class Folder:
     """A table's folder through Hadoop's file system, wherever it is."""
 
     def __init__(self, spark: SparkSession, path: str):
@@ -200,15 +200,15 @@ class _Folder:
 
 def has_stream(spark: SparkSession, path: str, stream: str) -> bool:
     """Whether a stream of this name has written to the table."""
-    folder = _Folder(spark, path)
+    folder = Folder(spark, path)
     return any(folder.exists(top, f"stream={stream}") for top in folder.names())
 
 
-def _writers(folder: _Folder, top: str) -> int:
+def _writers(folder: Folder, top: str) -> int:
     return sum(len(folder.names(top, s)) for s in folder.names(top))
 
 
-def _finish_swaps(folder: _Folder) -> None:
+def _finish_swaps(folder: Folder) -> None:
     """Complete the swaps that a crash has interrupted: a merged partition is in place before the old one goes."""
     for top in folder.names(_MERGED):
         if folder.exists(_MERGED, top, "_SUCCESS"):
@@ -222,7 +222,7 @@ def _finish_swaps(folder: _Folder) -> None:
         folder.delete(_RETIRED)
 
 
-def _swap_in(folder: _Folder, top: str, write: Callable[[str], None]) -> None:
+def _swap_in(folder: Folder, top: str, write: Callable[[str], None]) -> None:
     """Replace one partition by what ``write`` puts into a hidden folder. A crash loses nothing: the next call goes on.
 
     The old partition is renamed away and the new one in, so for that moment a reader finds neither.
@@ -241,7 +241,7 @@ def compact_flows(spark: SparkSession, path: str, *, before: date, by_address: b
     With ``by_address`` the merged files follow ``fluxlens.sources.layout``: they can be pruned by address ranges as well
     as by time, which single-batch days need too, so every closed day that is not yet in that layout is rewritten.
     """
-    folder = _Folder(spark, path)
+    folder = Folder(spark, path)
     _finish_swaps(folder)
     merged = []
     for top in folder.names():
@@ -252,11 +252,11 @@ def compact_flows(spark: SparkSession, path: str, *, before: date, by_address: b
             def write(target: str, top: str = top) -> None:
                 rows = spark.read.schema(_FLOW_FILES).parquet(f"{folder.path}/{top}").select(*_FLOW_FILES.fieldNames())
                 if by_address:
-                    whole = clustered(_owned(rows, CLUSTERED, 0))
+                    whole = clustered(owned(rows, CLUSTERED, 0))
                     whole.write.partitionBy("stream", "batch_id").options(**_BLOOM).mode("append").parquet(target)
                     return
                 hour = bucket_start(F.col("timestamp"), "hour")
-                _write(_owned(rows, MERGED, 0), target, ["stream", "batch_id"], hour, list(_STORED_ORDER), False, **_BLOOM)
+                _write(owned(rows, MERGED, 0), target, ["stream", "batch_id"], hour, list(_STORED_ORDER), False, **_BLOOM)
 
             _swap_in(folder, top, write)
             merged.append(top)
@@ -268,7 +268,7 @@ def compact_rollup_months(spark: SparkSession, path: str) -> list[str]:
 
     Only months with new parts are read. A batch that may still be repeated must not be merged: run it between batches.
     """
-    folder = _Folder(spark, path)
+    folder = Folder(spark, path)
     _finish_swaps(folder)
     merged = []
     for top in folder.names():
@@ -277,7 +277,7 @@ def compact_rollup_months(spark: SparkSession, path: str) -> list[str]:
             def write(target: str, top: str = top) -> None:
                 rows = compact_rollup(spark.read.schema(ROLLUP_SCHEMA).parquet(f"{folder.path}/{top}").select(*ROLLUP_SCHEMA.fieldNames()))
                 day = bucket_start(F.col("ts_minute"), "day")
-                _write(_owned(rows, MERGED, 0), target, ["stream", "batch_id"], day, ["ts_minute", "src_ip"], False, **_BLOOM)
+                _write(owned(rows, MERGED, 0), target, ["stream", "batch_id"], day, ["ts_minute", "src_ip"], False, **_BLOOM)
 
             _swap_in(folder, top, write)
             merged.append(top)
@@ -285,7 +285,7 @@ def compact_rollup_months(spark: SparkSession, path: str) -> list[str]:
 
 
 def _drop(spark: SparkSession, path: str, key: str, expired: Callable[[str], bool]) -> list[str]:
-    folder = _Folder(spark, path)
+    folder = Folder(spark, path)
     dropped = [n for n in folder.names() if n.startswith(f"{key}=") and expired(n.removeprefix(f"{key}="))]
     for name in dropped:
         folder.delete(name)

@@ -1,0 +1,65 @@
+"""Fewest cells: exact for any bounds, with far fewer rows than the minute rollup."""
+
+from __future__ import annotations
+
+import random
+from datetime import UTC, datetime, timedelta
+
+import pytest
+
+from builders import at, flows
+from fluxlens.operators.query import DETAIL, QueryError, flow_query
+from fluxlens.operators.rollup import build_rollup_1m
+from fluxlens.operators.tiers import TieredTables, build_tier, cover, tiered_query, tiered_rows
+
+START = at("2026-08-01T00:00:00")
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    rng = random.Random(8)
+    detail = flows(spark, *[dict(timestamp=START + timedelta(seconds=rng.randrange(20 * 86400)), protocol=rng.choice([6, 17]), bytes=rng.randrange(99), packets=1) for _ in range(4000)]).persist()
+    minute = build_rollup_1m(detail).persist()
+    hour = build_tier(minute, "hour").persist()
+    return TieredTables(detail, minute, hour, build_tier(hour, "day").persist())
+
+
+def test_cover_is_a_partition_with_few_cells():
+    rng = random.Random(1)
+    size = {"day": 86400, "hour": 3600, "minute": 60}
+    for _ in range(300):
+        start = datetime(2024, 2, 27, tzinfo=UTC) + timedelta(seconds=rng.randrange(4 * 86400), microseconds=rng.choice([0, 0, 500_000]))
+        end = start + timedelta(seconds=rng.choice([1, 59, 60, 4000, 90_000, 400 * 86400]) + rng.randrange(60))
+        pieces = cover(start, end)
+        assert pieces[0][1] == start and pieces[-1][2] == end
+        assert all(a[2] == b[1] for a, b in zip(pieces, pieces[1:], strict=False))
+        assert all(t == DETAIL or (a.timestamp() % size[t] == 0 and b.timestamp() % size[t] == 0) for t, a, b in pieces)
+        cells = sum((b - a).total_seconds() // size[t] for t, a, b in pieces if t in ("hour", "minute"))
+        assert cells <= 2 * (23 + 59) and sum(t == DETAIL for t, _, _ in pieces) <= 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_equal_to_detail_for_random_bounds(tables, seed):
+    rng = random.Random(seed)
+    start = START + timedelta(seconds=rng.randrange(9 * 86400), milliseconds=rng.randrange(1000))
+    span = dict(time_from=start, time_to=start + timedelta(seconds=rng.choice([30, 5000, 200_000, 900_000])))
+    for interval in (None, "day", "hour", "minute"):
+        asked = dict(**span, interval=interval, group_by=["protocol"], metrics=("bytes", "packets", "flows"))
+        assert tiered_query(tables, **asked).collect() == flow_query(tables.detail, **asked).collect()
+
+
+def test_few_rows_are_read(tables):
+    span = (START + timedelta(seconds=61), START + timedelta(days=19, seconds=3))
+    fewest = tiered_rows(tables, *span).count()
+    assert fewest * 20 < tables.minute.count()
+    without_days = TieredTables(tables.detail, tables.minute, tables.hour)
+    assert fewest < tiered_rows(without_days, *span).count() < tables.minute.count()
+
+
+def test_refused(tables):
+    with pytest.raises(QueryError):
+        build_tier(tables.minute, "week")
+    with pytest.raises(QueryError):
+        tiered_query(tables, time_from=START, time_to=START)
+    with pytest.raises(QueryError):
+        tiered_query(tables, time_from=START, time_to=START + timedelta(days=1), group_by=["dst_port"])

@@ -16,7 +16,7 @@ from fluxlens.functions.ip import canonical_ip, ip_key, ipv4_number, ipv4_text,
 from fluxlens.functions.names import classify_application, protocol_name
 from fluxlens.functions.time import duration_ms, exporter_time, unix_seconds
 from fluxlens.model import DIMENSIONS, FLOW_SCHEMA, conform
-from fluxlens.operators import enrich, observations as ob, upkeep
+from fluxlens.operators import enrich, observations as ob, tiers, upkeep, versions
 from fluxlens.operators.distinct import approx_uniq_addresses, build_address_sketches, build_port_rollup, merge_port_rollup, uniq_ports
 from fluxlens.operators.observations import windows_to_flows
 from fluxlens.operators.query import DETAIL, ROLLUP, FlowTables, flow_detail, flow_query
@@ -24,8 +24,9 @@ from fluxlens.operators.topk import top_query
 from fluxlens.operators.rollup import build_rollup_1m, compact_rollup
 from fluxlens.plans import reports
 from fluxlens.session import apply_settings, work_folder
-from fluxlens.sources import frames, netflow, ranges, sample_events, sflow, tables
+from fluxlens.sources import frames, latest, netflow, ranges, sample_events, sflow, tables
 from fluxlens.streaming import ingest, keyed, windows
+from fluxlens.streaming.late import start_corrected_rollup
 from workload import derive as d
 from workload import sql
 
@@ -573,6 +574,51 @@ def e07(spark, sf):
     return _ends(tables.read_flows(spark, path), *_ASN_OUT)
 
 
+_VERSION_STARTS = (FROM + timedelta(days=5), FROM + timedelta(days=12, seconds=77), FROM + timedelta(days=21))
+
+
+def _versioned_ranges(spark, sf) -> DataFrame:
+    """Three loads of the range table: later ones have other numbers, and each lacks some blocks."""
+    base = d.asn_ranges(spark, sf)
+    loads = [
+        base.where(F.pmod(F.floor("start").cast("long"), F.lit(4)) != i)
+        .withColumns({"asn": F.col("asn") + i * 1000, "org": F.concat("org", F.lit(f" v{i}")), "valid_from": F.lit(at)})
+        for i, at in enumerate(_VERSION_STARTS)
+    ]
+    return loads[0].unionByName(loads[1]).unionByName(loads[2])
+
+
+def _as_of_sql(moment: str) -> str:
+    starts = [int(t.timestamp()) for t in _VERSION_STARTS]
+    version = " + ".join(f"CASE WHEN {moment} >= {t} THEN 1 ELSE 0 END" for t in starts)
+    return f"""{sql.FLOWS}, {sql.RANGES},
+versioned AS (SELECT v, lo, hi, asn + (v - 1) * 1000 AS asn, country, org || ' v' || (v - 1) AS org
+  FROM asn_ranges, (VALUES (1), (2), (3)) AS t(v) WHERE lo % 4 <> v - 1),
+asked AS (SELECT *, {version} AS v FROM plain),
+found AS (SELECT f.*, CASE WHEN f.src_n <= a.hi THEN a.asn ELSE 0 END AS src_asn, CASE WHEN f.src_n <= a.hi THEN a.org ELSE '' END AS src_org,
+  CASE WHEN f.dst_n <= b.hi THEN b.asn ELSE 0 END AS dst_asn, CASE WHEN f.dst_n <= b.hi THEN b.country ELSE '' END AS dst_country
+  FROM asked f ASOF LEFT JOIN versioned a ON f.v = a.v AND f.src_n >= a.lo ASOF LEFT JOIN versioned b ON f.v = b.v AND f.dst_n >= b.lo)"""
+
+
+_AS_OF = "SELECT ts, src_ip, dst_ip, bytes, src_asn, src_org, dst_asn, dst_country FROM found"
+
+
+@query("e07_versions_by_flow_time", _as_of_sql("ts"), _AS_OF)
+def e07_versions(spark, sf):
+    """History keeps the range table of its time; flows before the first load find nothing."""
+    versioned = versions.build_versioned_index(_versioned_ranges(spark, sf))
+    found = versions.enrich_asn_as_of(d.flows(spark, sf), versioned)
+    return found.select(unix_seconds(F.col("timestamp")).alias("ts"), "src_ip", "dst_ip", "bytes", "src_asn", "src_org", "dst_asn", "dst_country")
+
+
+@query("e07_enriched_as_of_a_date", _as_of_sql(str(T0 + 15 * 86400)), _AS_OF)
+def e07_as_of(spark, sf):
+    """All flows enriched anew as of one date."""
+    versioned = versions.build_versioned_index(_versioned_ranges(spark, sf))
+    found = versions.enrich_asn_as_of(d.flows(spark, sf), versioned, F.lit(FROM + timedelta(days=15)))
+    return found.select(unix_seconds(F.col("timestamp")).alias("ts"), "src_ip", "dst_ip", "bytes", "src_asn", "src_org", "dst_asn", "dst_country")
+
+
 # ---------------------------------------------------------------------------------------------------------------------
 # Predicates
 
@@ -880,6 +926,29 @@ def a12(spark, sf):
     return answers[0].unionByName(answers[1]).unionByName(answers[2])
 
 
+_LONG = (T0 + 86400 + 7_261, T0 + 28 * 86400 - 4_001)
+
+
+@query(
+    "a12_fewest_cells",
+    sql.FLOWS,
+    f"""SELECT 'all' AS span, application, CAST(0 AS BIGINT) AS ts, {_sums("bytes", "packets", "flows")} FROM flows
+      WHERE ts >= {_LONG[0]} AND ts < {_LONG[1]} GROUP BY ALL
+    UNION ALL SELECT 'daily', application, CAST(ts - ts % 86400 AS BIGINT), {_sums("bytes", "packets", "flows")} FROM flows
+      WHERE ts >= {_LONG[0]} AND ts < {_LONG[1]} GROUP BY ALL""",
+)
+def a12_cells(spark, sf):
+    """A month with odd bounds from days, hours, minutes and parts of minutes."""
+    flows = d.flows(spark, sf)
+    minute = build_rollup_1m(flows)
+    hour = tiers.build_tier(minute, "hour")
+    stored = tiers.TieredTables(flows, minute, hour, tiers.build_tier(hour, "day"))
+    span = dict(zip(("time_from", "time_to"), (datetime.fromtimestamp(t, UTC) for t in _LONG), strict=True))
+    whole = tiers.tiered_query(stored, **span, group_by=["application"]).withColumns({"span": F.lit("all"), "ts": F.lit(0).cast("long")})
+    daily = tiers.tiered_query(stored, **span, group_by=["application"], interval="day").withColumn("span", F.lit("daily"))
+    return whole.unionByName(daily)
+
+
 def _unaligned(days: int) -> tuple[int, int]:
     return T0 + 2 * 86400 + 3630, T0 + (2 + days) * 86400 + 17
 
@@ -982,6 +1051,25 @@ def d03(spark, sf):
     return upkeep.latest_per_key(metadata, "ip", "updated_us")
 
 
+@query(
+    "d03_kept_latest",
+    None,
+    """SELECT user_id AS ip, epoch_us(ts) AS updated_us, event_type, value FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC, value DESC) = 1""",
+)
+def d03_kept(spark, sf):
+    """A table kept by batches whose versions arrive in no order, some of them twice, merged in between."""
+    path = work_folder(spark, "latest")
+    updated = F.unix_micros(F.col("ts").cast("timestamp")).alias("updated_us")
+    rows = d.table(spark, sf, "events").select(F.col("user_id").alias("ip"), updated, "event_type", "value", "event_id")
+    for batch in (2, 0, 1, 0):
+        part = rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == batch).drop("event_id")
+        latest.upsert_latest(part, path, "metadata", batch, version="updated_us", buckets=16)
+        if batch == 1:
+            latest.merge_latest(spark, path, version="updated_us")
+    return latest.read_latest(spark, path, version="updated_us")
+
+
 _NOW = datetime(2024, 1, 31, 6, 0, tzinfo=UTC)
 
 
@@ -1435,6 +1523,18 @@ def t03(spark, sf):
     return _rollup_out(tables.read_rollup(spark, merged).drop("month"))
 
 
+@query("t03_late_flows_corrected", sql.FLOWS, sql.ROLLUP_SELECT.format(source="flows"))
+def t03_late(spark, sf):
+    """A shuffled input in four batches: most flows come after their minute was closed, and the rollup is whole all the same."""
+    path, late, marks, checkpoint, folder = (work_folder(spark, n) for n in ("rollup", "late", "marks", "stream", "lines"))
+    flows = d.flows(spark, sf)
+    for part in range(4):
+        flows.where(F.pmod(F.xxhash64("timestamp", "src_ip", "bytes"), F.lit(4)) == part).write.mode("append").parquet(folder)
+        live = spark.readStream.schema(FLOW_SCHEMA).parquet(folder)
+        _drain(start_corrected_rollup(live, path, late, marks, checkpoint, stream="lines", available_now=True))
+    return _rollup_out(compact_rollup(tables.read_rollup(spark, path)))
+
+
 @query(
     "t04_multiple_inputs",
     _INPUTS,
