@@ -83,25 +83,26 @@ def op7_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _license_sql() -> str:
     """The same by grouping and joining in SQL."""
     path = _LICENSE_PATH.format(hundred="CAST(doc_id // 100 AS varchar)", text="varchar")
-    statements = ", ".join(f"('{name}', '{text}')" for name, text in license_scan.TEMPLATES)
-    cue, file = license_scan.CUE, license_scan.LICENSE_FILE
+    statements = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    cue, legal, file = license_scan.CUE, license_scan.LEGAL, license_scan.LICENSE_FILE
     terms = r"'[a-z0-9]+(\.[a-z0-9]+)*'"
     return f"""
 WITH files AS (SELECT doc_id, {path} AS path, text FROM documents),
-lines AS (SELECT path, line FROM (SELECT path, unnest(string_split(text, chr(10))) AS line FROM files) WHERE regexp_matches(line, '{cue}')),
-line_terms AS (SELECT path, md5(line) AS unit, unnest(regexp_extract_all(lower(line), {terms})) AS term FROM lines),
-counts AS (SELECT path, unit, term, count(*) AS tf FROM (SELECT * FROM line_terms UNION ALL SELECT path, '', term FROM line_terms) GROUP BY ALL),
-template AS (SELECT license, term, count(*) AS tf FROM
-    (SELECT license, unnest(regexp_extract_all(lower(text), {terms})) AS term FROM (VALUES {statements}) AS t(license, text)) GROUP BY ALL),
+lines AS (SELECT path, line, regexp_matches(line, '{cue}') AS cue FROM
+    (SELECT path, unnest(string_split(text, chr(10))) AS line FROM files WHERE regexp_matches(text, '{cue}')) WHERE regexp_matches(line, '{legal}')),
+line_terms AS (SELECT path, cue, md5(line) AS unit, unnest(regexp_extract_all(lower(line), {terms})) AS term FROM lines),
+counts AS (SELECT path, unit, term, count(*) AS tf FROM (SELECT path, unit, term FROM line_terms WHERE cue
+    UNION ALL SELECT path, 'cues', term FROM line_terms WHERE cue UNION ALL SELECT path, 'legal', term FROM line_terms) GROUP BY ALL),
+template AS (SELECT number, license, term, count(*) AS tf FROM
+    (SELECT number, license, unnest(regexp_extract_all(lower(text), {terms})) AS term FROM (VALUES {statements}) AS t(number, license, text)) GROUP BY ALL),
 units AS (SELECT count(*) AS n FROM (SELECT DISTINCT path, unit FROM counts)),
-seen AS (SELECT term, count(*) AS df FROM counts GROUP BY term),
-idf AS (SELECT DISTINCT t.term, 1 + ln((1.0 + n) / (1 + coalesce(df, 0))) AS idf FROM template t LEFT JOIN seen USING (term), units),
-weighted AS (SELECT license, term, tf * idf AS w FROM template JOIN idf USING (term)),
-norms AS (SELECT license, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY license),
-own_terms AS (SELECT path, unit, c.term, tf * coalesce(idf, 1 + ln(1.0 + n)) AS w FROM counts c LEFT JOIN idf ON c.term = idf.term, units),
+idf AS (SELECT term, 1 + ln(CAST(n AS DOUBLE) / df) AS idf FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), units),
+weighted AS (SELECT number, license, t.term, tf * coalesce(idf, (SELECT max(idf) FROM idf), 1.0) AS w FROM template t LEFT JOIN idf ON t.term = idf.term),
+norms AS (SELECT number, sqrt(sum(w * w)) AS norm FROM weighted GROUP BY number),
+own_terms AS (SELECT path, unit, term, tf * idf AS w FROM counts JOIN idf USING (term)),
 lengths AS (SELECT path, unit, sqrt(sum(w * w)) AS norm FROM own_terms GROUP BY ALL),
-scores AS (SELECT o.path, o.unit, t.license, round(sum(o.w * t.w / k.norm) / any_value(l.norm), 6) AS score
-    FROM own_terms o JOIN weighted t USING (term) JOIN norms k USING (license) JOIN lengths l ON l.path = o.path AND l.unit = o.unit GROUP BY ALL),
+scores AS (SELECT o.path, o.unit, t.number, t.license, round(sum(o.w * t.w / k.norm) / any_value(l.norm), 6) AS score
+    FROM own_terms o JOIN weighted t USING (term) JOIN norms k USING (number) JOIN lengths l ON l.path = o.path AND l.unit = o.unit GROUP BY ALL),
 own AS (SELECT path, license, score FROM scores WHERE score >= {license_scan.THRESHOLD}
     QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
 holders AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS above, license, score FROM own WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{file}')),
@@ -142,7 +143,8 @@ def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The same by window functions over whole tables.
 _MIXING_SQL = r"""
-WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size FROM documents),
+WITH sized AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size FROM documents),
 totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
 weighed AS (SELECT *, CAST([3, 1, 2][(place - 1) % 3 + 1] AS BIGINT) AS weight, 2 * source_size AS most
     FROM (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM totals)),
@@ -184,7 +186,8 @@ rebuilt AS (
     UNION ALL SELECT conv_id, place + 1000000, role, text FROM hashed JOIN turns USING (conv_id) WHERE place > borrowed),
 prefixes AS (
     SELECT conv_id, row_number() OVER w AS depth, string_agg(md5(length(role) || ':' || role || text), '') OVER w AS path,
-        len(regexp_extract_all(text, '[^ 	-]+')) AS n_words
+        len(regexp_extract_all(text, '[^ 	-
+]+')) AS n_words
     FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING)
     UNION ALL SELECT conv_id, 0, '', 0 FROM hashed),
 nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(n_words) AS n_words FROM prefixes GROUP BY path, depth),
