@@ -15,7 +15,9 @@ TABLES = (
 SECTION = (
     "s06_decode_netflow_v5", "s07_decode_sflow_v5", "s08_decode_frames", "o05_flow_cap", "e01_enrich_asn_shuffled",
     "e03_as_of_lookup", "p04_in_not_in", "p08_cidr", "a05_distinct", "a07_bucket_hour", "a12_table_choice",
-    "d02_flow_detail", "r04_stacked_trend", "r07_host_drilldown", "t03_incremental_rollup",
+    "d02_flow_detail", "r04_stacked_trend", "r07_host_drilldown", "t03_incremental_rollup", "p08_cidr_clustered",
+    "d01_bounded_top_k", "a05_distinct_ports_from_rollup", "a12_fewest_cells", "d03_kept_latest", "e07_versions_by_flow_time",
+    "t01_rejected_payloads", "o05_stream_dropped_observations",
 )
 NAMES = sorted(contract.queries()) if os.environ.get("FULL_CATALOG") else SECTION
 
