@@ -6,7 +6,7 @@ by their leading bits; a bucket's register keeps the leading-zero count and ten
 Empty buckets borrow a filled one by a fixed rule, then bands of registers, as many as the threshold asks for (24 of five
 at 0.85), make the candidate buckets. Within a bucket the collision-corrected estimate rules pairs out, and the pairs left are confirmed on full sets.
 
-First each document is compared with one other of its buckets only, the bucket's smallest identifier that looks most alike.
+First each document is compared with one other of its buckets only: of their smallest identifiers, the one met in most bands.
 Confirmed links make first components, so a template with a million variants is one component after as many comparisons.
 Then buckets are compared in blocks of bounded size, spread over tasks, but only between different components: a bucket
 within one component is done, and in others the members of the largest component meet only the rest. Nothing is emitted per
@@ -147,9 +147,7 @@ def _star_estimates(percent: int):
             n_a, n_b = (np.asarray(batch.column(c)) for c in ("n_shingles", "pivot_shingles"))
             estimate = paired_estimates(_registers(batch.column("registers")), _registers(batch.column("pivot_registers")), n_a, n_b, percent / 100)
             kept = pa.array(estimate >= 0)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id").filter(kept), batch.column("pivot").filter(kept), pa.array(estimate).filter(kept)], ["id", "pivot", "estimate"]
-            )
+            yield pa.RecordBatch.from_arrays([batch.column("id").filter(kept), batch.column("pivot").filter(kept)], ["id", "pivot"])
 
     return run
 
@@ -179,14 +177,14 @@ def _thinned(texts: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _star_links(keys: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) of documents to the most alike of their buckets' smallest members."""
+    """Confirmed links (a, b) of documents to that smallest member of their buckets which they meet in most bands."""
     pivots = keys.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("members")).where("members > 1")
-    met = keys.join(pivots, "key").where("id <> pivot").select("id", "pivot").distinct()
+    met = keys.join(pivots.select("key", "pivot"), "key").where("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("bands_met"))
+    nearest = met.groupBy("id").agg(F.max(F.struct("bands_met", "pivot")).alias("best")).select("id", "best.pivot")
     described = classes.select("id", "n_shingles", "registers")
     centres = described.toDF("pivot", "pivot_shingles", "pivot_registers")
-    looked_at = met.join(described, "id").join(centres, "pivot").select("id", "pivot", "n_shingles", "registers", "pivot_shingles", "pivot_registers")
-    estimated = looked_at.mapInArrow(_star_estimates(percent), "id long, pivot long, estimate double")
-    best = settled(estimated.groupBy("id").agg(F.max(F.struct("estimate", "pivot")).alias("best")).select("id", "best.pivot"))
+    looked_at = nearest.join(described, "id").join(centres, "pivot").select("id", "pivot", "n_shingles", "registers", "pivot_shingles", "pivot_registers")
+    best = settled(looked_at.mapInArrow(_star_estimates(percent), "id long, pivot long"))
     shares = best.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("shares"))
     dealt = best.join(shares, "pivot").select("pivot", F.pmod(F.xxhash64("id"), F.col("shares")).alias("share"), "id")
     rows = dealt.unionByName(dealt.select("pivot", "share", F.col("pivot").alias("id")).distinct())
@@ -279,7 +277,7 @@ def _confirm(percent: int):
             sets = shingle_sets(utf8(group["text"]), SHINGLE_WORDS)
             registers = registers_of(sets)
             sizes = np.asarray([len(s) for s in sets])
-            block, first, ids = (np.asarray(group[c]) for c in ("block", "first", "id"))
+            block, first = (np.asarray(group[c]) for c in ("block", "first"))
             key, lo, hi = (group[c][0].as_py() for c in ("key", "lo", "hi"))
             found = [(-e, row, int(a)) for row, at, est in _pairs(registers, bands_of(registers, percent), sizes, block, first, key, lo, hi, percent / 100) for a, e in zip(at, est, strict=True)]
             name = np.unique(first, return_inverse=True)[1].tolist()
@@ -297,7 +295,7 @@ def _confirm(percent: int):
                     shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
                     if 100 * shared >= percent * (sizes[x] + sizes[y] - shared):
                         parent[root(name[y])] = root(name[x])
-                        links.append((int(ids[x]), int(ids[y])))
+                        links.append((int(first[x]), int(first[y])))
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links, strict=True)], ["a", "b"])
 
@@ -326,7 +324,7 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     )
     keys = classes.select("id", F.explode("bands").alias("key"))
     stars = settled(_star_links(keys, classes, texts, percent))
-    first = classes.select("id").join(connected_components(stars), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("first"))
+    first = classes.select("id").distinct().join(connected_components(stars), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("first"))
     first = settled(first)
     known = keys.join(first, "id")
     parts = known.groupBy("key", "first").agg(F.count("*").alias("members"))
@@ -345,7 +343,9 @@ def near_duplicates(documents: DataFrame, id_column: str = "doc_id", text_column
     )
     candidates = settled(_by_block(met).mapInArrow(_candidates(percent), "key long, lo long, hi long, block long, first long, id long"))
     links = _by_block(candidates.join(_thinned(texts, candidates.select("id").distinct()), "id")).mapInArrow(_confirm(percent), "a long, b long")
-    components = connected_components(stars.unionByName(links))
+    # links between first components, each named by its smallest identifier
+    joined = connected_components(links).withColumnRenamed("node", "first")
+    components = first.join(joined, "first", "left").select(F.col("id").alias("node"), F.coalesce("component", "first").alias("component"))
     named = classes.join(components, classes["id"] == components["node"], "left").select(
         "set_a", "set_b", F.coalesce("component", "id").alias("class_component")
     )
