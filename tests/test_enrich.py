@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import bisect
 import random
 
 import pytest
@@ -67,6 +68,37 @@ def test_addresses_without_ipv4_do_not_meet(spark):
     assert keys.select("k").distinct().count() > 1900 and keys.where("k >= 0").isEmpty()
 
 
+def crowded_ranges():
+    """Blocks of a few addresses side by side, as thousands of small networks in one /16, within wider ones."""
+    rng = random.Random(6)
+    rows = [(0x0A000000 + i * 10, 0x0A000000 + i * 10 + 7, i + 1, f"C{i % 7}", f"o{i}") for i in range(6000)]
+    rows += [(0x0B000000 + i * 3, 0x0B000000 + i * 3, i + 1, "D", f"single {i}") for i in range(300)]
+    rows += [(0x0B000500, 0x0B00FFFF, 7, "E", "rest"), (0x09F00000, 0x09FFFFFF, 8, "F", "before"), (2**32 - 9, 2**32 - 1, 9, "G", "end")]
+    rows += [(2**32 - 3000 + i * 8, 2**32 - 3000 + i * 8 + 5, i, "H", "high") for i in range(370)]
+    edges = [n for r in rng.sample(rows, 700) + rows[6000:] for n in (r[0] - 1, r[0], r[1], r[1] + 1) if 0 <= n < 2**32]
+    return rows, edges + [0x0A000000 + rng.randrange(70000) for _ in range(500)] + [0x0B000000 + rng.randrange(70000) for _ in range(500)]
+
+
+def test_crowded_buckets_are_cut(spark):
+    rows, asked = crowded_ranges()
+    ranges = spark.createDataFrame(rows, SCHEMA)
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(asked)] + [(-1, None)], "i bigint, n bigint")
+    ordered = sorted(rows)
+    starts = [r[0] for r in ordered]
+
+    def rule(n):
+        at = bisect.bisect_right(starts, n)
+        return by_rule(ordered[at - 1 : at], n)
+
+    want = {i: rule(n) for i, n in enumerate(asked)} | {-1: (0, "", "")}
+    for index in (enrich.build_range_index(ranges), enrich.build_range_index(ranges, max_broadcast_bytes=0)):
+        assert index.crowded is not None
+        assert index.buckets.groupBy("cell").count().agg(F.max("count")).first()[0] <= 16  # the widest comparison
+        assert index.buckets.count() <= 4 * len(rows) + 2 ** (32 - index.shift)
+        for lookup in (enrich.lookup_ranges, enrich.lookup_ranges_as_of):
+            assert {r["i"]: (r["asn"], r["country"], r["org"]) for r in lookup(df, F.col("n"), index, NAMES).collect()} == want
+
+
 def test_mapped_spellings_are_ipv4(spark):
     texts = ["1.0.0.7", "::ffff:1.0.0.7", "::FFFF:100:7", "0:0:0:0:0:ffff:1.0.0.7", "0:0:0:0:0:FFFF:0100:0007", "::1.0.0.7", "1:0:0:0:0:ffff:100:7", "x", None]
     got = [r["n"] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(any_ipv4_number(F.col("t")).alias("n")).collect()]
