@@ -25,7 +25,10 @@ from fluxlens.streaming.windows import DEFAULT_LATENESS
 
 #: Times count as late by the start of their tenth of a second, which lets rows of that time be summed up first.
 INSTANT_US = 100_000
+#: Keyed states over which open windows are dealt where no cap is kept, however many windows are open.
+SILENT_SHARES = 256
 _TUPLE = list(FIVE_TUPLE)
+_WINDOW = ["start_us", "end_us"]
 _LEAST, _MOST, _SUM = ["first_us", "vlan_at"], ["last_us"], ["packets", "bytes", "observations"]
 _MEASURES = [*_LEAST, *_MOST, *_SUM, "tcp_flags"]
 _FLOW = "src_ip string, dst_ip string, src_port int, dst_port int, protocol int"
@@ -103,13 +106,21 @@ def settled_flows(flows: pd.DataFrame, max_flows: int, watermark_us: int) -> pd.
     return flows if len(final) < max_flows else _earliest(final, max_flows)
 
 
+def _merged(held: pd.DataFrame | None, batches: Iterable[pd.DataFrame], keys: list[str]) -> pd.DataFrame:
+    """Flows with new rows. Chunks wait until they are as many rows as the flows, so each row is summed a few times only."""
+    waiting, size = [], 0
+    for rows in batches:
+        waiting.append(rows[[*keys, *_MEASURES]])
+        size += len(rows)
+        if held is None or size >= len(held):
+            held, waiting, size = summed(pd.concat([held, *waiting] if held is not None else waiting), keys), [], 0
+    return summed(pd.concat([held, *waiting]), keys) if waiting else held
+
+
 def _take(state: GroupState, batches: Iterable[pd.DataFrame]) -> tuple[pd.DataFrame, int]:
     """The share's flows with the new rows, chunk by chunk, and its refused observations."""
     held, refused = (_unpacked(state.get[0]), state.get[1]) if state.exists else (None, 0)
-    for rows in batches:
-        rows = rows[[*_TUPLE, *_MEASURES]]
-        held = summed(rows if held is None else pd.concat([held, rows]), _TUPLE)
-    return held, refused
+    return _merged(held, batches, _TUPLE), refused
 
 
 def _survivors(start_us: int, flows: pd.DataFrame, refused: int) -> pd.DataFrame:
@@ -212,15 +223,28 @@ def start_capped_ingest(
 
 def _until_silent(idle_ms: int):
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        start_us, end_us, _ = (int(k) for k in key)
-        flows, _ = _take(state, () if state.hasTimedOut else batches)
-        if state.hasTimedOut or end_us < state.getCurrentWatermarkMs() * 1000:
-            if state.exists:
-                state.remove()
-            yield _survivors(start_us, flows, 0)
-        else:
-            state.update((_packed(flows), 0))
-            state.setTimeoutDuration(idle_ms)
+        now = state.getCurrentProcessingTimeMs()
+        held, heard = None, {}
+        if state.exists:
+            held = _unpacked(state.get[0])
+            heard = dict(zip(held["start_us"], held.pop("heard_ms"), strict=True))
+
+        def arriving() -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                heard.update(dict.fromkeys(rows["start_us"], now))
+                yield rows
+
+        flows = _merged(held, () if state.hasTimedOut else arriving(), [*_WINDOW, *_TUPLE])
+        flows["heard_ms"] = flows["start_us"].map(heard)
+        closing = (flows["end_us"] < state.getCurrentWatermarkMs() * 1000) | (flows["heard_ms"] + idle_ms <= now)
+        kept = flows[~closing]
+        if len(kept):
+            state.update((_packed(kept),))
+            state.setTimeoutDuration(max(1, int(kept["heard_ms"].min()) + idle_ms - now))
+        elif state.exists:
+            state.remove()
+        if closing.any():
+            yield flows[closing].drop(columns=["end_us", "heard_ms"]).assign(refused=0)
 
     return update
 
@@ -230,12 +254,15 @@ def stream_windows_until_silent(
 ) -> DataFrame:
     """Window rows of a stream, as ``stream_windows``, that need no later data to be emitted.
 
-    A share of a window leaves ``idle_seconds`` of processing time after its last rows have arrived, or with rows that
-    arrive when the watermark has passed it. Observations after that, if not late, make a further row of their flow, so
-    sums stay right; choose ``idle_seconds`` longer than inputs pause within a window.
+    A share of a window leaves ``idle_seconds`` of processing time after its last rows have arrived, or when its keyed
+    state is called after the watermark has passed it. Observations after that, if not late, make a further row of their
+    flow, so sums stay right; choose ``idle_seconds`` longer than inputs pause within a window. A keyed state holds its
+    share of all open windows: in a sparse stream nearly every row has a window of its own, and a state (and a call) for
+    each of them costs far more than the rows.
     """
-    grouped = _shares(obs, window, lateness).groupBy("start_us", "end_us", "share")
+    share = F.pmod(F.xxhash64("start_us", *_TUPLE), F.lit(SILENT_SHARES))
+    grouped = _shares(obs, window, lateness).withColumn("share", share).groupBy("share")
     timed = grouped.applyInPandasWithState(
-        _until_silent(int(idle_seconds * 1000)), _SURVIVORS, "flows binary, refused long", "append", GroupStateTimeout.ProcessingTimeTimeout
+        _until_silent(int(idle_seconds * 1000)), _SURVIVORS, "flows binary", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
     return _windows(timed)

@@ -118,3 +118,23 @@ def test_quiet_stream_emits_its_last_window_without_a_marker(spark, tmp_path):
         assert got == want
     finally:
         query.stop()
+
+
+def test_quiet_stream_of_many_windows_has_few_states(spark, tmp_path):
+    folder, out = str(tmp_path / "in"), str(tmp_path / "out")
+    rows = [packet(i * 13.7, i % 9, 40 + i % 50) for i in range(3000)]
+    observe(spark, *rows).coalesce(2).write.parquet(folder)
+    live = spark.readStream.schema(OBSERVATION_SCHEMA).parquet(folder)
+    closed = windows_to_flows(keyed.stream_windows_until_silent(live, idle_seconds=2))
+    sink = closed.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "state"))
+    query = sink.trigger(processingTime="1 second").start()
+    try:
+        until, held = time.time() + 90, []
+        while time.time() < until and not (any(held) and held[-1] == 0):
+            held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert 0 < max(held) <= keyed.SILENT_SHARES and held[-1] == 0
+    want = windows_to_flows(aggregate_windows(observe(spark, *rows)))
+    assert rows_of(spark.read.schema(closed.schema).parquet(out), *COLUMNS) == rows_of(want, *COLUMNS)
