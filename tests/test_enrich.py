@@ -163,3 +163,18 @@ def test_protocol_names(spark):
     df = spark.createDataFrame([(6,), (253,), (2,)], "p int")
     rows = df.select(protocol_name(F.col("p")), protocol_name(F.col("p"), "display")).collect()
     assert [tuple(r) for r in rows] == [("tcp", "TCP"), ("other", "protocol 253"), ("other", "IGMP")]
+
+
+def test_city_lookup_reuses_numbers_of_the_system_lookup(spark):
+    """Addresses are parsed once for both lookups, and odd spellings still mean to each lookup what they mean to it alone."""
+    asn = enrich.build_range_index(spark.createDataFrame(A, SCHEMA))
+    city = enrich.build_range_index(spark.createDataFrame(CITY, "start long, end long, country string, region string, city string"), enrich.CITY_VALUES)
+    texts = ["1.0.0.5", "001.0.0.05", "::ffff:1.0.0.5", "::ffff:100:5", "0.0.0.0", "2.0.0.1", "2001:db8::1", "1.0.0", ""]
+    rows = flows(spark, *[{"src_ip": t, "dst_ip": u} for t, u in zip(texts, reversed(texts), strict=True)])
+    for mode, tables in (("override", {"city": city}), ("premium", {"premium_city": city})):
+        both = enrich.enrich_flows(rows, asn=asn, **tables)
+        apart = enrich.enrich_application(enrich.enrich_city(enrich.enrich_asn(rows, asn), city, mode))
+        assert both.columns == rows.columns
+        assert sorted(map(str, both.collect())) == sorted(map(str, apart.collect()))
+        plan = both._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RLIKE(src_ip") == 2 and "_src_number" in plan
