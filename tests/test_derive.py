@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+from datetime import timedelta
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+from fluxlens.operators.query import flow_query
 from workload import derive
+from workload.catalog import QUERIES
 
 
 def _write(spark, folder, groups):
@@ -25,3 +30,25 @@ def test_tables_that_tasks_can_share_are_not_copied(spark, tmp_path, monkeypatch
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", small)
         spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def _folders(spark, purpose):
+    root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
+    return {p.name for p in root.glob(f"{purpose}-*")}
+
+
+def test_questions_store_only_what_they_read(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(derive, "_STAGED", {})
+    flows, rollups = _folders(spark, "flows"), _folders(spark, "rollup")
+    trend = QUERIES["r04_stacked_trend"](spark, sf_dir).collect()
+    QUERIES["r06_bounded_conversations"](spark, sf_dir).collect()
+    assert _folders(spark, "flows") == flows and len(_folders(spark, "rollup") - rollups) == 1
+    rollups = _folders(spark, "rollup")
+    QUERIES["r07_host_drilldown"](spark, sf_dir).collect()
+    assert len(_folders(spark, "flows") - flows) == 1 and _folders(spark, "rollup") == rollups
+    # Bounds inside a minute are answered from the flows, with or without a stored detail table.
+    part = dict(time_from=derive.FROM + timedelta(days=1, seconds=7), time_to=derive.FROM + timedelta(days=9, seconds=41), group_by=["src_ip"])
+    bare = flow_query(derive.stored_rollup(spark, sf_dir), **part).collect()
+    monkeypatch.setattr(derive, "_STAGED", {})
+    assert bare == flow_query(derive.stored_flows(spark, sf_dir), **part).collect()
+    assert trend == QUERIES["r04_stacked_trend"](spark, sf_dir).collect()
