@@ -27,7 +27,8 @@ from fluxlens.sources.layout import clustered
 
 # Host questions look for single addresses inside time-ordered files: min/max statistics cannot skip row groups there,
 # Bloom filters can. Adaptive ones take the size that the addresses of a row group need.
-_BLOOM = {
+_FILES = {
+    "compression": "zstd",
     "parquet.bloom.filter.enabled#src_ip": "true",
     "parquet.bloom.filter.enabled#dst_ip": "true",
     "parquet.bloom.filter.adaptive.enabled": "true",
@@ -85,15 +86,15 @@ def owned(rows: DataFrame, stream: str | None, batch_id: int | None) -> DataFram
     )
 
 
-def _write(rows: DataFrame, path: str, partition: list[str], gather: Column, order: list[str], overwrite: bool, **options) -> None:
-    writer = (
-        rows.withColumn("_gather", gather)
-        .hint("rebalance", "_gather")
-        .sortWithinPartitions(*partition, *order)
-        .drop("_gather")
-        .write.partitionBy(*partition)
-        .options(**options)
-    )
+def _write(
+    rows: DataFrame, path: str, partition: list[str], order: list[str], overwrite: bool, gather: Column | None = None
+) -> None:
+    """Write rows where they are, each task its own files, sorted. Only merging gathers rows first: an exchange would hold
+    them on the executors' disks a second time, in the width of all columns and about three times their size in the files.
+    """
+    if gather is not None:
+        rows = rows.withColumn("_gather", gather).hint("rebalance", "_gather")
+    writer = rows.sortWithinPartitions(*partition, *order).drop("_gather").write.partitionBy(*partition).options(**_FILES)
     if overwrite:
         writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
     else:
@@ -103,8 +104,8 @@ def _write(rows: DataFrame, path: str, partition: list[str], gather: Column, ord
 def append_flows(flows: DataFrame, path: str, stream: str | None = None, batch_id: int | None = None) -> None:
     """Append flows to the detail table.
 
-    Rows are gathered by hour with a rebalance: adaptive execution splits an hour that outgrows the advisory
-    partition size and merges small ones, so a burst never lands in one writer and files cover narrow time ranges.
+    Every task writes the rows that it has, sorted by time, to a file for each day; nothing is shuffled for it. So a batch
+    needs no more disk than its files. :func:`compact_flows` gathers the files of closed days by hour.
     With ``stream`` and ``batch_id`` the batch owns its own sub-partitions and overwrites them, which makes a repeated
     batch harmless and keeps streams apart. Without them files are added, next to whatever streams write.
     """
@@ -113,8 +114,7 @@ def append_flows(flows: DataFrame, path: str, stream: str | None = None, batch_i
 
 def append_stored(rows: DataFrame, path: str, stream: str | None = None, batch_id: int | None = None) -> None:
     """As :func:`append_flows` for rows that ``stored_form`` has made."""
-    hour = bucket_start(F.col("timestamp"), "hour")
-    _write(owned(rows, stream, batch_id), path, _FLOW_PARTITION, hour, list(_STORED_ORDER), stream is not None, **_BLOOM)
+    _write(owned(rows, stream, batch_id), path, _FLOW_PARTITION, list(_STORED_ORDER), stream is not None)
 
 
 def read_flows(
@@ -140,8 +140,7 @@ def _with_month(rollup: DataFrame) -> DataFrame:
 def append_rollup(rollup: DataFrame, path: str, stream: str | None = None, batch_id: int | None = None) -> None:
     """Add partial sums; a numbered batch overwrites its own sub-partitions, so a retry cannot count twice."""
     rows = owned(_with_month(conform(rollup, ROLLUP_SCHEMA)), stream, batch_id)
-    day = bucket_start(F.col("ts_minute"), "day")
-    _write(rows, path, _ROLLUP_PARTITION, day, ["ts_minute", "src_ip"], stream is not None, **_BLOOM)
+    _write(rows, path, _ROLLUP_PARTITION, ["ts_minute", "src_ip"], stream is not None)
 
 
 def write_compacted_rollup(parts: DataFrame, path: str) -> None:
@@ -158,7 +157,7 @@ def write_compacted_rollup(parts: DataFrame, path: str) -> None:
         .write.partitionBy("month")
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .options(**_BLOOM)
+        .options(**_FILES)
         .parquet(path)
     )
 
@@ -263,10 +262,10 @@ def compact_flows(spark: SparkSession, path: str, *, before: date, by_address: b
                 rows = spark.read.schema(_FLOW_FILES).parquet(f"{folder.path}/{top}").select(*_FLOW_FILES.fieldNames())
                 if by_address:
                     whole = clustered(owned(rows, CLUSTERED, 0))
-                    whole.write.partitionBy("stream", "batch_id").options(**_BLOOM).mode("append").parquet(target)
+                    whole.write.partitionBy("stream", "batch_id").options(**_FILES).mode("append").parquet(target)
                     return
                 hour = bucket_start(F.col("timestamp"), "hour")
-                _write(owned(rows, MERGED, 0), target, ["stream", "batch_id"], hour, list(_STORED_ORDER), False, **_BLOOM)
+                _write(owned(rows, MERGED, 0), target, ["stream", "batch_id"], list(_STORED_ORDER), False, hour)
 
             _swap_in(folder, top, write)
             merged.append(top)
@@ -287,7 +286,7 @@ def compact_rollup_months(spark: SparkSession, path: str) -> list[str]:
             def write(target: str, top: str = top) -> None:
                 rows = compact_rollup(spark.read.schema(ROLLUP_SCHEMA).parquet(f"{folder.path}/{top}").select(*ROLLUP_SCHEMA.fieldNames()))
                 day = bucket_start(F.col("ts_minute"), "day")
-                _write(owned(rows, MERGED, 0), target, ["stream", "batch_id"], day, ["ts_minute", "src_ip"], False, **_BLOOM)
+                _write(owned(rows, MERGED, 0), target, ["stream", "batch_id"], ["ts_minute", "src_ip"], False, day)
 
             _swap_in(folder, top, write)
             merged.append(top)

@@ -32,6 +32,23 @@ def test_tables_that_tasks_can_share_are_not_copied(spark, tmp_path, monkeypatch
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_stream_of_a_single_row_group_comes_in_even_files_and_bounded_batches(spark, tmp_path, monkeypatch):
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    monkeypatch.setattr(derive, "TASK_ROWS", 5_000)
+    try:
+        whole, batches = _write(spark, tmp_path / "whole", 1), []
+        live = derive.stream(spark, whole, "lineitem", batch_files=3)
+        sink = live.writeStream.foreachBatch(lambda df, _: batches.append((df.select(F.input_file_name()).distinct().count(), df.count())))
+        sink.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [files for files, _ in batches] == [3, 3, 2] and sum(rows for _, rows in batches) == 40_000
+    assert max(rows for _, rows in batches) < 3 * 6_000
+
+
 def _folders(spark, purpose):
     root = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file:"))
     return {p.name for p in root.glob(f"{purpose}-*")}

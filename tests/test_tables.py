@@ -124,3 +124,23 @@ def test_profile_and_latest(spark):
     assert tuple(table_profile(day_rows(spark).limit(0)).first()) == (0, None, None)
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "y"), ("a", 2, "z"), ("b", 1, "q")], "ip string, updated_at int, city string")
     assert {tuple(r) for r in latest_per_key(rows).collect()} == {("a", 3, "y"), ("b", 1, "q")}
+
+
+def _shuffled(spark) -> set[str]:
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks().mkString(" ")
+    return {b for b in blocks.split() if b.startswith("shuffle_")}
+
+
+def test_appending_shuffles_nothing_and_jobs_leave_no_shuffle_files(spark, tmp_path):
+    path, parts = str(tmp_path / "flows"), str(tmp_path / "rollup")
+    before = _shuffled(spark)
+    rows = flows(spark, *[{"src_ip": f"10.0.0.{i}", "bytes": i, "timestamp": START + timedelta(hours=i)} for i in range(80)])
+    for batch in range(2):
+        tables.append_flows(rows.repartition(4, "src_ip"), path, "a", batch)
+        tables.append_rollup(build_rollup_1m(tables.read_flows(spark, path)), parts, "a", batch)
+    assert len(list((tmp_path / "flows" / "flow_date=2026-08-03").rglob("*.parquet"))) == 8  # each task its own
+    for file in (tmp_path / "flows").rglob("*.parquet"):
+        times = [r.timestamp for r in spark.read.parquet(str(file)).collect()]
+        assert times == sorted(times)
+    assert _shuffled(spark) <= before
+    assert sum(r["flows"] for r in tables.read_rollup(spark, parts).collect()) == 80 + 160

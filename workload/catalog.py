@@ -1471,7 +1471,7 @@ inputs AS (
 def t04_separate(spark, sf):
     """NetFlow and sFlow as two queries of their own and a batch of local flows, all into one table."""
     path, rollup = work_folder(spark, "flows"), work_folder(spark, "rollup")
-    lines = d.stream(spark, sf, "lineitem")
+    lines = d.stream(spark, sf, "lineitem", d.BATCH_FILES)
     inputs = {
         "netflow": netflow.decode_netflow_v5(d.netflow_payloads(lines)),
         "sflow": sflow.decode_sflow_v5(d.sflow_payloads(lines)),

@@ -31,7 +31,11 @@ FROM, TO = datetime(2024, 1, 1, tzinfo=UTC), datetime(2024, 1, 31, tzinfo=UTC)
 
 PORTS = (443, 80, 53, 22, 3306, 9999, 8080, 0)
 #: The most rows of a given table that one task should read: partial sums of as many groups stay in its memory.
-TASK_ROWS = 2_000_000
+TASK_ROWS = 1_000_000
+#: The most files of a copied table that one micro-batch takes, so what it shuffles does not grow with the table.
+BATCH_FILES = 32
+#: Columns that no mapping reads are left out of copies.
+UNREAD = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "props")
 
 EVENT_PORTS = {"signup": 443, "purchase": 80, "view": 53, "click": 22, "error": 8080}
 
@@ -58,29 +62,40 @@ def _evenly_read(spark: SparkSession, path: str) -> tuple[bool, int]:
     return rows is None or (most <= TASK_ROWS and most * tasks <= 2 * rows), rows or 0
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables. A large one that few tasks would read, as a file of a single row group is, is copied into
-    the shared folder once, evenly over as many files as tasks can run and at most ``TASK_ROWS`` rows in each."""
+def _spread(spark: SparkSession, sf_dir: str, name: str) -> tuple[str, bool]:
+    """Where a large table is read, and whether that is a copy. One that few tasks would read, as a file of a single row
+    group is, is copied into the shared folder once, evenly over as many files as tasks can run and about ``TASK_ROWS`` rows
+    at most in each. Rows are dealt by their values: dealt in turn, each task would first have to sort all of its rows."""
 
-    def spread() -> DataFrame:
+    def spread() -> tuple[str, bool]:
         source = f"{sf_dir}/{name}.parquet"
         evenly, rows = _evenly_read(spark, source)
         if evenly:
-            return spark.read.parquet(source)
+            return source, False
         path = work_folder(spark, name)
         files = max(spark.sparkContext.defaultParallelism, -(-rows // TASK_ROWS))
-        spark.read.parquet(source).repartition(files).write.parquet(path)
-        return spark.read.parquet(path)
+        read = spark.read.parquet(source).drop(*UNREAD)
+        read.repartition(files, *read.columns).write.option("compression", "zstd").parquet(path)
+        return path, True
+
+    return _once(spark, sf_dir, name, make=spread)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the given tables, of a copied one the columns that are read."""
+    large = name in ("lineitem", "events")
+    return spark.read.parquet(_spread(spark, sf_dir, name)[0] if large else f"{sf_dir}/{name}.parquet")
 
-    if name in ("lineitem", "events"):
-        return _once(spark, sf_dir, name, make=spread)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+def stream(spark: SparkSession, sf_dir: str, name: str, batch_files: int | None = None) -> DataFrame:
+    """One of the two large tables as a file stream, of a copied one at most ``batch_files`` files in a micro-batch.
 
-def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the tables as a file stream."""
-    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    The files are in no order of time: where a watermark decides what is late, they must all come in one micro-batch."""
+    path, copied = _spread(spark, sf_dir, name)
+    live = spark.readStream.schema(spark.read.parquet(path).schema)
+    if not copied:
+        return live.option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+    return (live.option("maxFilesPerTrigger", batch_files) if batch_files else live).parquet(path)
 
 
 def _stored(df: DataFrame, column: str) -> DataFrame:
