@@ -15,6 +15,7 @@ from fluxlens.operators.observations import FIVE_TUPLE, admit_first_flows, aggre
 from fluxlens.sources import tables
 from fluxlens.streaming import keyed, windows
 from test_observations import START, observe, packet
+from workload import catalog
 
 COLUMNS = ["timestamp", "timestamp_end", *FIVE_TUPLE, "packets", "bytes", "observed_packets", "tcp_flags", "vlan"]
 
@@ -138,3 +139,22 @@ def test_quiet_stream_of_many_windows_has_few_states(spark, tmp_path):
     assert 0 < max(held) <= keyed.SILENT_SHARES and held[-1] == 0
     want = windows_to_flows(aggregate_windows(observe(spark, *rows)))
     assert rows_of(spark.read.schema(closed.schema).parquet(out), *COLUMNS) == rows_of(want, *COLUMNS)
+
+
+def test_quiet_stream_has_no_more_state_partitions_than_cores(spark, sf_dir, monkeypatch):
+    seen, silent = [], catalog._silent
+
+    def watched(running):
+        seen.extend(p["stateOperators"][0]["numShufflePartitions"] for p in running.recentProgress if p["stateOperators"])
+        return silent(running)
+
+    monkeypatch.setattr(catalog, "_silent", watched)
+    chosen = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        windows_of = catalog.QUERIES["t05_quiet_stream"](spark, sf_dir)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", chosen)
+    assert set(seen) == {8}  # four cores, and never fewer than eight
+    assert windows_of.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()

@@ -23,7 +23,7 @@ from fluxlens.operators.query import DETAIL, ROLLUP, FlowTables, flow_detail, fl
 from fluxlens.operators.topk import top_query
 from fluxlens.operators.rollup import build_rollup_1m, compact_rollup
 from fluxlens.plans import reports
-from fluxlens.session import apply_settings, work_folder
+from fluxlens.session import apply_settings, state_per_core, work_folder
 from fluxlens.sources import frames, latest, netflow, ranges, sample_events, sflow, tables
 from fluxlens.streaming import ingest, keyed, windows
 from fluxlens.streaming.late import start_corrected_rollup
@@ -1421,7 +1421,8 @@ def t05_quiet(spark, sf):
     live = d.observations_from_events(d.stream(spark, sf, "events"))
     flows = windows_to_flows(keyed.stream_windows_until_silent(live, idle_seconds=5)).select(*_micros("timestamp", "timestamp_end"), *_WINDOW_COLUMNS)
     sink = flows.writeStream.format("parquet").option("path", path).option("checkpointLocation", work_folder(spark, "stream"))
-    running = sink.trigger(processingTime="4 seconds").start()
+    with state_per_core(spark):
+        running = sink.trigger(processingTime="4 seconds").start()
     try:
         while running.isActive and not (_silent(running) and not running.status["isTriggerActive"]):
             time.sleep(0.2)
