@@ -69,3 +69,13 @@ def test_questions_store_only_what_they_read(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(derive, "_STAGED", {})
     assert bare == flow_query(derive.stored_flows(spark, sf_dir), **part).collect()
     assert trend == QUERIES["r04_stacked_trend"](spark, sf_dir).collect()
+
+
+def test_questions_that_no_rollup_answers_store_the_flows_alone(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(derive, "_STAGED", {})
+    flows, rollups = _folders(spark, "flows"), _folders(spark, "rollup")
+    ports = QUERIES["r04_stacked_trend_by_port"](spark, sf_dir).count()
+    assert ports > 0 and ports % 6 == 0
+    QUERIES["r02_top_ports_by_flows"](spark, sf_dir).collect()
+    QUERIES["r01_kpi_summary"](spark, sf_dir).collect()
+    assert len(_folders(spark, "flows") - flows) == 1 and _folders(spark, "rollup") == rollups

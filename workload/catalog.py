@@ -1138,7 +1138,7 @@ def d05(spark, sf):
     (SELECT {_sums("bytes", "packets", "flows", "observed_bytes", "uniq_src_ip", "uniq_dst_port")} FROM flows)""",
 )
 def r01(spark, sf):
-    return reports.kpi_summary(_scope(d.stored_flows(spark, sf)))
+    return reports.kpi_summary(_scope(d.stored_detail(spark, sf)))
 
 
 def _board_sql(dimension: str, limit: int, metric: str = "bytes", source: str = "flows", where: str = "true") -> str:
@@ -1154,7 +1154,7 @@ def r02(spark, sf):
 
 @query("r02_top_ports_by_flows", sql.FLOWS, _board_sql("dst_port", 10, "flows"))
 def r02_ports(spark, sf):
-    return reports.top_board(_scope(d.stored_flows(spark, sf)), "dst_port", "flows")
+    return reports.top_board(_scope(d.stored_detail(spark, sf)), "dst_port", "flows")
 
 
 @query(
@@ -1182,7 +1182,7 @@ def _stacked(name: str, dimension: str, metric: str, agg: str, interval: str | N
         FROM (SELECT DISTINCT ts FROM series) b CROSS JOIN top LEFT JOIN series ON series.ts = b.ts AND series.key = top.key""",
     )
     def run(spark, sf):
-        stored = d.stored_rollup if dimension in ROLLUP_DIMENSIONS else d.stored_flows
+        stored = d.stored_rollup if dimension in ROLLUP_DIMENSIONS else d.stored_detail
         return reports.stacked_trend(_scope(stored(spark, sf)), dimension, metric, interval)
 
     return run

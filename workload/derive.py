@@ -289,6 +289,11 @@ def stored_flows(spark: SparkSession, sf_dir: str) -> FlowTables:
     return _stored_tables(spark, sf_dir, "stored", flows)
 
 
+def stored_detail(spark: SparkSession, sf_dir: str) -> FlowTables:
+    """The detail table alone, for questions that its rollup cannot answer."""
+    return FlowTables(_stored_detail(spark, sf_dir, "stored", flows))
+
+
 def stored_rollup(spark: SparkSession, sf_dir: str) -> FlowTables:
     """The rollup as it lies in storage, for questions of whole minutes and its dimensions: they never read the detail table,
     so it is not written for them. Anything else is answered from the flows in the form in which they would be stored."""
