@@ -144,3 +144,11 @@ def test_appending_shuffles_nothing_and_jobs_leave_no_shuffle_files(spark, tmp_p
         assert times == sorted(times)
     assert _shuffled(spark) <= before
     assert sum(r["flows"] for r in tables.read_rollup(spark, parts).collect()) == 80 + 160
+
+
+def test_bloom_filters_of_small_files_are_small(spark, tmp_path):
+    path = tmp_path / "flows"
+    tables.append_flows(day_rows(spark), str(path), "again", 7)
+    tables.append_flows(day_rows(spark), str(path), "again", 7)
+    files = list(path.rglob("*.parquet"))
+    assert files and max(f.stat().st_size for f in files) < 40_000
