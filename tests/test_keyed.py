@@ -158,3 +158,18 @@ def test_quiet_stream_has_no_more_state_partitions_than_cores(spark, sf_dir, mon
         spark.conf.set("spark.sql.shuffle.partitions", chosen)
     assert set(seen) == {8}  # four cores, and never fewer than eight
     assert windows_of.count() == spark.read.parquet(f"{sf_dir}/events.parquet").count()
+
+
+def test_multiple_inputs_start_with_state_per_core(spark, sf_dir, monkeypatch):
+    def started(*_, **__):
+        raise InterruptedError(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    monkeypatch.setattr(catalog.ingest, "start_flow_ingest", started)
+    chosen = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        with pytest.raises(InterruptedError, match="^8$"):
+            catalog.QUERIES["t04_multiple_inputs"](spark, sf_dir)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", chosen)
